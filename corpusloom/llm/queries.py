@@ -5,21 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, ogg
+from corpusloom.llm import bpe, edit_counts, html_text, ogg, packing, pii, shards
 from corpusloom.llm.common import table
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.counts(edit_counts.with_edits(table(spark, sf_dir, "documents")))
+
+
+def op4_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents")).select("doc_id", "shard", "copy", "row_bytes", "shard_bytes", "oversized")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), found_col="kinds").select("doc_id", "text", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
+
+
 def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.inspect(ogg.media(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_bpe_round_trip, op10_ogg_media)}
+    return {f.__name__: f for f in (op2_html_main_text, op3_edit_token_counts, op4_hash_shards, op6_bpe_round_trip, op7_length_buckets, op8_pseudonyms, op10_ogg_media)}
 
 
 def oracle_sql() -> dict[str, str]:
