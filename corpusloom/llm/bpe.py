@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 #: The code points with the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words kept in a worker's table before it is emptied.
-TABLE_WORDS = 400_000
+#: Words, and fragments, kept in a worker's tables before they are emptied; those of LONG characters or more aren't kept.
+TABLE_WORDS = 300_000
+LONG = 200
 
 
 def default_path() -> str:
@@ -45,49 +46,86 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Codec(dict):
-    """Word to ids, filled on demand."""
+class Codec:
+    """Words to ids by a table that is filled on demand."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         whole = Tokenizer.from_file(path)
         self.model, self.pre = whole.model, whole.pre_tokenizer
-        letters = byte_letters()
-        byte_of = {c: b for b, c in letters.items()}
+        self.letters = byte_letters()
+        byte_of = {c: b for b, c in self.letters.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: bytes(map(byte_of.__getitem__, t)) for t, i in spec["model"]["vocab"].items()}
         self.inside = np.zeros((256, 256), bool)
         for t in self.tokens.values():
             for a, b in zip(t, t[1:], strict=False):
                 self.inside[a, b] = True
-        self.byte_of = np.zeros(max(map(ord, byte_of)) + 1, np.uint8)
-        for c, b in byte_of.items():
-            self.byte_of[ord(c)] = b
+        self.outside = ~self.inside
+        self.bytes_of = str.maketrans({c: chr(b) for c, b in byte_of.items()})
         self.tokens |= {i: t.encode() for t, i in self.added.items()}
         self.digits = {i: str(i) for i in self.tokens}
         self.words = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split if self.added else lambda t: [t]
-
-    def cut(self, piece: str) -> list[str]:
-        """A pre-token in byte letters to its fragments."""
-        if len(piece) < 2:
-            return [piece]
-        b = self.byte_of[np.frombuffer(piece.encode("utf-32-le"), np.uint32)]
-        at = np.flatnonzero(~self.inside[b[:-1], b[1:]]) + 1
-        return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)], strict=True)]
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        pieces = (p for p, _ in self.pre.pre_tokenize_str(word))
-        ids = tuple(t.id for p in pieces for f in self.cut(p) for t in self.model.tokenize(f))
-        if len(self) >= TABLE_WORDS:
-            self.clear()
-        if len(word) < 200:
-            self[word] = ids
+        #: Line end, Latin letters with the space before them, signs: where they follow each other so, each is one pre-token.
+        self.plain = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
+        self.ids = list(range(max(self.tokens) + 1))  # one object for each id
+        self.table: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.fragments: dict[str, tuple[int, ...]] = {}
+
+    def model_ids(self, fragment: str) -> tuple[int, ...]:
+        ids = self.fragments.get(fragment)
+        if ids is None:
+            ids = tuple([self.ids[t.id] for t in self.model.tokenize(fragment)])
+            if len(fragment) < LONG:
+                self.fragments[fragment] = ids
         return ids
 
+    def learn(self, words: list[str]) -> None:
+        """Put ``words`` into the table: all their pre-tokens as one run of bytes, cut at every certain pair and between pre-tokens."""
+        raw, pieces = [], []  # bytes; pre-tokens of each word
+        for w in words:
+            m = self.plain(w)
+            own = [x for x in m.groups() if x] if m else [p.translate(self.bytes_of) for p, _ in self.pre.pre_tokenize_str(w)]
+            raw += [x.encode() for x in own] if m else [x.encode("latin-1") for x in own]
+            pieces.append(len(own))
+        data = b"".join(raw)
+        ends = np.cumsum([len(b) for b in raw])
+        b = np.frombuffer(data, np.uint8)
+        cut = self.outside[b[:-1], b[1:]]
+        cut[ends[:-1] - 1] = True
+        bounds = np.append(np.flatnonzero(cut) + 1, len(b))
+        text = data.decode("latin-1").translate(self.letters)
+        at = bounds.tolist()
+        ids = [self.model_ids(text[i:j]) for i, j in zip([0, *at], at, strict=False)]
+        of_word = np.searchsorted(bounds, ends[np.cumsum(pieces) - 1], "right").tolist()
+        p = 0
+        for w, q in zip(words, of_word, strict=True):
+            self.table[w] = ids[p] if q - p == 1 else tuple(chain.from_iterable(ids[p:q]))
+            p = q
+
+    def tuples(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each word. The table has two generations, so that frequent words stay when it is full."""
+        table, new = self.table, list(set(words).difference(self.table))
+        if new:
+            if self.older:
+                table |= {w: self.older[w] for w in new if w in self.older}
+                new = [w for w in new if w not in table]
+            if new:
+                self.learn(new)
+        out = list(map(table.__getitem__, words))
+        for w in new:
+            if len(w) >= LONG:
+                del table[w]
+        if len(table) > TABLE_WORDS:
+            self.table, self.older = {}, table
+        if len(self.fragments) > TABLE_WORDS:
+            self.fragments.clear()
+        return out
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -95,8 +133,8 @@ class Codec(dict):
         for part in self.split(text):
             if part in self.added:
                 out.append(self.added[part])
-            else:
-                out += chain.from_iterable(map(self.__getitem__, self.words(part)))
+            elif part:
+                out += chain.from_iterable(self.tuples(self.words(part)))
         return out
 
     def decode(self, ids: list[int]) -> str:

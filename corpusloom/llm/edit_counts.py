@@ -30,8 +30,13 @@ class CountTree:
         words = c.words(text)
         self.load([words[i : i + BLOCK] for i in range(0, len(words), BLOCK)] or [[]])
 
-    def count(self, word: str) -> int:
-        return len(self.codec[word]) if "<|" not in word else len(self.codec.encode(word))
+    def count(self, words: list[str]) -> int:
+        """Tokens of ``words``; the literal of an added token can only be within one of them."""
+        n = sum(map(len, self.codec.tuples(words)))
+        for t in self.codec.added:
+            if any(t in w for w in words):
+                return sum(len(self.codec.encode(w)) for w in words)
+        return n
 
     def load(self, blocks: list[list[str]]) -> None:
         """Build the tree over ``blocks``: node 1 is the root, the leaves are at ``size + k``."""
@@ -39,7 +44,7 @@ class CountTree:
         self.size = 1 << max(0, (len(blocks) - 1).bit_length())
         self.sums = np.zeros((2 * self.size, 2), np.int64)
         for k, words in enumerate(blocks):
-            self.sums[self.size + k] = sum(map(len, words)), sum(map(self.count, words))
+            self.sums[self.size + k] = sum(map(len, words)), self.count(words)
         low = self.size
         while low > 1:
             level = self.sums[low : 2 * low]
@@ -106,14 +111,14 @@ class CountTree:
         text = "".join(old)
         new = self.codec.words(text[: at - pos] + insert + text[end - pos :])
         self.encoded += sum(map(len, new))
-        add = sum(map(self.count, new)) - sum(map(self.count, old))
+        add = self.count(new) - self.count(old)
         if b == k:
             words = self.blocks[k][:i] + new + self.blocks[k][j:]
             self.put(k, words, int(self.sums[self.size + k, 1]) + add)
         else:
             head, tail = self.blocks[k][:i] + new, self.blocks[b][j:]
-            kept = sum(map(self.count, self.blocks[b][:j]))
-            self.put(k, head, int(self.sums[self.size + k, 1]) - sum(map(self.count, self.blocks[k][i:])) + sum(map(self.count, new)))
+            kept = self.count(self.blocks[b][:j])
+            self.put(k, head, int(self.sums[self.size + k, 1]) - self.count(self.blocks[k][i:]) + self.count(new))
             for q in range(k + 1, b):
                 self.put(q, [], 0)
             self.put(b, tail, int(self.sums[self.size + b, 1]) - kept)
