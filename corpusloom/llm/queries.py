@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, edit_counts, html_text, ogg, packing, pii, shards
+from corpusloom.llm import bpe, edit_counts, html_text, ogg, packing, pii, shards, toxicity
 from corpusloom.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return scored.select("doc_id", (toxicity.fold() == 1).alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxicity_predicted").alias("predicted"))
+
+
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -40,7 +46,7 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_main_text, op3_edit_token_counts, op4_hash_shards, op6_bpe_round_trip, op7_length_buckets, op8_pseudonyms, op10_ogg_media)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_main_text, op3_edit_token_counts, op4_hash_shards, op6_bpe_round_trip, op7_length_buckets, op8_pseudonyms, op10_ogg_media)}
 
 
 def oracle_sql() -> dict[str, str]:
