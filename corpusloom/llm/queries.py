@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, edit_counts, html_text, ogg, packing, pii, shards, toxicity
+from corpusloom.llm import bpe, edit_counts, html_text, near_dups, ogg, packing, pii, shards, toxicity
 from corpusloom.llm.common import table
 
 
@@ -41,12 +41,16 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), found_col="kinds").select("doc_id", "text", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.inspect(ogg.media(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_main_text, op3_edit_token_counts, op4_hash_shards, op6_bpe_round_trip, op7_length_buckets, op8_pseudonyms, op10_ogg_media)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_main_text, op3_edit_token_counts, op4_hash_shards, op6_bpe_round_trip, op7_length_buckets, op8_pseudonyms, op9_near_duplicates, op10_ogg_media)}
 
 
 def oracle_sql() -> dict[str, str]:
