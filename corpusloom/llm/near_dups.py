@@ -119,14 +119,14 @@ def signatures(docs: list[np.ndarray], k: int) -> np.ndarray:
         darts *= 2
 
 
-def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, uid: str | None = None) -> DataFrame:
     """``doc_id, key, n, bands array<long>, sketch`` of every row; key, a digest of the text, is null if it has no words."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
 
-        def part(ids: list, sets: list[np.ndarray], keys: list) -> pa.RecordBatch:
+        def part(ids: list, uids: list, sets: list[np.ndarray], keys: list) -> pa.RecordBatch:
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in full], k)
             b = np.zeros((len(full), bands), _U)
@@ -137,23 +137,25 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WOR
             lists, sketch = [None] * len(ids), [None] * len(ids)
             for q, i in enumerate(full):
                 lists[i], sketch[i] = b[q], low[q].tobytes()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "key", "n", "bands", "sketch"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), *([pa.array(uids, pa.int64())] if uid else [])], ["doc_id", "key", "n", "bands", "sketch", *(["uid"] if uid else [])])
 
         for batch in batches:
-            ids, sets, keys, size = [], [], [], 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, uids, sets, keys, size = [], [], [], [], 0
+            for i, t, q in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 t = t.as_py()
                 s = shingler(t)
                 ids.append(i)
+                uids.append(q)
                 sets.append(s)
                 keys.append(hashlib.md5(t.encode()).digest() if len(s) else None)
                 size += len(s)
                 if size > 500_000 or len(ids) >= 1000:
-                    yield part(ids, sets, keys)
-                    ids, sets, keys, size = [], [], [], 0
-            yield part(ids, sets, keys)
+                    yield part(ids, uids, sets, keys)
+                    ids, uids, sets, keys, size = [], [], [], [], 0
+            yield part(ids, uids, sets, keys)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key binary, n long, bands array<long>, sketch binary")
+    number = F.col(uid).cast("long") if uid else F.lit(0).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), number.alias("uid")).mapInArrow(run, "doc_id long, key binary, n long, bands array<long>, sketch binary" + ", uid long" * bool(uid))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
@@ -179,9 +181,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) ->
     return met.select("u", "tu", "v", "tv").mapInArrow(run, "u binary, v binary")
 
 
-def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, uid, class_id, kept`` for every row of ``docs``: uid numbers the rows, class_id is the least doc_id of the class, one row of each class is kept."""
-    signed = stash(sign(docs, bands, rows, words).withColumn("uid", F.monotonically_increasing_id()))
+def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, similar: float = SIMILAR, uid: str | None = None) -> DataFrame:
+    """``doc_id, uid, class_id, kept`` for every row of ``docs``: uid numbers the rows (or is the column given), class_id is the least doc_id of the class, one row of each class is kept."""
+    signed = sign(docs, bands, rows, words, uid)
+    signed = stash(signed if uid else signed.withColumn("uid", F.monotonically_increasing_id()))
     nodes = signed.where("key is not null").groupBy("key").agg(F.min("uid").alias("uid"))
     nodes = stash(signed.join(nodes.select("uid"), "uid", "left_semi").select("key", "n", "bands", "sketch", "doc_id"))
     each = nodes.select("key", "n", F.explode("bands").alias("band"))
@@ -214,3 +217,10 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
     grouped = stash(grouped.select("doc_id", "uid", "group"))
     first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
     return grouped.join(first, "group").select("doc_id", "uid", F.col("first.doc_id").alias("class_id"), (F.col("uid") == F.col("first.uid")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the one with the least doc_id; all columns as they were."""
+    numbered = stash(docs.withColumn("__uid", F.monotonically_increasing_id()))
+    kept = classes(numbered.select("doc_id", "text", "__uid"), uid="__uid", **parameters).where("kept").select(F.col("uid").alias("__uid"))
+    return numbered.join(kept, "__uid", "left_semi").select(docs.columns)

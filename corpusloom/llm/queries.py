@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, edit_counts, html_text, near_dups, ogg, packing, pii, shards, toxicity
+from corpusloom.llm import bpe, edit_counts, html_text, near_dups, ogg, packing, pii, shards, toxicity, vector_dups
 from corpusloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents")).select("doc_id", "shard", "copy", "row_bytes", "shard_bytes", "oversized")
 
 
+def op5_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.links(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_main_text, op3_edit_token_counts, op4_hash_shards, op6_bpe_round_trip, op7_length_buckets, op8_pseudonyms, op9_near_duplicates, op10_ogg_media)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_main_text, op3_edit_token_counts, op4_hash_shards, op5_vector_duplicates, op6_bpe_round_trip, op7_length_buckets, op8_pseudonyms, op9_near_duplicates, op10_ogg_media)}
 
 
 def oracle_sql() -> dict[str, str]:
