@@ -28,3 +28,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+def _load() -> None:
+    from importlib import import_module
+
+    for name in ("term_queries",):
+        import_module(f"corpusloom.plans.{name}")
+
+
+_load()
