@@ -134,27 +134,27 @@ def d10_generic_terms(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", ((F.length("p_name") < 3) | F.lower("p_name").isin(*STOPWORDS)).alias("generico"))
 
 
-_PARTS = "SELECT p_partkey, string_split(p_type, ' ') AS items FROM part"
-_TECH_SQL = "(list_contains(['STEEL', 'TIN', 'Brass'], {c}) OR (contains({c}, '-') AND length({c}) > 5) OR regexp_full_match({c}, '[A-ZÁÉÍÓÚÑ]{{2,6}}'))"
+_PARTS = "SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS items FROM part"
+_TECH_SQL = "(list_contains(['PROMO', 'LARGE', 'rod'], {c}) OR (contains({c}, '-') AND length({c}) > 5) OR regexp_full_match({c}, '[A-ZÁÉÍÓÚÑ]{{2,6}}'))"
 
 
 @query(f"WITH p AS ({_PARTS}) SELECT p_partkey, array_to_string(list_filter(items, lambda c: {_TECH_SQL.format(c='c')}), ',') AS tecnicos FROM p")
 def d11_technical_terms(spark, sf_dir):
-    items = F.split("p_type", " ")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.filter(items, lambda c: tb.is_technical(c, _arrays(["STEEL", "TIN", "Brass"]))), ",").alias("tecnicos"))
+    items = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.filter(items, lambda c: tb.is_technical(c, _arrays(["PROMO", "LARGE", "rod"]))), ",").alias("tecnicos"))
 
 
-_REAL = "list_filter(items, lambda c: length(c) >= 3 AND NOT list_contains(['STANDARD', 'SMALL'], c))"
+_REAL = "list_filter(items, lambda c: length(c) >= 3 AND NOT list_contains(['STANDARD', 'widget'], c))"
 
 
 @query(f"WITH p AS ({_PARTS}) SELECT p_partkey, CASE WHEN len(items) = 0 THEN 'sin_conceptos' WHEN len({_REAL}) = 0 THEN 'solo_terminos_genericos' WHEN len(list_filter({_REAL}, lambda c: {_TECH_SQL.format(c='c')})) = 0 THEN 'sin_terminos_tecnicos' ELSE 'valida' END AS razon FROM p")
 def d12_valid_concepts(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", tb.valid_concepts(F.split("p_type", " "), _arrays(["STEEL", "TIN", "Brass"]), _arrays(["STANDARD", "SMALL"])).alias("razon"))
+    return table(spark, sf_dir, "part").select("p_partkey", tb.valid_concepts(F.split(F.concat_ws(" ", "p_name", "p_type"), " "), _arrays(["PROMO", "LARGE", "rod"]), _arrays(["STANDARD", "widget"])).alias("razon"))
 
 
 @query(f"WITH p AS ({_PARTS}), q AS (SELECT p_partkey, items, list_filter(items, lambda c: {_TECH_SQL.format(c='c')}) AS t, {_REAL} AS r FROM p) SELECT p_partkey, array_to_string(CASE WHEN len(t) >= 2 THEN t WHEN len(r) > 0 THEN r ELSE items END, ',') AS items FROM q")
 def d13_filtered_terms(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tb.filtered_terms(F.split("p_type", " "), _arrays(["STEEL", "TIN", "Brass"]), _arrays(["STANDARD", "SMALL"])), ",").alias("items"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tb.filtered_terms(F.split(F.concat_ws(" ", "p_name", "p_type"), " "), _arrays(["PROMO", "LARGE", "rod"]), _arrays(["STANDARD", "widget"])), ",").alias("items"))
 
 
 @query("SELECT doc_id, source IN ('src0', 'src1') OR (source = 'src2' AND len(list_filter(string_split(text, ' '), lambda w: w IN ('tion', 'the'))) > 0) AS audio FROM documents")

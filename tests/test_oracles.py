@@ -14,7 +14,7 @@ SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "∅"
         if hasattr(x, "tolist"):
             x = x.tolist()
