@@ -30,21 +30,30 @@ class CountTree:
         words = c.words(text)
         self.load([words[i : i + BLOCK] for i in range(0, len(words), BLOCK)] or [[]])
 
-    def count(self, words: list[str]) -> int:
-        """Tokens of ``words``; the literal of an added token can only be within one of them."""
-        n = sum(map(len, self.codec.tuples(words)))
+    def counts(self, words: list[str]) -> np.ndarray:
+        """Tokens of each word; the literal of an added token can only be within one of them."""
+        out = np.fromiter(map(len, self.codec.tuples(words)), np.int64, len(words))
+        text = "".join(words)
         for t in self.codec.added:
-            if any(t in w for w in words):
-                return sum(len(self.codec.encode(w)) for w in words)
-        return n
+            if t in text:
+                return np.array([len(self.codec.encode(w)) for w in words])
+        return out
+
+    def count(self, words: list[str]) -> int:
+        return int(self.counts(words).sum()) if words else 0
 
     def load(self, blocks: list[list[str]]) -> None:
         """Build the tree over ``blocks``: node 1 is the root, the leaves are at ``size + k``."""
         self.blocks = blocks
         self.size = 1 << max(0, (len(blocks) - 1).bit_length())
         self.sums = np.zeros((2 * self.size, 2), np.int64)
-        for k, words in enumerate(blocks):
-            self.sums[self.size + k] = sum(map(len, words)), self.count(words)
+        flat = [w for b in blocks for w in b]
+        if flat:
+            sizes = np.array([len(b) for b in blocks])
+            full = np.flatnonzero(sizes)
+            at = (np.cumsum(sizes) - sizes)[full]
+            each = np.stack([np.fromiter(map(len, flat), np.int64, len(flat)), self.counts(flat)], axis=1)
+            self.sums[self.size + full] = np.add.reduceat(each, at, axis=0)
         low = self.size
         while low > 1:
             level = self.sums[low : 2 * low]
