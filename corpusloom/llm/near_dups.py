@@ -9,11 +9,12 @@ rank axis, the same in every document that holds it. A document looks at all its
 coordinates and keeps the earliest on each. Two documents agree on a coordinate with the probability of their weighted
 Jaccard similarity. Documents that left a coordinate empty look further.
 
-Links: texts that are equal are one node. ``BANDS`` bands of ``ROWS`` coordinates are joined; a band bucket proposes
-pairs, first only each text with the least of its buckets' hubs, then, in buckets whose texts aren't yet together, every
-pair of texts that aren't, less those that sizes or signatures rule out (below similarity 0.6 by signature, six
-standard errors under 0.8). Every proposed pair is decided exactly on its texts, and connected components are classes.
-So a group of n copies costs about n pairs, and a similar pair is lost only if no band agrees (7 in 10,000 at 0.8).
+Links: texts that are equal are one node. ``BANDS`` bands of ``ROWS`` coordinates are joined. First each text is paired
+with one hub, the text of its buckets that meets most others. Then, in buckets whose texts aren't together by that,
+all texts that aren't are compared inside tasks, by blocks, on sketches of ``LONG`` coordinates, and pairs within 4.5
+standard errors of the threshold are proposed. Every proposed pair is decided exactly on its texts, and connected
+components are classes. So a group of n copies costs about n pairs, documents that share a passage cost none, and a
+similar pair is lost only if no band agrees (7 in 10,000 at 0.8).
 
 Null, empty and blank texts are like nothing: each row is a class of its own. Repeated rows are copies of each other.
 """
@@ -34,7 +35,9 @@ from corpusloom.llm.common import connected_components, stash
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 6
-RULED_OUT = 0.6
+#: Coordinates of the long sketches, made only of texts whose buckets aren't settled by their hubs.
+LONG = 512
+BLOCK = 1000
 TABLE = 500_000
 _U = np.uint64
 
@@ -120,7 +123,7 @@ def signatures(docs: list[np.ndarray], k: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, uid: str | None = None) -> DataFrame:
-    """``doc_id, key, n, bands array<long>, sketch`` of every row; key, a digest of the text, is null if it has no words."""
+    """``doc_id, key, n, bands array<long>`` of every row; key, a digest of the text, is null if it has no words."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +136,10 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WOR
             for j in range(rows):
                 b = mix(b * _U(31) + sig[:, j::rows])
             b = mix(b + np.arange(bands, dtype=_U)[None, :]).view(np.int64)
-            low = (sig & _U(255)).astype(np.uint8)
-            lists, sketch = [None] * len(ids), [None] * len(ids)
+            lists = [None] * len(ids)
             for q, i in enumerate(full):
-                lists[i], sketch[i] = b[q], low[q].tobytes()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), *([pa.array(uids, pa.int64())] if uid else [])], ["doc_id", "key", "n", "bands", "sketch", *(["uid"] if uid else [])])
+                lists[i] = b[q]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), *([pa.array(uids, pa.int64())] if uid else [])], ["doc_id", "key", "n", "bands", *(["uid"] if uid else [])])
 
         for batch in batches:
             ids, uids, sets, keys, size = [], [], [], [], 0
@@ -155,7 +157,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WOR
             yield part(ids, uids, sets, keys)
 
     number = F.col(uid).cast("long") if uid else F.lit(0).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), number.alias("uid")).mapInArrow(run, "doc_id long, key binary, n long, bands array<long>, sketch binary" + ", uid long" * bool(uid))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), number.alias("uid")).mapInArrow(run, "doc_id long, key binary, n long, bands array<long>" + ", uid long" * bool(uid))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
@@ -181,35 +183,86 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) ->
     return met.select("u", "tu", "v", "tv").mapInArrow(run, "u binary, v binary")
 
 
+def sketches(texts: DataFrame, words: int, k: int = LONG) -> DataFrame:
+    """``key, long``: a byte of each of ``k`` coordinates of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                sig = signatures([shingler(t.as_py()) for t in part.column(1)], k)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in (sig >> _U(9) & _U(255)).astype(np.uint8)], pa.binary())], ["key", "long"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, long binary")
+
+
+def proposed(rows: DataFrame, similar: float, block: int = BLOCK) -> DataFrame:
+    """Pairs of texts that share a bucket, aren't together yet and aren't ruled out by sizes or long sketches.
+
+    A bucket above ``block`` texts is cut into blocks, and each pair of blocks is a task of its own; pairs are compared
+    inside, and one that meets in several buckets is proposed in the first only.
+    """
+    size = rows.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    cut = rows.join(size, "band").withColumn("part", F.pmod(F.xxhash64("key", "band"), F.col("parts")).cast("int"))
+    cut = cut.withColumn("pair", F.explode(F.expr("transform(sequence(0, parts - 1), q -> struct(least(q, part) as a, greatest(q, part) as b))"))).select("*", "pair.a", "pair.b").drop("pair", "parts")
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        part, a, b = t["part"].to_numpy(), t["a"][0].as_py(), t["b"][0].as_py()
+        i, j = np.flatnonzero(part == a), np.flatnonzero(part == b)
+        sketch = np.frombuffer(b"".join(t["long"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        n = t["n"].to_numpy()
+        ids = t["key"].to_pylist()
+        roots = {r: q for q, r in enumerate(dict.fromkeys(t["root"].to_pylist()))}
+        root = np.array([roots[r] for r in t["root"].to_pylist()])
+        main = np.array([r == m for r, m in zip(t["root"].to_pylist(), t["main"].to_pylist(), strict=True)])
+        bands, band = np.array(t["bands"].to_pylist(), np.int64), t["band"][0].as_py()
+        least = similar - 4.5 * (similar * (1 - similar) / sketch.shape[1]) ** 0.5
+        us, vs = [], []
+        for x in i:
+            y = j[j > x] if a == b else j
+            y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) >= similar * np.maximum(n[y], n[x])) & ~(main[y] & main[x])]
+            if len(y):
+                y = y[(sketch[y] == sketch[x]).mean(axis=1) >= least]
+            if len(y):
+                same = bands[y] == bands[x]
+                y = y[same.argmax(axis=1) == np.flatnonzero(bands[x] == band)[0]]
+                us += [min(ids[x], ids[q]) for q in y]
+                vs += [max(ids[x], ids[q]) for q in y]
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return cut.groupBy("band", "a", "b").applyInArrow(compare, "u binary, v binary")
+
+
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, similar: float = SIMILAR, uid: str | None = None) -> DataFrame:
     """``doc_id, uid, class_id, kept`` for every row of ``docs``: uid numbers the rows (or is the column given), class_id is the least doc_id of the class, one row of each class is kept."""
     signed = sign(docs, bands, rows, words, uid)
     signed = stash(signed if uid else signed.withColumn("uid", F.monotonically_increasing_id()))
     nodes = signed.where("key is not null").groupBy("key").agg(F.min("uid").alias("uid"))
-    nodes = stash(signed.join(nodes.select("uid"), "uid", "left_semi").select("key", "n", "bands", "sketch", "doc_id"))
+    nodes = stash(signed.join(nodes.select("uid"), "uid", "left_semi").select("key", "n", "bands", "doc_id"))
     each = nodes.select("key", "n", F.explode("bands").alias("band"))
-    hubs = each.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("hub"), F.min_by("n", "key").alias("hub_n")).where("size > 1")
-    met = stash(each.join(hubs.select("band", "hub", "hub_n"), "band"))
+    sizes = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    met = stash(each.join(sizes, "band"))
+    central = met.groupBy("key").agg(F.sum("size").alias("score"))  # a group's origin meets most of it
+    hubs = met.join(central, "key").groupBy("band").agg(F.max(F.struct("score", "key", "n")).alias("hub"))
 
     involved = met.select("key").distinct().join(nodes.select("key", "doc_id"), "key")
     texts = stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))).join(involved, ["doc_id", "key"]).select("key", "text").dropDuplicates(["key"]))
 
     fits = lambda a, b: F.least(a, b) >= similar * F.greatest(a, b)
-    first = met.where(F.col("hub") < F.col("key")).where(fits("n", "hub_n")).groupBy("key").agg(F.min("hub").alias("u")).select("u", F.col("key").alias("v"))
+    first = met.select("band", "key", "n").join(hubs, "band").where("key <> hub.key").where(fits(F.col("n"), F.col("hub.n")))
+    first = first.groupBy("key").agg(F.max("hub").alias("hub")).select(F.col("hub.key").alias("u"), F.col("key").alias("v"))
     links = stash(verified(first, texts, words, similar))
 
     # a text's root: what it linked to, or what that linked to
     up = links.select(F.col("v").alias("key"), F.col("u").alias("up"))
-    root = up.join(up.select(F.col("key").alias("up"), F.col("up").alias("top")), "up", "left").select("key", F.coalesce("top", "up").alias("root"))
+    root = up.join(up.select(F.col("key").alias("up"), F.col("up").alias("top")), "up", "left").select("key", F.coalesce(F.nullif("top", "key"), "up").alias("root"))
     placed = met.select("band", "key", "n").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_ = placed.groupBy("band", "root").agg(F.count("*").alias("size")).groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    unresolved = stash(placed.join(open_.select("band", "main"), "band"))
-    minor = unresolved.where("root <> main").select("band", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
-    other = unresolved.select("band", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), (F.col("root") == F.col("main")).alias("in_main"))
-    more = minor.join(other, "band").where("ru <> rv and (in_main or u < v)").where(fits("nu", "nv")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    marks = nodes.select("key", "sketch")
-    agree = F.expr("aggregate(sequence(1, length(su)), 0, (acc, i) -> acc + if(substr(su, i, 1) = substr(sv, i, 1), 1, 0)) / length(su)")
-    more = more.join(marks.select(F.col("key").alias("u"), F.col("sketch").alias("su")), "u").join(marks.select(F.col("key").alias("v"), F.col("sketch").alias("sv")), "v").where(agree >= RULED_OUT).select("u", "v")
+    unresolved = placed.join(open_.select("band", "main"), "band")
+    long = stash(sketches(unresolved.select("key").distinct().join(texts, "key"), words))
+    unresolved = unresolved.join(long, "key").join(nodes.select("key", "bands"), "key")
+    more = proposed(unresolved, similar).distinct()
     links = stash(links.unionByName(verified(more, texts, words, similar)))
 
     groups = connected_components(links).select(F.col("id").alias("key"), F.col("component_id").alias("group"))
