@@ -33,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     from importlib import import_module
 
-    for name in ("term_queries", "text_queries", "domain_queries", "search_queries", "graph_queries"):
+    for name in ("term_queries", "text_queries", "domain_queries", "search_queries", "graph_queries", "page_queries"):
         import_module(f"corpusloom.plans.{name}")
 
 
