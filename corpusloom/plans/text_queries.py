@@ -172,9 +172,19 @@ def c1_sentences(spark, sf_dir):
     return sg.sentences(docs(spark, sf_dir)).select("content_id", F.col("place").cast("long").alias("place"), F.sha2("sentence", 256).alias("h"))
 
 
-@query()
+_SPLIT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+#: Sentences packed one after another up to 300 characters, by recursion over the place of a sentence.
+D_SEGMENTS = (
+    f"s AS (SELECT doc_id AS content_id, unnest({_SPLIT}) AS x, generate_subscripts({_SPLIT}, 1) AS i FROM documents), "
+    "r AS (SELECT doc_id AS content_id, 0::BIGINT AS i, '' AS cur, NULL::VARCHAR AS done FROM documents UNION ALL SELECT r.content_id, s.i, CASE WHEN length(cur) + length(x) + 1 > 300 OR cur = '' THEN x ELSE cur || ' ' || x END, CASE WHEN length(cur) + length(x) + 1 > 300 THEN cur END FROM r JOIN s ON s.content_id = r.content_id AND s.i = r.i + 1), "
+    "fin AS (SELECT content_id, i, done AS segment FROM r WHERE done <> '' UNION ALL SELECT content_id, i + 1, cur FROM r QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY i DESC) = 1), "
+    r"segs AS (SELECT content_id, row_number() OVER (PARTITION BY content_id ORDER BY i) - 1 AS seg_no, trim(segment) AS segment FROM fin WHERE length(trim(regexp_replace(segment, '[^\p{L}\p{N}_\s]', '', 'g'))) >= 10)"
+)
+
+
+@query(f"WITH RECURSIVE {D_SEGMENTS} SELECT content_id, seg_no, sha256(segment) AS h FROM segs")
 def c2_segments(spark, sf_dir):
-    return sg.segments(docs(spark, sf_dir))
+    return sg.segments(docs(spark, sf_dir)).select("content_id", F.col("seg_no").cast("long").alias("seg_no"), F.sha2("segment", 256).alias("h"))
 
 
 @query(f"WITH {D_SENTENCES}, g AS (SELECT content_id, place // 10 AS posicion, string_agg(sentence, ' ' ORDER BY place) AS texto, count(*) AS n_oraciones FROM sent GROUP BY ALL) SELECT content_id || '_' || lpad(posicion::VARCHAR, 4, '0') || '_' || substr(sha256(texto), 1, 8) AS chunk_id, content_id, posicion::BIGINT AS posicion, n_oraciones FROM g")
@@ -286,7 +296,11 @@ def f11_lexicon_sentiment(spark, sf_dir):
     return _sentiment(spark, sf_dir).drop("hablante")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {D_SEGMENTS}, {D_COUNTS}, {D_STOP}, keys AS (SELECT content_id, term, row_number() OVER (PARTITION BY content_id ORDER BY frequency DESC, place) AS rank FROM counts WHERE term NOT IN (SELECT term FROM stop) QUALIFY rank <= 10), low AS (SELECT content_id, seg_no, {SQUEEZE.format(d_norm('lower(segment)'))} AS t FROM segs), "
+    "hit AS (SELECT l.content_id, seg_no, term, rank FROM low l JOIN keys k ON k.content_id = l.content_id AND contains(l.t, k.term)), p AS (SELECT a.content_id, a.term AS t1, b.term AS t2, a.rank AS i, b.rank AS j, count(*) AS n, min(a.seg_no) AS f FROM hit a JOIN hit b ON a.content_id = b.content_id AND a.seg_no = b.seg_no AND a.rank < b.rank GROUP BY ALL) "
+    "SELECT content_id, t1, t2, n, row_number() OVER (PARTITION BY content_id ORDER BY n DESC, f, i, j) AS rank FROM p QUALIFY rank <= 15"
+)
 def f12_cooccurrences(spark, sf_dir):
     d = docs(spark, sf_dir)
     return sg.cooccurrences(sg.segments(d), tm.key_terms(d, words_frame(spark, STOPWORDS), 10))
