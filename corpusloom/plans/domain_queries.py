@@ -9,7 +9,7 @@ from corpusloom.operators import segments as sg
 from corpusloom.operators import tables as tb
 from corpusloom.operators import templates as tp
 from corpusloom.operators import terms as tm
-from corpusloom.plans.base import DOMAINS, PRIORITY, STOPWORDS, d_norm, docs, table, timed, values, words_frame
+from corpusloom.plans.base import D_COUNTS, D_SENTENCES, D_STOP, DOMAINS, PRIORITY, STOPWORDS, d_norm, docs, table, timed, values, words_frame
 from corpusloom.plans.registry import query
 
 _LOW = rf"trim(regexp_replace({d_norm('lower(text)')}, '\s+', ' ', 'g'))"
@@ -109,7 +109,10 @@ def h10_real_speakers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", dm.real_speaker(F.col("role"), F.col("text")).alias("hablante"))
 
 
-@query()
+@query(
+    f"WITH {D_COUNTS}, {D_STOP}, {D_SENTENCES}, keys AS (SELECT content_id, term, row_number() OVER (PARTITION BY content_id ORDER BY frequency DESC, place) AS rank FROM counts WHERE term NOT IN (SELECT term FROM stop) QUALIFY rank <= 5), m AS (SELECT k.content_id, k.term, k.rank, s.place, s.sentence FROM keys k JOIN sent s ON s.content_id = k.content_id AND length(s.sentence) > 50 AND contains(lower(s.sentence), k.term) QUALIFY row_number() OVER (PARTITION BY k.content_id, k.term ORDER BY s.place) = 1), "
+    "one AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY content_id, sentence ORDER BY rank) = 1) SELECT content_id, term, rank, place::BIGINT AS place, sentence AS premisa, CASE WHEN contains(lower(sentence), 'tion') OR contains(lower(sentence), 'ment') THEN 'SOSTENIDO' WHEN contains(lower(sentence), 'the') OR contains(lower(sentence), 'de') THEN 'ESPECULATIVO' ELSE 'PARCIAL' END AS estado FROM one"
+)
 def h12_critical_reading(spark, sf_dir):
     d = docs(spark, sf_dir)
     return dm.critical_reading(sg.sentences(d), tm.key_terms(d, words_frame(spark, STOPWORDS), 5), ["tion", "ment"], ["the", "de"])

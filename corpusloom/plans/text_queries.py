@@ -233,9 +233,14 @@ def c8_proper_names(spark, sf_dir):
     return sg.proper_names(docs(spark, sf_dir))
 
 
-@query()
+_VERBS = [*sg.RELATIONS, ("of", "of"), ("de", "de")]
+_W1 = r"([\p{L}\p{N}_]+)"
+_FOUND = " UNION ALL ".join(rf"SELECT doc_id AS content_id, '{k}' AS tipo, unnest(regexp_extract_all(lower(text), '{_W1}\s+(?:{v})\s+{_W1}', 0)) AS m FROM documents" for k, v in _VERBS)
+
+
+@query(f"WITH f AS ({_FOUND}) SELECT content_id, regexp_extract(m, '^{_W1}', 1) AS origen, tipo, regexp_extract(m, '{_W1}$', 1) AS destino, 1.0::DOUBLE AS peso FROM f")
 def c9_relations(spark, sf_dir):
-    return sg.relations(docs(spark, sf_dir), patterns=[*sg.RELATIONS, ("of", "of"), ("de", "de")])
+    return sg.relations(docs(spark, sf_dir), patterns=_VERBS)
 
 
 @query("WITH t AS (SELECT lower(text) AS t, doc_id AS content_id FROM documents), p(phrase) AS (VALUES ('of the'), ('in the'), ('de la'), ('tion')) SELECT content_id, phrase, ((length(t) - length(replace(t, phrase, ''))) // length(phrase))::BIGINT AS n FROM t, p WHERE contains(t, phrase)")
