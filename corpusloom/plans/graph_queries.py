@@ -11,9 +11,11 @@ from corpusloom.operators import segments as sg
 from corpusloom.operators import tables as tb
 from corpusloom.operators import templates as tp
 from corpusloom.operators import terms as tm
-from corpusloom.plans.base import D_COUNTS, D_STOP, D_TIMED, DOMAINS, PRIORITY, STOPWORDS, counts, d_terms, docs, table, timed, values, words_frame
+from corpusloom.operators.quotes import CODE, semantic_quotes
+from corpusloom.plans.base import D_COUNTS, D_SENTENCES, D_STOP, D_TIMED, DOMAINS, PRIORITY, STOPWORDS, counts, d_terms, docs, table, timed, values, words_frame
 from corpusloom.plans.domain_queries import D_DOMAIN
 from corpusloom.plans.registry import query
+from corpusloom.plans.text_queries import D_COOCCURRENCES
 
 D_PAIRS = (
     f"{D_COUNTS}, {D_STOP}, top AS (SELECT content_id, term, frequency FROM counts WHERE term NOT IN (SELECT term FROM stop) AND length(term) > 3 QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY frequency DESC, term) <= 15), "
@@ -246,9 +248,17 @@ def g9_evidence_order(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4 + 1).alias("level"), F.coalesce(date, F.lit("0000-00-00")).alias("fecha")).orderBy("level", "fecha", "doc_id")
 
 
-@query()
-def h11_semantic_quotes(spark, sf_dir):
-    from corpusloom.operators.quotes import semantic_quotes
+_NO_CODE = " AND ".join(f"NOT contains(texto, '{m}')" for m in CODE)
+_SHARE = "CASE WHEN len({xs}) > 0 THEN len(list_filter({xs}, lambda x: {hit})) / len({xs}) ELSE 0 END"
+
 
+@query(
+    f"WITH RECURSIVE {D_COOCCURRENCES}, {D_SENTENCES}, g AS (SELECT content_id, place // 3 AS posicion, string_agg(sentence, ' ' ORDER BY place) AS texto FROM sent GROUP BY ALL), d AS (SELECT *, lower(texto) AS low FROM g WHERE length(texto) >= 30 AND {_NO_CODE} QUALIFY row_number() OVER (PARTITION BY content_id, lower(texto) ORDER BY posicion) = 1), "
+    "kt AS (SELECT content_id, list(term) AS ts FROM keys GROUP BY content_id), kp AS (SELECT content_id, list({'a': t1, 'b': t2}) AS ps FROM pairs GROUP BY content_id), "
+    f"sc AS (SELECT d.content_id, posicion, texto, 40 * ({_SHARE.format(xs='ts', hit='contains(low, x)')}) + 25 * ({_SHARE.format(xs='ps', hit='contains(low, x.a) AND contains(low, x.b)')}) + 7.5 AS s FROM d LEFT JOIN kt USING (content_id) LEFT JOIN kp USING (content_id)) "
+    "SELECT content_id, posicion::BIGINT AS posicion, sha256(texto) AS h, round(s, 2) AS score, row_number() OVER (PARTITION BY content_id ORDER BY s DESC, posicion) AS rank FROM sc QUALIFY rank <= 10"
+)
+def h11_semantic_quotes(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return semantic_quotes(d, tm.key_terms(d, words_frame(spark, STOPWORDS), 10), sg.cooccurrences(sg.segments(d), tm.key_terms(d, words_frame(spark, STOPWORDS), 10)))
+    keys = tm.key_terms(d, words_frame(spark, STOPWORDS), 10)
+    return semantic_quotes(d, keys, sg.cooccurrences(sg.segments(d), keys)).select("content_id", "posicion", F.sha2("texto", 256).alias("h"), "score", "rank")

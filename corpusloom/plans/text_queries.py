@@ -301,11 +301,14 @@ def f11_lexicon_sentiment(spark, sf_dir):
     return _sentiment(spark, sf_dir).drop("hablante")
 
 
-@query(
-    f"WITH RECURSIVE {D_SEGMENTS}, {D_COUNTS}, {D_STOP}, keys AS (SELECT content_id, term, row_number() OVER (PARTITION BY content_id ORDER BY frequency DESC, place) AS rank FROM counts WHERE term NOT IN (SELECT term FROM stop) QUALIFY rank <= 10), low AS (SELECT content_id, seg_no, {SQUEEZE.format(d_norm('lower(segment)'))} AS t FROM segs), "
+D_COOCCURRENCES = (
+    f"{D_SEGMENTS}, {D_COUNTS}, {D_STOP}, keys AS (SELECT content_id, term, row_number() OVER (PARTITION BY content_id ORDER BY frequency DESC, place) AS rank FROM counts WHERE term NOT IN (SELECT term FROM stop) QUALIFY rank <= 10), low AS (SELECT content_id, seg_no, {SQUEEZE.format(d_norm('lower(segment)'))} AS t FROM segs), "
     "hit AS (SELECT l.content_id, seg_no, term, rank FROM low l JOIN keys k ON k.content_id = l.content_id AND contains(l.t, k.term)), p AS (SELECT a.content_id, a.term AS t1, b.term AS t2, a.rank AS i, b.rank AS j, count(*) AS n, min(a.seg_no) AS f FROM hit a JOIN hit b ON a.content_id = b.content_id AND a.seg_no = b.seg_no AND a.rank < b.rank GROUP BY ALL) "
-    "SELECT content_id, t1, t2, n, row_number() OVER (PARTITION BY content_id ORDER BY n DESC, f, i, j) AS rank FROM p QUALIFY rank <= 15"
+    ", pairs AS (SELECT content_id, t1, t2, n, row_number() OVER (PARTITION BY content_id ORDER BY n DESC, f, i, j) AS rank FROM p QUALIFY rank <= 15)"
 )
+
+
+@query(f"WITH RECURSIVE {D_COOCCURRENCES} SELECT content_id, t1, t2, n, rank FROM pairs")
 def f12_cooccurrences(spark, sf_dir):
     d = docs(spark, sf_dir)
     return sg.cooccurrences(sg.segments(d), tm.key_terms(d, words_frame(spark, STOPWORDS), 10))
