@@ -268,12 +268,16 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
     groups = connected_components(links).select(F.col("id").alias("key"), F.col("component_id").alias("group"))
     grouped = signed.select("doc_id", "uid", "key").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key", F.to_binary(F.hex("uid"), F.lit("hex"))))
     grouped = stash(grouped.select("doc_id", "uid", "group"))
-    first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
+    first = stash(grouped.groupBy("group").agg(F.min(F.struct("doc_id", "uid")).alias("first")))  # else its sums and the join share tasks, and a large group can't be split
     return grouped.join(first, "group").select("doc_id", "uid", F.col("first.doc_id").alias("class_id"), (F.col("uid") == F.col("first.uid")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the least doc_id; all columns as they were."""
-    numbered = stash(docs.withColumn("__uid", F.monotonically_increasing_id()))
-    kept = classes(numbered.select("doc_id", "text", "__uid"), uid="__uid", **parameters).where("kept").select(F.col("uid").alias("__uid"))
-    return numbered.join(kept, "__uid", "left_semi").select(docs.columns)
+    uid = "__uid"
+    while uid in docs.columns:
+        uid += "_"
+    numbered = stash(docs.withColumn(uid, F.monotonically_increasing_id()))
+    # what goes is less than what stays, so Spark may find it small enough to send to the texts
+    gone = stash(classes(numbered.select("doc_id", "text", uid), uid=uid, **parameters).where("not kept").select(F.col("uid").alias(uid)))
+    return numbered.join(gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

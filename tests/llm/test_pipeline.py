@@ -7,7 +7,7 @@ from corpusloom.llm import near_dups
 
 def test_keep_one_keeps_columns(spark):
     rows = [(1, "a b c d e f g h", "x"), (2, "a b c d e f g h", "y"), (2, "a b c d e f g h", "y"), (3, None, "z"), (4, "", "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__uid` string")
     out = near_dups.keep_one(df)
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
