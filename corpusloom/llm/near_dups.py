@@ -38,7 +38,7 @@ BANDS, ROWS = 24, 6
 #: Coordinates of the long sketches, made only of texts whose buckets aren't settled by their hubs.
 LONG = 512
 BLOCK = 1000
-TABLE = 500_000
+TABLE = 200_000
 _U = np.uint64
 
 
@@ -151,7 +151,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WOR
                 sets.append(s)
                 keys.append(hashlib.md5(t.encode()).digest() if len(s) else None)
                 size += len(s)
-                if size > 500_000 or len(ids) >= 1000:
+                if size > 250_000 or len(ids) >= 400:
                     yield part(ids, uids, sets, keys)
                     ids, uids, sets, keys, size = [], [], [], [], 0
             yield part(ids, uids, sets, keys)

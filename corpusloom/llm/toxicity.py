@@ -41,7 +41,7 @@ ROW_CHARS = 20_000
 ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 8 << 10
 GRAM = 5
 LEAD, TAIL = 64, 32
-TABLE = 400_000
+TABLE = 150_000
 MARGINS = (2, 3, 4, 6, 8)
 PARAMETERS = dict(strategy=zstandard.STRATEGY_BTOPT, window_log=17, hash_log=16, chain_log=16, search_log=5, min_match=4, target_length=32, write_content_size=False, write_dict_id=False, write_checksum=False)
 
