@@ -7,8 +7,8 @@ and a confidence bound of ``SIGMAS`` standard errors around it. A pair whose upp
 dropped; every other pair is computed exactly, in double precision.
 
 Pairs come from ``tables`` buckets per vector, each the signs of ``bits`` random directions. Their number follows from
-the number of vectors: buckets of some dozen vectors by chance, and as many tables as find a pair at the threshold with
-probability ``RECALL``. Buckets are met twice. First with codes only (about 60 bytes a vector and bucket): a vector that
+the number of vectors: buckets of about a hundred vectors by chance, and as many tables as find a pair at the threshold with
+probability ``RECALL``. Buckets are met twice. First with codes of several rotations only (about 60 bytes a vector and bucket): a vector that
 has no candidate in a bucket leaves it. Then what is left, with the vectors. A bucket above ``BLOCK`` vectors is cut
 into blocks, and each pair of blocks is a task of its own, so a bucket of any size is compared whole. Equal vectors are
 one vector with a count. A pair that meets in several tables counts in the first; tasks return counts and a spanning
@@ -34,6 +34,9 @@ THRESHOLD = 0.9
 RECALL = 0.97
 SIGMAS = 5.0
 BLOCK = 512
+#: Vectors that share a bucket by chance, and bits of the codes that sift them.
+BUCKET = 96
+SIFT_BITS = 256
 SEED = 20
 
 
@@ -44,7 +47,7 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a bucket and tables for ``n`` vectors."""
-    bits = max(6, min(40, math.ceil(math.log2(max(2, n) / 12))))
+    bits = max(6, min(40, math.ceil(math.log2(max(2, n) / BUCKET))))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-same)))
 
@@ -61,6 +64,12 @@ def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pack_signs(turned), np.abs(turned).sum(axis=1) / math.sqrt(unit.shape[1]), turned
 
 
+def sift_codes(unit: np.ndarray) -> np.ndarray:
+    """Code words of as many rotations as SIFT_BITS need."""
+    dim = unit.shape[1]
+    return np.concatenate([pack_signs(unit @ rotation(dim, SEED + 100 + r)) for r in range(-(-SIFT_BITS // dim))], axis=1)
+
+
 def quantised(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Four bit planes of each row, its low end, step and sum of levels; rounding is random but depends only on the row."""
     low = turned.min(axis=1)
@@ -92,7 +101,7 @@ def _unit(df: DataFrame, column: str) -> DataFrame:
 
 
 def _coded(vectors: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame:
-    """``node, dim, code binary, factor, buckets array<long>, unit binary`` of ``node, e``."""
+    """``node, dim, code binary, wide binary, factor, buckets array<long>, unit binary`` of ``node, e``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -111,11 +120,11 @@ def _coded(vectors: DataFrame, bits: int, tables: int, seed: int = SEED) -> Data
                 buckets = (signs << np.arange(bits)).sum(axis=2, dtype=np.int64) * 4096 + np.arange(tables) % 4096
                 code, factor, _ = codes(unit)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(at)), pa.array([dim] * len(at), pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), pa.array(list(buckets), pa.list_(pa.int64())), pa.array([u.tobytes() for u in unit], pa.binary())],
-                    ["node", "dim", "code", "factor", "buckets", "unit"],
+                    [b.column(0).take(pa.array(at)), pa.array([dim] * len(at), pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([c.tobytes() for c in sift_codes(unit)], pa.binary()), pa.array(factor), pa.array(list(buckets), pa.list_(pa.int64())), pa.array([u.tobytes() for u in unit], pa.binary())],
+                    ["node", "dim", "code", "wide", "factor", "buckets", "unit"],
                 )
 
-    return vectors.select("node", "e").mapInArrow(run, "node long, dim int, code binary, factor double, buckets array<long>, unit binary")
+    return vectors.select("node", "e").mapInArrow(run, "node long, dim int, code binary, wide binary, factor double, buckets array<long>, unit binary")
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -151,11 +160,12 @@ def _candidates(code: np.ndarray, factor: np.ndarray, turned: np.ndarray | None,
 
 def link_counts(coded: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(node, linked)`` numbers of vectors that pairs link to a node, weighted by their counts, and star links ``(u, v)`` of nodes."""
-    first = _blocks(coded.select("dim", F.explode("buckets").alias("bucket"), "node", "code"), block)
+    first = _blocks(coded.select("dim", F.explode("buckets").alias("bucket"), "node", "wide"), block)
 
     def sift(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         i, j, same = _split(t)
-        c = _candidates(_bytes(t, "code", np.uint64), None, None, i, j, t["dim"][0].as_py(), threshold)
+        dim = t["dim"][0].as_py()
+        c = _candidates(_bytes(t, "wide", np.uint64), None, None, i, j, dim * -(-SIFT_BITS // dim), threshold)
         if same:
             np.fill_diagonal(c, False)
         keep = np.unique(np.concatenate([i[c.any(axis=1)], j[c.any(axis=0)]]))
