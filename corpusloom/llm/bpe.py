@@ -64,6 +64,7 @@ class Codec:
             for a, b in zip(t, t[1:], strict=False):
                 self.inside[a, b] = True
         self.outside = ~self.inside
+        self.certain = frozenset(zip(*map(np.ndarray.tolist, np.nonzero(self.outside)), strict=True))
         self.bytes_of = str.maketrans({c: chr(b) for c, b in byte_of.items()})
         self.tokens |= {i: t.encode() for t, i in self.added.items()}
         self.digits = {i: str(i) for i in self.tokens}
@@ -84,8 +85,24 @@ class Codec:
                 self.fragments[fragment] = ids
         return ids
 
+    def cut(self, piece: bytes) -> list[str]:
+        """The fragments of one pre-token."""
+        text = piece.decode("latin-1").translate(self.letters)
+        if len(piece) > LONG:
+            b = np.frombuffer(piece, np.uint8)
+            at = (np.flatnonzero(self.outside[b[:-1], b[1:]]) + 1).tolist()
+        else:
+            at = [i for i, pair in enumerate(zip(piece, piece[1:], strict=False), 1) if pair in self.certain]
+        return [text[i:j] for i, j in zip([0, *at], [*at, len(text)], strict=True)]
+
     def learn(self, words: list[str]) -> None:
         """Put ``words`` into the table: all their pre-tokens as one run of bytes, cut at every certain pair and between pre-tokens."""
+        if len(words) < 8:
+            for w in words:
+                m = self.plain(w)
+                raw = [x.encode() for x in m.groups() if x] if m else [p.translate(self.bytes_of).encode("latin-1") for p, _ in self.pre.pre_tokenize_str(w)]
+                self.table[w] = tuple(chain.from_iterable(map(self.model_ids, chain.from_iterable(map(self.cut, raw)))))
+            return
         raw, pieces = [], []  # bytes; pre-tokens of each word
         for w in words:
             m = self.plain(w)

@@ -95,8 +95,10 @@ class CountTree:
         # words from one before the edit to one after it, as (block, place)
         first_words = self.blocks[k]
         i, pos = 0, start
-        while i < len(first_words) and pos + len(first_words[i]) < at:
-            pos += len(first_words[i])
+        for w in first_words:
+            if pos + len(w) >= at:
+                break
+            pos += len(w)
             i += 1
         if i:
             i -= 1
