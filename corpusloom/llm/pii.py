@@ -6,6 +6,10 @@ and comes back in its own format: digits for digits, letters for letters of the
 checksums right again. The permutation depends on the key and the kind only, so equal values have equal pseudonyms in
 all documents, different values different ones, and ``restore=True`` with the same key turns them back.
 
+Further groups of digits may follow a card (a month, a check code). The card is the shortest run of 13 to 19 whole groups
+with a right Luhn sum: whether a shorter run is right can't depend on what follows, so restoring finds the same end. The
+few cards with another possible end inside are permuted again until no shorter run is right. An IBAN has the length of its country.
+
 * Strings (cards, phones, social security numbers, IBANs, keys, secrets, the local part of e-mail addresses): the
   characters to permute are taken out, cut in two halves, and in each round one half is shifted, position by position
   and within its character class, by a keyed hash of the other.
@@ -23,18 +27,31 @@ from pyspark.sql import functions as F
 KEY = "corpus-pseudonym-key"
 ROUNDS = 10
 
+#: IBAN characters by country (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA", 23: "TL GI IQ IL AE SO OM", 24: "AD CZ MD PK RO SA SK ES SE TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MR MC SM BI DJ", 28: "AL AZ BY CY DO SV GT HU LB PL NI HN", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
+DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
+IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
+PHONE = r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
+#: A digit of a card with the sign before it, where no other value begins.
+CARD_DIGIT = f"(?:[0-9]|[ \\-](?!{SSN}|{DATE}|{IP}|{PHONE})[0-9])"
+
 #: kind, pattern of a candidate. Order decides where two would begin at the same place.
 KINDS = [
-    ("secret", r"""(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_\-]{8,256}"""),
+    ("secret", r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_\-]{8,}"""),
     ("access_key", r"(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])"),
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"),
-    ("date", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"),
-    ("ip", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"),
-    ("phone", r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"),
+    ("iban", IBAN + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("ssn", SSN),
+    ("date", DATE),
+    ("ip", IP),
+    ("phone", PHONE),
     ("phone_intl", r"\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"),
-    ("card", r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"),
+    ("card", f"[0-9]{CARD_DIGIT}{{12,18}}(?![0-9])"),
 ]
 ANY = r"(?<![A-Za-z0-9+])(?:" + "|".join(p for _, p in KINDS) + ")"
 
@@ -53,12 +70,11 @@ def _order(restore: bool) -> str:
 
 def _shift(half: str, h: str, sign: str, lower: int, upper: int, low_digit: int) -> str:
     """Each character of ``half`` moved within its class by two hex digits of ``h``. lower, upper: letters in use from a and A on; low_digit: the first digit in use."""
-    k = f"{sign}cast(conv(substr({h}, 1 + 2 * ((j - 1) % 32), 2), 16, 10) as int)"
-    c = f"substr({half}, j, 1)"
+    k = f"{sign}cast(conv(substr({h}, 1 + 2 * (j % 32), 2), 16, 10) as int)"
     size = 10 - low_digit if low_digit == 0 else 6
     return (
-        f"array_join(transform(if(length({half}) = 0, array(), sequence(1, length({half}))), j -> case when {c} between '{low_digit}' and '{low_digit + size - 1}' then char({48 + low_digit} + pmod(ascii({c}) - {48 + low_digit} + {k}, {size})) "
-        f"when ascii({c}) between 97 and {96 + lower} then char(97 + pmod(ascii({c}) - 97 + {k}, {lower})) when ascii({c}) between 65 and {64 + upper} then char(65 + pmod(ascii({c}) - 65 + {k}, {upper})) else {c} end), '')"
+        f"array_join(transform(split({half}, ''), (c, j) -> case when c between '{low_digit}' and '{low_digit + size - 1}' then char({48 + low_digit} + pmod(ascii(c) - {48 + low_digit} + {k}, {size})) "
+        f"when ascii(c) between 97 and {96 + lower} then char(97 + pmod(ascii(c) - 97 + {k}, {lower})) when ascii(c) between 65 and {64 + upper} then char(65 + pmod(ascii(c) - 65 + {k}, {upper})) else c end), '')"
     )
 
 
@@ -103,6 +119,17 @@ def mod97(x: str) -> str:
     return f"aggregate(sequence(1, length({x})), 0L, (acc, j) -> (acc * if({v} > 9, 100, 10) + {v}) % 97)"
 
 
+def card_ends(m: str) -> str:
+    """SQL: the numbers of digits, from 13 to 19, after which a group of ``m`` ends, least first."""
+    return "array_compact(array(" + ", ".join(f"if({m} rlike {quote('^[0-9](?:[ -]?[0-9]){%d}(?![0-9])' % (n - 1))}, {n}, null)" for n in range(13, 20)) + "))"
+
+
+def card_end(m: str) -> str:
+    """SQL: the number of digits of the card with which ``m`` begins, null if there is none."""
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    return f"try_element_at(filter({card_ends(m)}, e -> {luhn_sum(f'substr({digits}, 1, e)')} % 10 = 0), 1)"
+
+
 def pseudonym(m: str, key: str, restore: bool = False) -> str:
     """SQL: the pseudonym of the candidate ``m``, or ``m`` itself if it isn't valid."""
     f = lambda x, kind, **k: feistel_string(x, key, kind, restore, **k)
@@ -113,8 +140,10 @@ def pseudonym(m: str, key: str, restore: bool = False) -> str:
     iban = f"regexp_replace({m}, ' ', '')"
     body = f(f"substr({iban}, 5)", "iban")
     check = _let(body, "q", f"concat(substr({iban}, 1, 2), lpad(cast(98 - {mod97(f'''concat(q, substr({iban}, 1, 2), '00')''')} as string), 2, '0'), q)")
-    card_body = f(f"substr({digits}, 2, length({digits}) - 2)", "card")
-    card = _let(f"concat(substr({digits}, 1, 1), {card_body}, '0')", "q", f"concat(substr(q, 1, length(q) - 1), cast(pmod(-{luhn_sum('q')}, 10) as string))")
+    new_card = lambda d: _let(f"concat(substr({d}, 1, 1), {f(f'substr({d}, 2, length({d}) - 2)', 'card')}, '0')", "z", f"concat(substr(z, 1, length(z) - 1), cast(pmod(-{luhn_sum('z')}, 10) as string))")
+    again = f"aggregate(sequence(1, 200), {new_card('d')}, (y, step) -> if(exists(ends, e -> {luhn_sum('substr(y, 1, e)')} % 10 = 0), {new_card('y')}, y))"
+    walked = _let(f"filter({card_ends(m)}, e -> e < n)", "ends", f"if(size(ends) = 0, {new_card('d')}, {again})")
+    card = _let(card_end(m), "n", _let(f"substr({digits}, 1, n)", "d", f"concat({walked}, substr({digits}, n + 1))"))
     octet = lambda k: f"cast(split({m}, '[.]')[{k}] as bigint)"
     ip = _let(feistel_pair(f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", 65536, 65536, key, "ip", restore), "q", "concat_ws('.', q.a div 256, q.a % 256, q.b div 256, q.b % 256)")
     iso, slash = quote(r"^\d{4}-"), quote(r"/")
@@ -143,7 +172,6 @@ def pseudonym(m: str, key: str, restore: bool = False) -> str:
 def kind_of(m: str) -> str:
     """SQL: the kind of a candidate, null if it isn't valid."""
     is_ = {k: f"{m} rlike {quote('^(?:' + p + ')$')}" for k, p in KINDS}
-    digits = f"regexp_replace({m}, '[^0-9]', '')"
     iban = f"regexp_replace({m}, ' ', '')"
     octets = " and ".join(f"cast(split({m}, '[.]')[{k}] as int) <= 255" for k in range(4))
     iso, slash = quote(r"^\d{4}-"), quote(r"/")
@@ -154,13 +182,13 @@ def kind_of(m: str) -> str:
         when {is_["date"]} then if({day} between date'1900-01-01' and date'2099-12-31', 'date', null)
         when {is_["ip"]} then if({octets}, 'ip', null)
         when {is_["phone"]} or {is_["phone_intl"]} then 'phone'
-        when {is_["card"]} then if({luhn_sum(digits)} % 10 = 0, 'card', null) end"""
+        when {is_["card"]} then if({card_end(m)} is not null, 'card', null) end"""
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", restore: bool = False, found_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``; with ``found_col`` also the kinds of the valid values, in text order."""
     t = f"`{text_col}`"
-    any_, hint = quote(ANY), quote("[0-9@]|assw|pwd|ecret|oken|pi[_-]?key")
+    any_, hint = quote(ANY), quote("(?i)[0-9@]|passw|pwd|secret|token|api[_-]?key")
     matches = f"if({t} rlike {hint}, regexp_extract_all({t}, {any_}, 0), null)"
     free = next(n for n in (f"__found{i}" for i in range(99)) if n not in docs.columns)
     new = f"array_join(zip_with(split({t}, {any_}, -1), transform({free}, m -> {pseudonym('m', key, restore)}), (g, p) -> concat(g, coalesce(p, ''))), '')"

@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 import re
 
 from corpusloom.llm import pii
@@ -88,3 +89,37 @@ def test_dates_are_permuted(spark):
 def test_no_python_in_plan(spark):
     plan = pii.pseudonymise(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_capitals_long_secrets_and_what_follows(spark):
+    long = "aB3" * 20_000
+    cases = {
+        'TOKEN = "9233A8EC51B07F64"': ["secret"], "Password: Hunter2Hunter2": ["secret"], "API_KEY=abcdefgh1234": ["secret"], f"secret={long} end": ["secret"],
+        "pay 4111 1111 1111 1111 12/27": ["card"], "4111-1111-1111-1111 123 ok": ["card"], "4111111111111111 192.168.1.77": ["card", "ip"], "4111111111111111 212-555-0199": ["card", "phone"], "6304 0000 0000 0000 000": ["card"],
+        "GB82WEST12345698765432 THE": ["iban"], "BE68 5390 0754 7034 2024": ["iban"], "BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00": ["iban", "iban"], "4111 1111 1111 1112 12/27": [],
+    }
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), found_col="kinds").cache()
+    rows = {r.doc_id: r for r in out.collect()}
+    back = {r.doc_id: r.text for r in pii.pseudonymise(out.drop("kinds"), restore=True).collect()}
+    for i, (t, kinds) in enumerate(cases.items()):
+        assert list(rows[i].kinds) == kinds, (t[:80], rows[i].kinds)
+        assert back[i] == t and (rows[i].text != t) == bool(kinds)
+    got = {t: rows[i].text for i, t in enumerate(cases)}
+    assert got[f"secret={long} end"] == "secret=" + brute(long, "secret") + " end"
+    card = got["pay 4111 1111 1111 1111 12/27"]
+    assert card.endswith(" 12/27") and luhn(re.sub(r"\D", "", card[:-6])) == 0
+    assert got["4111-1111-1111-1111 123 ok"].endswith(" 123 ok") and got["GB82WEST12345698765432 THE"].endswith(" THE") and got["BE68 5390 0754 7034 2024"].endswith(" 2024")
+
+
+def test_cards_with_two_possible_ends_come_back(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        d = [rng.randrange(10) for _ in range(18)]
+        d.append(next(c for c in range(10) if luhn("".join(map(str, [*d, c]))) == 0))
+        s = "".join(map(str, d))
+        rows.append((i, " ".join([s[:4], s[4:8], s[8:12], s[12:16], s[16:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pii.pseudonymise(df, found_col="kinds").cache()
+    assert all(list(r.kinds) == ["card"] for r in out.collect())
+    assert {r.doc_id: r.text for r in pii.pseudonymise(out.drop("kinds"), restore=True).collect()} == dict(rows)
