@@ -154,6 +154,12 @@ class Codec:
                 out += chain.from_iterable(self.tuples(self.words(part)))
         return out
 
+    def count(self, text: str | None) -> int:
+        """The number of ids of ``text``."""
+        if not text:
+            return 0
+        return sum(1 if part in self.added else sum(map(len, self.tuples(self.words(part)))) for part in self.split(text) if part)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 

@@ -1,5 +1,8 @@
 """Batches from optimal length buckets.
 
+The length of a document is its number of BPE tokens; any other column can be given instead. Tokens are counted once, and
+what later steps read is a stashed row of id, length and hash for each document.
+
 One aggregate gives the histogram of lengths over all documents. A dynamic programme over it places the bucket ends so
 that the padding of all documents together is least: with lines sorted by slope each layer takes one pass over the
 lengths. Inside a bucket, documents are padded to its end and form batches of at most ``budget`` tokens.
@@ -12,11 +15,15 @@ are batches of their own. Null and empty texts have length 1. An empty table has
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm import bpe
+from corpusloom.llm.common import stash
+
 BUCKETS = 16
 BUDGET = 16_384
 EXACT = 65_536
@@ -24,10 +31,22 @@ GROUP = 256
 
 
 def pretokens(text: str = "text") -> Column:
-    """Words, numbers and single signs: what a tokenizer can't merge further than these, so at least this many tokens."""
+    """Words, numbers and single signs: a cheap length that is about half the number of BPE tokens; for ``pack(length=pretokens())``."""
     return F.greatest(F.lit(1), F.coalesce(F.regexp_count(text, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")), F.lit(0))).cast("long")
 
 
+def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``id, text, hash`` to ``id, n_tokens, hash``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = bpe.codec(path or bpe.default_path())
+        for b in batches:
+            n = pa.array([max(1, c.count(t.as_py())) for t in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, b.column(2)], ["id", "n_tokens", "hash"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_tokens long, hash long")
+
+
 def rounded(n: Column) -> Column:
     """Above EXACT, up to a multiple of 2**(bits - 10)."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(n)) - 9).cast("long")
@@ -79,8 +98,12 @@ def optimal_ends(histogram: Sequence[tuple[int, int]], buckets: int = BUCKETS) -
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``id, n_tokens, bucket, padded_length, batch_id, place`` for every document."""
-    sized = docs.select(F.col(f"`{id_col}`").alias("id"), (pretokens() if length is None else F.greatest(F.lit(1), F.coalesce(length, F.lit(0)))).cast("long").alias("n_tokens"), F.xxhash64(*(F.col(f"`{c}`") for c, d in docs.dtypes if "map" not in d)).alias("hash"))
+    """``id, n_tokens, bucket, padded_length, batch_id, place`` for every document; its length is that of its BPE ids or the column ``length``."""
+    row_id, row_hash = F.col(f"`{id_col}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c, d in docs.dtypes if "map" not in d)).alias("hash")
+    if length is None:
+        sized = stash(with_tokens(docs.select(row_id, F.col("text").cast("string").alias("text"), row_hash)))
+    else:
+        sized = docs.select(row_id, F.greatest(F.lit(1), F.coalesce(length, F.lit(0))).cast("long").alias("n_tokens"), row_hash)
     hist = {r[0]: r[1] for r in sized.groupBy(rounded(F.col("n_tokens")).alias("n")).count().collect()}
     ends = optimal_ends(list(hist.items()), buckets)
     caps = [max(1, budget // e) for e in ends]

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing
+from corpusloom.llm import bpe, packing
 
 
 def padding(hist, ends):
@@ -40,3 +40,13 @@ def test_rounding_is_bounded(spark):
     df = spark.range(65_530, 3_000_000, 7).select(packing.rounded(F.col("id")).alias("r"), "id")
     assert df.where("r < id or r > id * 1.002").count() == 0
     assert df.select("r").distinct().count() < 4000
+
+
+def test_lengths_are_those_of_the_tokenizer(spark):
+    texts = ["plain words of a text, with signs!", "qzxjv" * 12_000, "\u6c49\u5b57\u53e5\u5b50" * 50, "", None, "<|endoftext|> a\n\n  b 12345678"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: max(1, len(r.ids)) for r in bpe.encode(df).collect()}
+    got = {r.doc_id: r for r in packing.pack(df, buckets=3, budget=500).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == want
+    assert want[1] > 10_000 and got[1].batch_id not in {r.batch_id for i, r in got.items() if i != 1}
+    assert {r.doc_id: r.n_tokens for r in packing.pack(df, length=packing.pretokens()).collect()}[1] == 1
