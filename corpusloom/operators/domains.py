@@ -112,21 +112,43 @@ def coherent(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     return rows.join(ok, ["nicho", "herramienta"], "left").select("content_id", "nicho", F.when(F.col("ok"), F.col("herramienta")).alias("herramienta"), F.coalesce("ok", F.lit(False)).alias("coherente"))
 
 
-def fuzzy_votes(words: DataFrame, dictionary: DataFrame, least: float = 0.6) -> DataFrame:
-    """``nicho, votos`` from ``word, weight, n`` and ``term, nicho``: each distinct word votes for its most similar term (Ratcliff-Obershelp ratio of ``least`` or more).
+def grams(docs: DataFrame) -> DataFrame:
+    """``content_id, word, weight, n, place``: each white-space word (weight 1) and pair of neighbours (weight 2) of a lower-cased text, its occurrences and first place; pairs come after all words."""
+    ws = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: w != "")
+    size = F.size("ws")
+    words = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.lit(1).alias("weight"), i.cast("long").alias("place")))
+    pairs = F.transform(F.slice("ws", 2, F.greatest(size - 1, F.lit(0))), lambda w, i: F.struct(F.concat(F.get("ws", i), F.lit(" "), w).alias("word"), F.lit(2).alias("weight"), (size + i).cast("long").alias("place")))
+    each = docs.select("content_id", ws.alias("ws")).select("content_id", F.explode(F.concat(words, pairs)).alias("g"))
+    return each.select("content_id", "g.*").groupBy("content_id", "word", "weight").agg(F.count("*").alias("n"), F.min("place").alias("place"))
 
-    Only terms whose length can reach the ratio are compared; distinct words meet the dictionary once.
+
+def fuzzy_votes(docs: DataFrame, dictionary: DataFrame, least: float = 0.6) -> DataFrame:
+    """``content_id, nicho, votos`` of ``content_id, text`` and ``term, nicho, place``: each word and pair votes for its most similar term (Ratcliff-Obershelp ratio of ``least`` or more), the domain with most votes wins, GENERAL without any.
+
+    Ties go to the first term and to the domain that was voted for first. Only terms whose length can reach the ratio are
+    compared; distinct words and pairs meet the dictionary once.
     """
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
-
-    sized = dictionary.withColumn("size", F.length("term"))
-    lengths = F.sequence(F.ceil(F.length("word") * least / (2 - least)).cast("int"), F.floor(F.length("word") * (2 - least) / least).cast("int"))
-    near = words.select("word").distinct().withColumn("size", F.explode(lengths)).join(sized, "size")
-    best = near.withColumn("ratio", ratio("word", "term")).where(F.col("ratio") >= least).groupBy("word").agg(F.max_by("nicho", F.struct("ratio", "term")).alias("nicho"))
-    return words.join(best, "word").groupBy("nicho").agg(F.sum(F.col("weight") * F.col("n")).alias("votos"))
+        known: dict[str, difflib.SequenceMatcher] = {}  # a matcher prepares its second text once
+        out = []
+        for x, y in zip(a, b, strict=True):
+            m = known.get(y)
+            if m is None:
+                m = known[y] = difflib.SequenceMatcher(None, "", y)
+            m.set_seq1(x)
+            out.append(m.ratio())
+        return pd.Series(out, dtype=float)
+
+    g = grams(docs)
+    terms = F.broadcast(dictionary.select(F.lower("term").alias("term"), "nicho", F.col("place").alias("at")))  # a dictionary written by hand
+    reach = 2.0 * F.least(F.length("word"), F.length("term")) >= least * (F.length("word") + F.length("term")) - 1e-9
+    near = g.select("word").distinct().join(terms, reach)
+    best = near.withColumn("ratio", ratio("word", "term")).where(F.col("ratio") >= least).groupBy("word").agg(F.max_by("nicho", F.struct("ratio", -F.col("at"))).alias("nicho"))
+    votes = g.join(best, "word").groupBy("content_id", "nicho").agg(F.sum(F.col("weight") * F.col("n")).alias("votos"), F.min("place").alias("place"))
+    won = votes.groupBy("content_id").agg(F.max(F.struct("votos", -F.col("place"), "nicho")).alias("w")).select("content_id", "w.nicho", "w.votos")
+    return docs.select("content_id").join(won, "content_id", "left").select("content_id", F.coalesce("nicho", F.lit("GENERAL")).alias("nicho"), F.coalesce("votos", F.lit(0)).cast("long").alias("votos"))
 
 
 LEGAL = ["juez", "fiscal", "abogado", "testigo", "tribunal", "judge", "attorney", "court", "lawyer"]
@@ -147,11 +169,26 @@ def speaker_mode(t: Column, legal: list[str] = LEGAL, word_boundary: bool = Fals
 MODES = [("tutorial", 0.05, 1), ("ateneo", 0.02, 10), ("legal", 0.01, 20), ("auto", 0.03, 10)]
 
 
+#: A profession and one or two names, in any case.
+PROFESSION = r"(?iU)(?:Dr\.?|Dra\.?|Abogad[oa]|Juez|Jueza|Fiscal|Defensor[ao]?)\s+[A-ZÁÉÍÓÚ][a-záéíóú]+(?:\s+[A-ZÁÉÍÓÚ][a-záéíóú]+)?"
+WITNESS = r"(?iU)\btestigo\b"
+
+
 def speakers(docs: DataFrame) -> DataFrame:
-    """``content_id, modo, text`` with lines ``Name: words`` to ``content_id, nombre, veces, principal`` above the mode's threshold, at most its cap."""
+    """``content_id, modo, text`` to ``content_id, nombre, veces, principal`` above the mode's threshold, at most its cap.
+
+    Speakers are the names of lines ``Name: words``, professions with a name, and in legal mode ``testigo``; a legal text
+    without any has ``persona1`` to ``persona3``, as many as lines.
+    """
     modes = docs.sparkSession.createDataFrame(MODES, "modo string, rate double, cap int")
     n = F.size(F.split("text", "\n"))
-    names = docs.select("content_id", "modo", n.alias("n"), F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^([\p{L}][\p{L} ]{1,40}):"), 1)).alias("nombre"))
+    said = F.regexp_extract_all("text", F.lit(r"(?m)^([\p{L}][\p{L} ]{1,40}):"), 1)
+    titled = F.regexp_extract_all("text", F.lit(PROFESSION), 0)
+    legal = F.col("modo") == "legal"
+    witness = F.when(legal, F.transform(F.regexp_extract_all("text", F.lit(WITNESS), 0), lambda _: F.lit("testigo"))).otherwise(F.array().cast("array<string>"))
+    persons = F.slice(F.array(*(F.lit(f"persona{i}") for i in (1, 2, 3))), 1, F.least(F.lit(3), F.col("n")))
+    found = docs.select("content_id", "modo", n.alias("n"), F.concat(said, titled, witness).alias("all"))
+    names = found.select("content_id", "modo", "n", F.explode(F.when(legal & (F.size("all") == 0), persons).otherwise(F.col("all"))).alias("nombre"))
     counted = names.groupBy("content_id", "modo", "n", "nombre").agg(F.count("*").alias("veces")).join(F.broadcast(modes), "modo")  # four rows
     threshold = F.floor(F.col("n") * F.col("rate"))
     kept = counted.where(F.col("veces") >= F.when(F.col("modo") == "tutorial", 2 * threshold).otherwise(threshold))

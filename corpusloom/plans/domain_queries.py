@@ -75,9 +75,8 @@ def h6_hybrid_label(spark, sf_dir):
 
 @query()
 def h7_fuzzy_votes(spark, sf_dir):
-    words = tm.term_counts(docs(spark, sf_dir)).groupBy(F.col("term").alias("word")).agg(F.count("*").alias("n")).withColumn("weight", F.lit(1))
-    dictionary = spark.createDataFrame([(t, d) for d, ts in DOMAINS.items() for t in ts], "term string, nicho string")
-    return dm.fuzzy_votes(words, dictionary)
+    terms = [(t, d) for d, ts in DOMAINS.items() for t in ts]
+    return dm.fuzzy_votes(docs(spark, sf_dir), spark.createDataFrame([(t, d, i) for i, (t, d) in enumerate(terms)], "term string, nicho string, place int"))
 
 
 _SAID = "said AS (SELECT conv_id AS content_id, string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
