@@ -235,7 +235,7 @@ def proposed(rows: DataFrame, similar: float, block: int = BLOCK) -> DataFrame:
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, similar: float = SIMILAR, uid: str | None = None) -> DataFrame:
-    """``doc_id, uid, class_id, kept`` for every row of ``docs``: uid numbers the rows (or is the column given), class_id is the least doc_id of the class, one row of each class is kept."""
+    """``doc_id, uid, class_id, kept`` for every row of ``docs``: uid numbers the rows (or is the column given), class_id is the least doc_id of the class (null if all are null), one row of each class is kept: that with the least doc_id, nulls last."""
     signed = sign(docs, bands, rows, words, uid)
     signed = stash(signed if uid else signed.withColumn("uid", F.monotonically_increasing_id()))
     nodes = signed.where("key is not null").groupBy("key").agg(F.min("uid").alias("uid"))
@@ -247,7 +247,9 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
     hubs = met.join(central, "key").groupBy("band").agg(F.max(F.struct("score", "key", "n")).alias("hub"))
 
     involved = met.select("key").distinct().join(nodes.select("key", "doc_id"), "key")
-    texts = stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))).join(involved, ["doc_id", "key"]).select("key", "text").dropDuplicates(["key"]))
+    here = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5"))
+    same = (F.col("md5") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id"))  # rows without an id are texts too
+    texts = stash(here.join(involved, same).select("key", "text").dropDuplicates(["key"]))
 
     fits = lambda a, b: F.least(a, b) >= similar * F.greatest(a, b)
     first = met.select("band", "key", "n").join(hubs, "band").where("key <> hub.key").where(fits(F.col("n"), F.col("hub.n")))
@@ -268,7 +270,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
     groups = connected_components(links).select(F.col("id").alias("key"), F.col("component_id").alias("group"))
     grouped = signed.select("doc_id", "uid", "key").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key", F.to_binary(F.hex("uid"), F.lit("hex"))))
     grouped = stash(grouped.select("doc_id", "uid", "group"))
-    first = stash(grouped.groupBy("group").agg(F.min(F.struct("doc_id", "uid")).alias("first")))  # else its sums and the join share tasks, and a large group can't be split
+    first = stash(grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")))  # else its sums and the join share tasks, and a large group can't be split
     return grouped.join(first, "group").select("doc_id", "uid", F.col("first.doc_id").alias("class_id"), (F.col("uid") == F.col("first.uid")).alias("kept"))
 
 

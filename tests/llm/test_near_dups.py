@@ -70,3 +70,14 @@ def test_repeated_rows_and_empty(spark):
     rows = nd.classes(df).collect()
     assert len(rows) == 5 and sum(r.kept for r in rows) == 2
     assert nd.classes(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    base = " ".join(f"word{i % 97}x{i}" for i in range(200))
+    near = base + " tail"
+    other = " ".join(f"else{i}" for i in range(80))
+    rows = [(None, base), (None, base), (7, near), (8, base), (None, other), (None, other + " end"), (9, "quite another text of some words")]
+    got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == 7 and sum(r.kept for r in got) == 3
+    assert sorted(str(r.class_id) for r in got) == ["7", "7", "7", "7", "9", "None", "None"]
+    assert {r.doc_id for r in got if r.kept} == {7, 9, None}
