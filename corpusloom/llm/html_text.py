@@ -2,10 +2,10 @@
 
 The markup is stripped into lines: each block-level piece of text is a line, and an element that is never article text
 (menus, page headers and footers, sidebars, notices, adverts, forms, reader comments, scripts, styles; by its name, role
-or class) is one empty line. The length of each line counts without the text of its links. Sums over a sliding window of
-lines make the distribution; text begins where the sum surges to a threshold and ends where it dives to nothing. If the
-page marks its article (``article`` or ``main``), lines outside it have no length and any length inside is a surge;
-otherwise the threshold holds, and a page on which nothing surges keeps the run of lines with the greatest length.
+or class) is one empty line; several in a row within an article are one. The length of each line counts without the text of its links. Sums over a sliding window of
+lines make the distribution; text begins where the sum surges to a threshold and ends where it dives to nothing, and
+all lines between them are kept, those of links too. ``article`` and ``main`` only weigh lines, and only if they hold
+half of the text: see ``line_lengths``. A page on which nothing surges keeps the run of lines with the greatest length.
 
 Null or empty html gives empty text. A tag cut off at the end of the page is dropped. An element that is never closed
 is dropped only up to the next block-level tag. Character references are decoded once.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+#: Weights of lines inside and outside ``article`` and ``main``.
+INSIDE, OUTSIDE = 8, 64
 
 # Names of HTML elements, by what they do to the text.
 RAW = "script style noscript template textarea iframe svg math object canvas audio video title".split()
@@ -112,7 +114,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             depth = max(0, depth + (-1 if end else 1))
         elif not end and name and name not in _VOID and _aside(name, attrs, depth > 0):
             flush()
-            out.append(("", 0, depth > 0))
+            if not (depth and out and out[-1] == ("", 0, True)):
+                out.append(("", 0, depth > 0))
             last = closed.get(k - 1)
             if last is None:  # never closed
                 last = next((j for j in range(k, len(tokens)) if tokens[j][3] in _BLOCK), len(tokens)) - 1
@@ -126,8 +129,18 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def line_lengths(page: list[tuple[str, int, bool]]) -> np.ndarray:
+    """Each line's length: its text without links, links counting against it. Where ``article`` and ``main`` hold at
+    least half of it all, a line inside weighs ``INSIDE`` times as much and one outside an ``OUTSIDE``-th."""
+    plain = np.array([max(0, len(text) - 2 * link) for text, link, _ in page], np.int64)
+    inside = np.array([i for _, _, i in page], bool)
+    if inside.any() and 2 * plain[inside].sum() >= plain.sum():
+        return np.where(inside, plain * INSIDE, plain // OUTSIDE)
+    return plain
+
+
 def spans(lengths: np.ndarray, window: int, surge: int) -> list[tuple[int, int]]:
-    """Runs ``[i, j)`` of lines from a surge of the windowed sum to the dive after it."""
+    """Runs ``[i, j)`` of lines from a surge of the windowed sum to the dive after it; at most a window of short lines leads up to it."""
     n = len(lengths)
     total = np.concatenate([[0], np.cumsum(lengths)])
     block = total[np.minimum(np.arange(n) + window, n)] - total[np.arange(n)]
@@ -137,26 +150,24 @@ def spans(lengths: np.ndarray, window: int, surge: int) -> list[tuple[int, int]]
             j = i
             while j < n and block[j]:
                 j += 1
-            while j > i and not lengths[j - 1]:
+            while not lengths[j - 1]:
                 j -= 1
-            found.append((i, j))
+            first = i
+            while first > max(i - window, found[-1][1] if found else 0) and lengths[first - 1]:
+                first -= 1
+            found.append((first, j))
             i = j
         i += 1
     return found
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    if not html:
-        return ""
-    page = lines(html)
-    if not page:
-        return ""
-    marked = any(inside and text for text, _, inside in page)
-    lengths = np.array([(len(text) if marked else max(0, len(text) - 2 * link)) * (inside or not marked) for text, link, inside in page])
-    runs = spans(lengths, window, 1 if marked else surge)
+    page = lines(html) if html else []
+    lengths = line_lengths(page)
+    runs = spans(lengths, window, surge)
     if not runs and lengths.any():
         runs = [max(spans(lengths, 1, 1), key=lambda r: (int(lengths[r[0] : r[1]].sum()), -r[0]))]
-    return "\n\n".join(page[k][0] for i, j in runs for k in range(i, j) if lengths[k])
+    return "\n\n".join(page[k][0] for i, j in runs for k in range(i, j) if page[k][0])
 
 
 def extract(pages: DataFrame, html_col: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:

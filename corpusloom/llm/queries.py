@@ -14,7 +14,7 @@ from corpusloom.llm.common import table
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
-    return scored.select("doc_id", (toxicity.fold() == 1).alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxicity_predicted").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(toxicity.fold() == 1, F.lit(False)).alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxicity_predicted").alias("predicted"))
 
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

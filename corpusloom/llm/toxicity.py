@@ -1,14 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text. The ordinary one is trained on ordinary documents. The toxic one
-ends in what toxic documents say and ordinary ones don't: the spans whose character 5-grams lean to toxic documents (by
-frequency ratio and log-likelihood). Both have the same size, and the same ordinary text at the same distance, so a
-window compresses to the same length unless toxic text explains it better. A window is a run of words, by default one,
-led to a fixed passage that both dictionaries hold, since a frame this short would otherwise be stored as it is. The
-margin of a window is its length under the ordinary dictionary less that under the toxic one.
+Two zstandard dictionaries are trained on labelled text: one on windows of ordinary documents, one on the toxic passages
+of toxic documents, the spans of their words that hold a character n-gram (6 to 10) leaning to toxic documents by
+frequency ratio and log-likelihood. Copies count once. A toxic text is ordinary language and more, so its side holds the
+ordinary dictionary and the toxic one behind it; the ordinary side holds the ordinary one at the same distance. The text
+is cut into windows of ``WINDOW`` words, each led to a fixed passage that both sides hold (a shorter frame would be stored
+as it is), and the margin of a window is its compressed length on the ordinary side less that on the toxic side.
 
-A document's score comes from its largest margin, how many windows pass each of a few margins, and their number, by a
-logistic function fitted on labelled rows that the dictionaries haven't seen; ``predicted`` is 1 from ``THRESHOLD`` on.
+The thresholds of the margins are calibrated: quantiles of the windows of ordinary documents that the dictionaries
+haven't seen. A document's score comes from its largest and mean margin, how many windows reach each threshold, and their
+number, by a logistic function fitted on the same unseen labelled rows; ``predicted`` is 1 from ``THRESHOLD`` on.
 
 Labels are used only of rows whose crc32(doc_id) mod 3 is not 1: remainder 0 for the dictionaries, 2 for the
 calibration. Of each, at most ``TOXIC_ROWS`` toxic and ``ORDINARY_ROWS`` ordinary documents of at most ``ROW_CHARS``
@@ -22,8 +23,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -34,16 +35,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 THRESHOLD = 0.7
-TOXIC_ROWS = 2000
-ORDINARY_ROWS = 4000
-ROW_CHARS = 20_000
-#: Bytes of ordinary text in each dictionary, and of toxic text at most.
-ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 8 << 10
-GRAM = 5
+TOXIC_ROWS = 1500
+ORDINARY_ROWS = 3000
+ROW_CHARS = 10_000
+WINDOW = 3
+#: Sizes of the trained dictionaries.
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 8 << 10
+#: Lengths of the n-grams that find toxic passages; how much more frequent in toxic documents; least log-likelihood.
+GRAMS = range(6, 11)
+RATIO, LIKELIHOOD = 10, 15
 LEAD, TAIL = 64, 32
-TABLE = 150_000
-MARGINS = (2, 3, 4, 6, 8)
-PARAMETERS = dict(strategy=zstandard.STRATEGY_BTOPT, window_log=17, hash_log=16, chain_log=16, search_log=5, min_match=4, target_length=32, write_content_size=False, write_dict_id=False, write_checksum=False)
+#: Shares of ordinary windows below each threshold.
+QUANTILES = (0.9, 0.99, 0.999, 0.9999)
+COVER = dict(d=6, k=16)
+PARAMETERS = dict(strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=15, chain_log=15, search_log=6, min_match=5, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
 @dataclass(frozen=True)
@@ -51,23 +56,29 @@ class Model:
     ordinary: bytes
     toxic: bytes
     lead: bytes
-    window: int = 1
+    window: int = WINDOW
+    thresholds: tuple[int, ...] = ()
     weights: tuple[float, ...] = ()
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30)))
 
+    def features(self, m: np.ndarray) -> list[float]:
+        if not len(m):
+            return [1.0, *[0.0] * (3 + len(self.thresholds))]
+        return [1.0, min(20.0, float(m.max())), float(m.mean()), *(math.log1p(int((m >= k).sum())) for k in self.thresholds), math.log1p(len(m))]
+
 
 def windows(text: str | None, n: int) -> list[str]:
     words = (text or "").lower().split()
-    return words if n == 1 else [" ".join(words[i : i + n]) for i in range(max(min(1, len(words)), len(words) - n + 1))]
+    return [" ".join(words[i : i + n]) for i in range(0, len(words), n)]
 
 
 class Meter:
-    """Margins of windows, with a table of those met before."""
+    """Margins of the windows of a text."""
 
     def __init__(self, model: Model):
-        self.model, self.table = model, {}
+        self.model = model
         self.compressors = [self.compressor(d) for d in (model.ordinary, model.toxic)]
 
     @staticmethod
@@ -79,24 +90,15 @@ class Meter:
 
     def margins(self, text: str | None) -> np.ndarray:
         w = windows(text, self.model.window)
-        new = list(set(w).difference(self.table))
-        if new and self.model.toxic != self.model.ordinary:
-            framed = [b" " + x.encode() + b" " + self.model.lead for x in new]
-            a, b = (map(len, c.multi_compress_to_buffer(framed)) for c in self.compressors)
-            self.table.update(zip(new, (x - y for x, y in zip(a, b, strict=True)), strict=True))
-        else:
-            self.table.update(dict.fromkeys(new, 0))
-        out = np.fromiter(map(self.table.__getitem__, w), np.int64, len(w))
-        for x in new:
-            if len(x) >= 64 * self.model.window:
-                del self.table[x]
-        if len(self.table) > TABLE:
-            self.table.clear()
-        return out
-
-    def features(self, text: str | None) -> list[float]:
-        m = self.margins(text)
-        return [1.0, min(12.0, float(m.max(initial=0))), *(math.log1p(int((m >= k).sum())) for k in MARGINS), math.log1p(len(m))]
+        if not w or self.model.toxic == self.model.ordinary:
+            return np.zeros(len(w), np.int64)
+        framed = [b" " + x.encode() + b" " + self.model.lead for x in w]
+        a, b = (np.fromiter(map(len, c.multi_compress_to_buffer(framed)), np.int64, len(w)) for c in self.compressors)
+        return a - b
+
+    def score(self, texts: Iterable[str | None]) -> np.ndarray:
+        x = [self.model.features(self.margins(t)) for t in texts]
+        return self.model.score(np.array(x)) if x else np.zeros(0)
 
 
 @cache
@@ -104,56 +106,98 @@ def meter(model: Model) -> Meter:
     return Meter(model)
 
 
-def _grams(word: str) -> list[str]:
-    w = f" {word} "
-    return [w[i : i + GRAM] for i in range(len(w) - GRAM + 1)] or [w]
-
-
-def toxic_spans(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Spans of toxic documents whose 5-grams lean to them, in at least two documents, the most frequent last."""
-    seen = [Counter(), Counter()]
-    for side, texts in zip(seen, (toxic, ordinary), strict=True):
-        for t in texts:
-            side.update({g for w in set(t.lower().split()) for g in _grams(w)})
-    n, m = max(1, len(toxic)), max(1, len(ordinary))
-
-    def leans(k: int, j: int) -> bool:
-        if k / n <= 20 * (j + 0.5) / (m + 1):
-            return False
-        p = (k + j) / (n + m)
-        part = lambda k, n: (k * math.log(k / n / p) if k else 0) + ((n - k) * math.log((n - k) / n / (1 - p)) if n - k else 0)
-        return 2 * (part(k, n) + part(j, m)) >= 15
-
-    lean = {g for g, k in seen[0].items() if leans(k, seen[1][g])}
-    spans: Counter[str] = Counter()
-    for t in toxic:
-        own = set()
-        for w in set(t.lower().split()):
-            marks, padded = bytearray(len(w) + 2), f" {w} "
-            for i, g in enumerate(_grams(w)):
+def without_copies(texts: Iterable[str]) -> list[str]:
+    """The texts of which at most half of the word triples stood in an earlier one."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        w = t.lower().split()
+        triples = {hash(tuple(w[i : i + 3])) for i in range(max(1, len(w) - 2))}
+        if 2 * len(triples & seen) <= len(triples):
+            seen |= triples
+            out.append(t)
+    return out
+
+
+def _grams(word: str, n: int) -> list[str]:
+    return [word[i : i + n] for i in range(max(1, len(word) - n + 1))]
+
+
+def _log_likelihood(k: int, n: int, j: int, m: int) -> float:
+    p = (k + j) / (n + m)
+    part = lambda k, n: (k * math.log(k / n / p) if k else 0) + ((n - k) * math.log((n - k) / n / (1 - p)) if n - k else 0)
+    return 2 * (part(k, n) + part(j, m))
+
+
+def leaning(toxic: list[set[str]], ordinary: list[set[str]]) -> set[str]:
+    """n-grams that lean to toxic documents, given as sets of padded words; one length at a time bounds the tables."""
+    n, m, out = max(1, len(toxic)), max(1, len(ordinary)), set()
+    for size in GRAMS:
+        here: Counter[str] = Counter()
+        for words in toxic:
+            here.update({g for w in words for g in _grams(w, size)})
+        here = Counter({g: k for g, k in here.items() if k > 2})
+        there: Counter[str] = Counter()
+        met: dict[str, list[str]] = {}
+        for words in ordinary:
+            found = set()
+            for w in words:
+                if w not in met:
+                    met[w] = [g for g in _grams(w, size) if g in here]
+                found.update(met[w])
+            there.update(found)
+        out |= {g for g, k in here.items() if k / n > RATIO * (there[g] + 0.5) / (m + 1) and _log_likelihood(k, n, there[g], m) >= LIKELIHOOD}
+    return out
+
+
+def passages(toxic: list[str], ordinary: list[str]) -> list[str]:
+    """The toxic spans in the words of toxic documents, in text order."""
+    padded = lambda t: {f" {w} " for w in t.lower().split()}
+    lean = leaning([padded(t) for t in toxic], [padded(t) for t in ordinary])
+    known: dict[str, list[str]] = {}
+
+    def spans(word: str) -> list[str]:
+        w = f" {word} "
+        marks = bytearray(len(w))
+        for n in GRAMS:
+            for i, g in enumerate(_grams(w, n)):
                 if g in lean:
                     marks[i : i + len(g)] = b"\1" * len(g)
-            own.update(padded[m.start() : m.end()] for m in re.finditer(rb"\x01+", marks))
-        spans.update(own)
-    return [s for s, k in sorted(spans.items(), key=lambda x: (x[1], x[0])) if k > 1]
+        return [w[x.start() : x.end()] for x in re.finditer(rb"\x01+", marks)]
+
+    out = []
+    for t in toxic:
+        for w in t.lower().split():
+            if w not in known:
+                known[w] = spans(w)
+            out += known[w]
+    return out
 
 
-def train(toxic: list[str], ordinary: list[str], window: int = 1) -> Model:
-    samples = [t.lower().encode() for t in ordinary if t]
+def dictionary(samples: list[bytes], size: int, **cover: int) -> bytes:
+    """A trained dictionary; of samples too few to train on, the samples themselves."""
     try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: it is the dictionary
-        base = b" ".join(samples)[-ORDINARY_BYTES:]
-    base = base.rjust(LEAD * 2, b" ")
-    extra = "".join(toxic_spans(toxic, ordinary)).encode()[-TOXIC_BYTES:]
-    tail = base[:TAIL]  # a dictionary's last bytes can't begin a match
-    return Model(base + bytes(len(extra)) + tail, base + extra + tail, base[-LEAD:], window)
+        return zstandard.train_dictionary(size, samples, **cover).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))
+
+
+def train(toxic: list[str], ordinary: list[str], window: int = WINDOW) -> Model:
+    toxic, ordinary = without_copies(toxic), without_copies(ordinary)
+    base = dictionary([f" {w} ".encode() for t in ordinary for w in windows(t, window)], ORDINARY_BYTES).rjust(LEAD + TAIL, b" ")
+    spans = [s.encode() for s in passages(toxic, ordinary)]
+    extra = dictionary([b"".join(spans[i : i + 4]) for i in range(0, len(spans), 4)], TOXIC_BYTES, **COVER) if spans else b""
+    tail = base[-TAIL:]  # a dictionary's last bytes can't begin a match
+    return Model(base + bytes(len(extra)) + tail, base + extra + tail, base[-LEAD - TAIL : -TAIL], window)
 
 
 def calibrate(model: Model, toxic: list[str], ordinary: list[str]) -> Model:
-    """Logistic weights by Newton's method with a small ridge."""
+    """Thresholds from the windows of ordinary documents; logistic weights by Newton's method with a small ridge."""
     m = Meter(model)
-    x = np.array([m.features(t) for t in [*toxic, *ordinary]] or [m.features("")])
+    margins = [m.margins(t) for t in [*toxic, *ordinary]] or [np.zeros(0, np.int64)]
+    plain = np.concatenate([*margins[len(toxic) :], np.zeros(1, np.int64)])
+    model = replace(model, thresholds=tuple(sorted({int(np.quantile(plain, q)) + 1 for q in QUANTILES})))
+    x = np.array([model.features(k) for k in margins])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary) or [0.0])
     w, ridge = np.zeros(x.shape[1]), 0.1 * np.eye(x.shape[1])
     for _ in range(50):
@@ -162,20 +206,20 @@ def calibrate(model: Model, toxic: list[str], ordinary: list[str]) -> Model:
         w = w - step
         if abs(step).max() < 1e-9:
             break
-    return Model(model.ordinary, model.toxic, model.lead, model.window, tuple(w.tolist()))
+    return replace(model, weights=tuple(w.tolist()))
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, window: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, window: int = WINDOW) -> Model:
     """Train and calibrate on bounded samples; the driver reads at most 2 * (TOXIC_ROWS + ORDINARY_ROWS) texts."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).withColumn("fold", fold()).where("fold <> 1")
     parts = [known.where(F.col("fold").eqNullSafe(k) & (F.col("toxic") == t)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k in (0, 2) for t, n in ((True, TOXIC_ROWS), (False, ORDINARY_ROWS))]
     ids = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
     texts = docs.select("doc_id", "text").where(F.length("text") <= ROW_CHARS).join(F.broadcast(ids), "doc_id").select("fold", "toxic", "text").distinct()  # the ids are few by the bounds above
-    rows = sorted(tuple(r) for r in texts.collect())
+    rows = sorted(tuple(r) for r in texts.toLocalIterator())
     of = lambda k, t: [r[2] for r in rows if r[0] == k and r[1] == t]
     return calibrate(train(of(0, True), of(0, False), window), of(2, True), of(2, False))
 
@@ -192,7 +236,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = meter(model)
         for b in batches:
-            s = model.score(np.array([m.features(t.as_py()) for t in b.column(0)])) if b.num_rows else np.zeros(0)
+            s = m.score(t.as_py() for t in b.column(0))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*b.schema.names[1:], *new])
 
     return whole.mapInArrow(run, schema)

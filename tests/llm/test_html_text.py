@@ -1,5 +1,12 @@
+import random
+
+import numpy as np
+
 from corpusloom.llm.html_text import extract, main_text, spans
 
+L = "Text that goes on and on until it is long enough to be an article. " * 3
+L = L.strip()
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="page"><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- x -->
 <div class="ad">Buy</div><article><header><h1>Head &amp; line</h1></header><p><b>One&nbsp; two<br>three<p>Four &lt;b&gt; 5 < 6</p><div class="cookie-notice"><div>We</div> use</div><p></p><form>Mail <input></form>
 <p>Last one</p><section class="comments"><article>No!</article></section></article><footer>&copy; x</footer></body></html>"""
@@ -22,10 +29,54 @@ def test_unmarked_page():
     assert main_text("<p>just this") == "just this"
 
 
-def test_spans():
-    import numpy as np
+def brute_spans(lengths, window, surge):
+    """The same runs, line by line: a state machine over window sums."""
+    block = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    out, i = [], 0
+    while i < len(lengths):
+        if lengths[i] > 0 and block[i] >= surge:
+            stop = next((j for j in range(i, len(lengths)) if block[j] == 0), len(lengths))
+            last = max(j for j in range(i, stop) if lengths[j] > 0)
+            lead = [k for k in range(window + 1) if i - k >= (out[-1][1] if out else 0) and all(lengths[i - q] > 0 for q in range(k + 1))]
+            out.append((i - max(lead), last + 1))
+            i = last + 1
+        i += 1
+    return out
+
 
+def test_spans():
     assert spans(np.array([0, 5, 0, 9, 0, 0, 0, 4]), 3, 8) == [(1, 4)]
+    rng = random.Random(3)
+    for _ in range(2000):
+        x = [rng.choice([0, 0, 0, 3, 20, 90]) for _ in range(rng.randrange(30))]
+        w, s = rng.randrange(1, 5), rng.choice([1, 8, 50, 100])
+        assert spans(np.array(x, np.int64), w, s) == brute_spans(x, w, s), (x, w, s)
+
+
+WANTED = {  # layouts written by hand, and what a reader would call their text
+    f"<nav>A B C</nav><div class=main-content><h1>Head</h1><p>{L}</p><p>Short.</p><p>{L}</p></div><footer>f</footer>": f"Head\n\n{L}\n\nShort.\n\n{L}",
+    f"<div><a href=a>Home</a></div><article>teaser</article><div><a>x</a></div><div><a>y</a></div><div><a>z</a></div><p>{L}</p><p>{L}</p>": f"{L}\n\n{L}",
+    f"<main><p>{L}<p><a href=x>See the long list of all that is linked here</a><p>{L}</main>": f"{L}\n\nSee the long list of all that is linked here\n\n{L}",
+    f"<table><tr><td><ul><li><a>n</a></ul></td><td><p>{L}</p></td></tr></table>": L,
+    f"<aside>side</aside><section><h2>Two</h2><p>{L}</p></section><div id=comments><p>{L}</p></div>": f"Two\n\n{L}",
+    f"<div role=navigation>Go</div><blockquote>{L}</blockquote><div role=contentinfo>{L}</div>": L,
+    f"<article><h1>T</h1><div class=ad>Buy</div><div class=share>S</div><form>F</form><p>{L}</p></article><p>{'out ' * 9}</p>": f"T\n\n{L}",
+    "<p>a<p>b": "a\n\nb",
+    f"<article><p>{L}</p></article><div>&copy; 2020</div>": L,
+    f"<pre>x  y\nz</pre><p>{L}": f"x y z\n\n{L}",
+}
+
+
+def test_layouts():
+    for html, text in WANTED.items():
+        assert main_text(html) == text, html
+
+
+def test_window_and_surge_decide():
+    page = f"<ul><li>a<li>b<li>c<li>d<li>e<li>f</ul><p>{L}</p><p>{L}</p>"
+    assert main_text(page).startswith("b\n\n") and main_text(page, window=1).startswith("f\n\n") and main_text(page, window=9).startswith("a\n\n")
+    marked = f"<main><p>{'s ' * 12}</p><p>x<p>y<p>z<p>{L}</p></main>"
+    assert main_text(marked) != main_text(marked, window=1, surge=900)
 
 
 def test_query(spark):
