@@ -16,16 +16,28 @@ few cards with another possible end inside are permuted again until no shorter r
 * IPv4 addresses: two halves of 16 bits. Dates: the day number from 1900 to 2099, as a pair modulo 229 and 319
   (their product is exactly the number of days).
 
+A permuted value must be valid again, or restoring would not find it: a social security number or a national phone number
+that isn't is permuted on until it is (cycle walking; restoring walks back). Valid are area codes and exchanges of phone
+numbers from 200 on if nothing but the digits says that it is one, addresses without leading zeros that don't follow
+the word version or release, and IBAN check digits from 02 to 98. The domain of an e-mail address stays; its local
+part is permuted in the way of its domain.
+
+The key is an argument or the Spark setting ``spark.corpusloom.pseudonym.key``; without one ``pseudonymise`` raises.
+
 Null text stays null, empty text empty; a text without candidates is untouched. There is no shuffle and no Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = "corpus-pseudonym-key"
+SETTING = "spark.corpusloom.pseudonym.key"
 ROUNDS = 10
+#: Steps of a cycle walk: of the values met at most 36 in 100 are invalid, so that none is left after these in practice.
+WALK = 80
 
 #: IBAN characters by country (ISO 13616).
 IBAN_LENGTHS = {
@@ -35,8 +47,11 @@ IBAN_LENGTHS = {
 IBAN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
-IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
+IP = r"(?<!(?i:version|release) )[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
+#: A phone number without country code or brackets, and digits that may be one.
+BARE = r"^[0-9]{3}[ .\-]"
+NATIONAL = r"^[2-9][0-9]{2}[ .\-]?[2-9]"
 #: A digit of a card with the sign before it, where no other value begins.
 CARD_DIGIT = f"(?:[0-9]|[ \\-](?!{SSN}|{DATE}|{IP}|{PHONE})[0-9])"
 
@@ -70,18 +85,20 @@ def _order(restore: bool) -> str:
 
 def _shift(half: str, h: str, sign: str, lower: int, upper: int, low_digit: int) -> str:
     """Each character of ``half`` moved within its class by two hex digits of ``h``. lower, upper: letters in use from a and A on; low_digit: the first digit in use."""
-    k = f"{sign}cast(conv(substr({h}, 1 + 2 * (j % 32), 2), 16, 10) as int)"
+    k = f"{sign}cast(conv(substr(h, 1 + 2 * (j % 32), 2), 16, 10) as int)"
     size = 10 - low_digit if low_digit == 0 else 6
-    return (
+    return _let(
+        h,
+        "h",
         f"array_join(transform(split({half}, ''), (c, j) -> case when c between '{low_digit}' and '{low_digit + size - 1}' then char({48 + low_digit} + pmod(ascii(c) - {48 + low_digit} + {k}, {size})) "
-        f"when ascii(c) between 97 and {96 + lower} then char(97 + pmod(ascii(c) - 97 + {k}, {lower})) when ascii(c) between 65 and {64 + upper} then char(65 + pmod(ascii(c) - 65 + {k}, {upper})) else c end), '')"
+        f"when ascii(c) between 97 and {96 + lower} then char(97 + pmod(ascii(c) - 97 + {k}, {lower})) when ascii(c) between 65 and {64 + upper} then char(65 + pmod(ascii(c) - 65 + {k}, {upper})) else c end), '')",
     )
 
 
-def feistel_string(x: str, key: str, kind: str, restore: bool = False, lower: int = 26, upper: int = 26, low_digit: int = 0) -> str:
-    """SQL: the string expression ``x`` permuted, each character within its class."""
+def feistel_string(x: str, key: str, kind: str, restore: bool = False, tweak: str | None = None, lower: int = 26, upper: int = 26, low_digit: int = 0) -> str:
+    """SQL: the string expression ``x`` permuted, each character within its class; another ``tweak``, another permutation."""
     sign = "-" if restore else ""
-    ha, hb = _hash(key, kind, "i", "s.b"), _hash(key, kind, "i", "s.a")
+    ha, hb = (_hash(key, kind, "i", y if tweak is None else f"concat({tweak}, '|', {y})") for y in ("s.b", "s.a"))
     a = f"named_struct('a', {_shift('s.a', ha, sign, lower, upper, low_digit)}, 'b', s.b)"
     b = f"named_struct('a', s.a, 'b', {_shift('s.b', hb, sign, lower, upper, low_digit)})"
     return f"aggregate({_order(restore)}, named_struct('a', substr({x}, 1, length({x}) div 2), 'b', substr({x}, 1 + length({x}) div 2)), (s, i) -> if(i % 2 = 0, {a}, {b}), s -> concat(s.a, s.b))"
@@ -102,6 +119,11 @@ def _let(value: str, name: str, then: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {then}), 1)"
 
 
+def _walk(x: str, step: Callable[[str], str], valid: Callable[[str], str]) -> str:
+    """SQL: ``x`` permuted until it is valid."""
+    return f"aggregate(sequence(1, {WALK}), {step(x)}, (y, turn) -> if({valid('y')}, y, {step('y')}))"
+
+
 def _refill(m: str, pattern: str, new: str) -> str:
     """The characters of ``m`` that match ``pattern`` (a class) taken in turn from ``new``; the rest stays."""
     return f"array_join(transform(sequence(1, length({m})), j -> if(substr({m}, j, 1) rlike '{pattern}', substr({new}, length(regexp_replace(substr({m}, 1, j), '[^{pattern[1:-1]}]', '')), 1), substr({m}, j, 1))), '')"
@@ -154,39 +176,50 @@ def pseudonym(m: str, key: str, restore: bool = False) -> str:
     plus = quote(r"^(\+[0-9]{1,3})?(.*)$")
     lead, rest = f"regexp_extract({m}, {plus}, 1)", f"regexp_extract({m}, {plus}, 2)"
     phone = _let(f(f"regexp_replace({rest}, '[^0-9]', '')", "phone"), "q", f"concat({lead}, {_let(rest, 'r', _refill('r', '[0-9]', 'q'))})")
+    bare = _walk(digits, lambda y: f(y, "phone"), lambda y: f"{y} rlike {quote(NATIONAL)}")
+    ssn = _walk(digits, lambda y: f(y, "ssn"), ssn_area)
     fill = lambda new: _let(new, "q", _refill(m, "[0-9]", "q"))
     fill_iban = _let(check, "q", _refill(m, "[A-Z0-9]", "q"))
     return f"""case {kind_of(m)}
         when 'secret' then concat(regexp_extract({m}, {secret}, 1), if({value} rlike {hexed}, {f(value, "hex", lower=6)}, {f(value, "secret")}))
         when 'access_key' then concat(substr({m}, 1, 4), {f(f"substr({m}, 5)", "access_key", low_digit=2)})
-        when 'email' then concat({f(f"substring_index({m}, '@', 1)", "email")}, '@', substring_index({m}, '@', -1))
+        when 'email' then concat({f(f"substring_index({m}, '@', 1)", "email", tweak=f"lower(substring_index({m}, '@', -1))")}, '@', substring_index({m}, '@', -1))
         when 'iban' then {fill_iban}
-        when 'ssn' then {fill(f(digits, "ssn"))}
+        when 'ssn' then {fill(ssn)}
         when 'date' then {date}
         when 'ip' then {ip}
-        when 'phone' then {phone}
+        when 'phone' then if({m} rlike {quote(BARE)}, {fill(bare)}, {phone})
         when 'card' then {fill(card)}
         else {m} end"""
 
 
+def ssn_area(x: str) -> str:
+    """SQL: can ``x``, digits or a candidate, begin a social security number?"""
+    return f"(substr({x}, 1, 3) not in ('000', '666') and substr({x}, 1, 1) <> '9')"
+
+
 def kind_of(m: str) -> str:
     """SQL: the kind of a candidate, null if it isn't valid."""
     is_ = {k: f"{m} rlike {quote('^(?:' + p + ')$')}" for k, p in KINDS}
     iban = f"regexp_replace({m}, ' ', '')"
-    octets = " and ".join(f"cast(split({m}, '[.]')[{k}] as int) <= 255" for k in range(4))
+    octets = f"forall(split({m}, '[.]'), o -> cast(o as int) <= 255 and cast(cast(o as int) as string) = o)"
     iso, slash = quote(r"^\d{4}-"), quote(r"/")
     day = f"case when {m} rlike {iso} then try_to_date({m}, 'yyyy-MM-dd') when {m} rlike {slash} then try_to_date({m}, 'dd/MM/yyyy') else try_to_date({m}, 'dd.MM.yyyy') end"
     return f"""case when {is_["secret"]} then 'secret' when {is_["access_key"]} then 'access_key' when {is_["email"]} then 'email'
-        when {is_["iban"]} then if({mod97(f"concat(substr({iban}, 5), substr({iban}, 1, 4))")} = 1, 'iban', null)
-        when {is_["ssn"]} then if(substr({m}, 1, 3) not in ('000', '666') and substr({m}, 1, 1) <> '9', 'ssn', null)
+        when {is_["iban"]} then if({mod97(f"concat(substr({iban}, 5), substr({iban}, 1, 4))")} = 1 and substr({iban}, 3, 2) between '02' and '98', 'iban', null)
+        when {is_["ssn"]} then if({ssn_area(m)}, 'ssn', null)
         when {is_["date"]} then if({day} between date'1900-01-01' and date'2099-12-31', 'date', null)
         when {is_["ip"]} then if({octets}, 'ip', null)
-        when {is_["phone"]} or {is_["phone_intl"]} then 'phone'
+        when {is_["phone"]} then if({m} rlike {quote(BARE)} and not {m} rlike {quote(NATIONAL)}, null, 'phone')
+        when {is_["phone_intl"]} then 'phone'
         when {is_["card"]} then if({card_end(m)} is not null, 'card', null) end"""
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", restore: bool = False, found_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text", restore: bool = False, found_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``; with ``found_col`` also the kinds of the valid values, in text order."""
+    key = key or docs.sparkSession.conf.get(SETTING, None)
+    if not key:
+        raise ValueError(f"give a key or set {SETTING}")
     t = f"`{text_col}`"
     any_, hint = quote(ANY), quote("(?i)[0-9@]|passw|pwd|secret|token|api[_-]?key")
     matches = f"if({t} rlike {hint}, regexp_extract_all({t}, {any_}, 0), null)"

@@ -11,6 +11,11 @@ from corpusloom.llm import bpe, edit_counts, html_text, near_dups, ogg, packing,
 from corpusloom.llm.common import table
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key in the Spark setting. The registered queries run on public tables: without it they take this one, which is no secret."""
+    return spark.conf.get(pii.SETTING, None) or "demonstration"
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
@@ -42,7 +47,7 @@ def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), found_col="kinds").select("doc_id", "text", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pseudonym_key(spark), found_col="kinds").select("doc_id", "text", F.size("kinds").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
