@@ -6,17 +6,16 @@ The directory comes from one aggregate: bytes by the first ``depth`` bits, then
 directory entry), so documents are never moved to find it. Buckets that are still too large at that depth go on with
 the next bits, alone.
 
-A row larger than the limit has a shard of its own, with ``oversized`` true, if no other row has its hash. Rows equal in
-all columns can't be told apart by any hash; those that don't fit one shard are spread over ``copy`` shards: each copy's
-number comes from its place in its input partition and the limit holds on average over the copies. Null is a value like
-any other. An empty table has no shards.
+A row larger than the limit has a shard of its own, with ``oversized`` true. Rows equal in all columns can't be told
+apart by any hash; those that don't fit one shard are counted, and as many as fit each go into shards numbered by
+``copy``, so the limit holds for each of them. Null is a value like any other. An empty table has no shards.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stash
@@ -27,8 +26,17 @@ STEP = 12
 
 
 def row_bytes(df: DataFrame) -> Column:
-    """UTF-8 bytes of string and binary columns, 8 for any other."""
-    parts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema]
+    """UTF-8 bytes of string and binary columns, those of the JSON of arrays, maps, structs and variants, 8 for any other."""
+
+    def of(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("array", "map", "struct", "variant"):
+            c = F.to_json(c)
+        elif kind not in ("string", "binary"):
+            return F.lit(8)
+        return F.coalesce(F.octet_length(c), F.lit(0))
+
+    parts = [of(f.name, f.dataType.typeName()) for f in df.schema]
     return reduce(lambda a, b: a + b, parts).cast("long")
 
 
@@ -69,23 +77,34 @@ def assign(df: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
     The directory, a row for each of its slots at the least depth in use, meets the rows in one equi-join; Spark
     broadcasts it where its size allows. Columns of these names in ``df`` keep their names; the new ones get ``_``.
     """
-    new = dict.fromkeys(("shard", "copy", "row_bytes", "shard_bytes", "oversized", "_bits", "_turn", "_slot", "_leaf"))
+    new = dict.fromkeys(("shard", "copy", "row_bytes", "shard_bytes", "oversized", "_bits", "_slot", "_leaf"))
     for n in new:
         new[n] = n
         while new[n] in df.columns:
             new[n] += "_"
-    keyed = df.withColumns({new["_bits"]: row_hash(df), new["row_bytes"]: row_bytes(df), new["_turn"]: F.monotonically_increasing_id()})
-    leaves = stash(directory(keyed.select(F.col(new["_bits"]).alias("bits"), F.col(new["row_bytes"]).alias("bytes")), limit, step))
+    bits, size, slot, leaf = (f"`{new[n]}`" for n in ("_bits", "row_bytes", "_slot", "_leaf"))
+    keyed = df.withColumns({new["_bits"]: row_hash(df), new["row_bytes"]: row_bytes(df)})
+    leaves = stash(directory(keyed.select(F.col(bits).alias("bits"), F.col(size).alias("bytes")), limit, step))
     least = leaves.agg(F.min(F.length("shard"))).first()[0] or 0
     slots = leaves.groupBy(F.expr(f"substr(shard, 1, {least})").alias(new["_slot"])).agg(F.collect_list(F.struct("shard", "bytes", "rows")).alias(new["_leaf"]))
-    met = keyed.withColumn(new["_slot"], F.expr(f"substr(`{new['_bits']}`, 1, {least})")).join(slots, new["_slot"]).withColumn(new["_leaf"], F.expr(f"filter(`{new['_leaf']}`, x -> startswith(`{new['_bits']}`, x.shard))[0]"))
-    leaf = F.col(new["_leaf"])
-    parts = F.when(F.length(leaf["shard"]) == 64, F.least(leaf["rows"], F.ceil(leaf["bytes"] / limit))).otherwise(F.lit(1))
-    return met.select(
-        *(F.col(f"`{c}`") for c in df.columns),
-        leaf["shard"].alias(new["shard"]),
-        F.pmod(new["_turn"], parts).cast("int").alias(new["copy"]),
-        F.col(new["row_bytes"]),
-        (leaf["bytes"] / parts).cast("long").alias(new["shard_bytes"]),
-        (leaf["bytes"] / parts > limit).alias(new["oversized"]),
-    )
+    met = keyed.withColumn(new["_slot"], F.expr(f"substr({bits}, 1, {least})")).join(slots, new["_slot"]).withColumn(new["_leaf"], F.expr(f"filter({leaf}, x -> startswith({bits}, x.shard))[0]"))
+    spread = F.expr(f"length({leaf}.shard) = 64 and {leaf}.bytes > {limit} and {leaf}.rows > 1")
+
+    def named(rows: DataFrame, copy: Column, total: Column) -> DataFrame:
+        return rows.select(
+            *(F.col(f"`{c}`") for c in df.columns), F.expr(f"{leaf}.shard").alias(new["shard"]), copy.cast("int").alias(new["copy"]), F.col(size), total.cast("long").alias(new["shard_bytes"]), (total > limit).alias(new["oversized"])
+        )
+
+    whole = named(met.where(~spread), F.lit(0), F.expr(f"{leaf}.bytes"))
+    if leaves.where(f"length(shard) = 64 and bytes > {limit} and rows > 1").isEmpty():
+        return whole
+    # equal rows as one row with their number; each of its copies is a row again before the rows of the copy are made
+    each = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    one = met.where(spread).groupBy(F.col(bits), F.md5(F.to_json(each, {"ignoreNullFields": "false"})).alias("mark")).agg(F.first(each).alias("row"), F.first(leaf).alias(new["_leaf"]), F.first(size).alias(new["row_bytes"]), F.count("*").alias("n"))
+    one = one.withColumn("fit", F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col(size)))).withColumn("parts", F.ceil(F.col("n") / F.col("fit")))
+    before = F.coalesce(F.sum("parts").over(Window.partitionBy(F.col(bits)).orderBy("mark").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of different rows with one 64-bit hash
+    copies = one.withColumn("before", before).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).repartition(F.col(bits), "part")
+    copies = copies.withColumn("here", F.least("fit", F.col("n") - F.col("part") * F.col("fit"))).withColumn("_", F.explode(F.expr("sequence(1L, here)")))
+    values = F.col("row")
+    dealt = copies.select(*(values[c].alias(c) for c in df.columns), F.col(leaf), F.col(size), (F.col("before") + F.col("part")).alias(new["_slot"]), (F.col("here") * F.col(size)).alias(new["_bits"]))
+    return whole.unionByName(named(dealt, F.col(slot), F.col(bits)))
