@@ -14,9 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Without that setting a local session (tests) gets a temporary one; a
+    cluster, whose executors wouldn't see it, an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -30,6 +33,14 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(stashed: DataFrame) -> None:
+    """Delete a stash that nothing will read any more."""
+    spark = stashed.sparkSession
+    for parent in {f.rsplit("/", 1)[0] for f in stashed.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -50,7 +61,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         before, mark = mark, _mark(e)
         if before == mark:
             break

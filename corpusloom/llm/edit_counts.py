@@ -1,10 +1,11 @@
 """Token counts that follow edits.
 
-Each document keeps its pre-tokens, here words led by their white space, whose counts are independent of each other
-(see ``bpe``), in blocks under a binary tree with the sums of characters and tokens. An edit (position, characters to
+Each document keeps its pre-tokens, here words led by their white space, and the tokens of each, which are independent
+of each other (see ``bpe``), in blocks under a binary tree with the sums of characters and tokens. An edit (position, characters to
 delete, text to insert; positions are code points of the text as it is then) finds its blocks by descending the tree,
 splits and encodes anew only the words it touches and one word of context on either side, puts them in place and adds
-the difference to the sums above. Other words are never read again.
+the difference to the sums above. Other words are never encoded again: a block that has grown large is split, and the
+tree built anew over the stored sums.
 
 Null text counts as empty; null edits are none. A position beyond the end means the end, below 0 the start; a null
 position, length or insert counts as the end, 0 and nothing. Edits apply in the order of the array.
@@ -28,32 +29,22 @@ class CountTree:
     def __init__(self, text: str, c: Codec):
         self.codec, self.encoded = c, 0
         words = c.words(text)
-        self.load([words[i : i + BLOCK] for i in range(0, len(words), BLOCK)] or [[]])
+        tokens = self.counts(words) if words else []
+        self.load([(words[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(words), BLOCK)] or [([], [])])
 
-    def counts(self, words: list[str]) -> np.ndarray:
+    def counts(self, words: list[str]) -> list[int]:
         """Tokens of each word; the literal of an added token can only be within one of them."""
-        out = np.fromiter(map(len, self.codec.tuples(words)), np.int64, len(words))
         text = "".join(words)
-        for t in self.codec.added:
-            if t in text:
-                return np.array([len(self.codec.encode(w)) for w in words])
-        return out
+        if any(t in text for t in self.codec.added):
+            return [len(self.codec.encode(w)) for w in words]
+        return list(map(len, self.codec.tuples(words)))
 
-    def count(self, words: list[str]) -> int:
-        return int(self.counts(words).sum()) if words else 0
-
-    def load(self, blocks: list[list[str]]) -> None:
-        """Build the tree over ``blocks``: node 1 is the root, the leaves are at ``size + k``."""
+    def load(self, blocks: list[tuple[list[str], list[int]]]) -> None:
+        """Build the tree over ``blocks`` of words and their tokens: node 1 is the root, the leaves are at ``size + k``."""
         self.blocks = blocks
         self.size = 1 << max(0, (len(blocks) - 1).bit_length())
         self.sums = np.zeros((2 * self.size, 2), np.int64)
-        flat = [w for b in blocks for w in b]
-        if flat:
-            sizes = np.array([len(b) for b in blocks])
-            full = np.flatnonzero(sizes)
-            at = (np.cumsum(sizes) - sizes)[full]
-            each = np.stack([np.fromiter(map(len, flat), np.int64, len(flat)), self.counts(flat)], axis=1)
-            self.sums[self.size + full] = np.add.reduceat(each, at, axis=0)
+        self.sums[self.size : self.size + len(blocks)] = [(len("".join(w)), sum(t)) for w, t in blocks]
         low = self.size
         while low > 1:
             level = self.sums[low : 2 * low]
@@ -79,10 +70,10 @@ class CountTree:
                 before, node = before + left, 2 * node + 1
         return node - self.size, before
 
-    def put(self, k: int, words: list[str], tokens: int) -> None:
-        self.blocks[k] = words
+    def put(self, k: int, words: list[str], tokens: list[int]) -> None:
+        self.blocks[k] = words, tokens
         node = self.size + k
-        change = np.array([sum(map(len, words)), tokens]) - self.sums[node]
+        change = np.array([len("".join(words)), sum(tokens)]) - self.sums[node]
         while node:
             self.sums[node] += change
             node //= 2
@@ -91,9 +82,8 @@ class CountTree:
         at = self.chars if at is None else max(0, min(at, self.chars))
         end, insert = min(self.chars, at + max(0, delete or 0)), insert or ""
         k, start = self.find(max(0, at - 1))
-        last, _ = self.find(min(end, max(0, self.chars - 1)))
         # words from one before the edit to one after it, as (block, place)
-        first_words = self.blocks[k]
+        first_words = self.blocks[k][0]
         i, pos = 0, start
         for w in first_words:
             if pos + len(w) >= at:
@@ -104,12 +94,13 @@ class CountTree:
             i -= 1
             pos -= len(first_words[i])
         elif k:
-            k = next(q for q in range(k - 1, -1, -1) if self.blocks[q] or not q)
-            i = max(0, len(self.blocks[k]) - 1)
-            pos = start - (len(self.blocks[k][i]) if self.blocks[k] else 0)
+            k = next(q for q in range(k - 1, -1, -1) if self.blocks[q][0] or not q)
+            words = self.blocks[k][0]
+            i = max(0, len(words) - 1)
+            pos = start - (len(words[i]) if words else 0)
         b, j, upto, old = k, i, pos, []
         while True:
-            words = self.blocks[b]
+            words = self.blocks[b][0]
             done = False
             while j < len(words):
                 old.append(words[j])
@@ -122,23 +113,21 @@ class CountTree:
         text = "".join(old)
         new = self.codec.words(text[: at - pos] + insert + text[end - pos :])
         self.encoded += sum(map(len, new))
-        add = self.count(new) - self.count(old)
+        tokens = self.counts(new) if new else []
+        (head, head_tokens), (tail, tail_tokens) = self.blocks[k], self.blocks[b]
         if b == k:
-            words = self.blocks[k][:i] + new + self.blocks[k][j:]
-            self.put(k, words, int(self.sums[self.size + k, 1]) + add)
+            self.put(k, head[:i] + new + tail[j:], head_tokens[:i] + tokens + tail_tokens[j:])
         else:
-            head, tail = self.blocks[k][:i] + new, self.blocks[b][j:]
-            kept = self.count(self.blocks[b][:j])
-            self.put(k, head, int(self.sums[self.size + k, 1]) - self.count(self.blocks[k][i:]) + self.count(new))
+            self.put(k, head[:i] + new, head_tokens[:i] + tokens)
             for q in range(k + 1, b):
-                self.put(q, [], 0)
-            self.put(b, tail, int(self.sums[self.size + b, 1]) - kept)
-        if len(self.blocks[k]) > 4 * BLOCK:
-            big = self.blocks[k]
-            self.load([*self.blocks[:k], *(big[q : q + BLOCK] for q in range(0, len(big), BLOCK)), *self.blocks[k + 1 :]])
+                self.put(q, [], [])
+            self.put(b, tail[j:], tail_tokens[j:])
+        if len(self.blocks[k][0]) > 4 * BLOCK:
+            words, tokens = self.blocks[k]
+            self.load([*self.blocks[:k], *((words[q : q + BLOCK], tokens[q : q + BLOCK]) for q in range(0, len(words), BLOCK)), *self.blocks[k + 1 :]])
 
     def text(self) -> str:
-        return "".join(w for b in self.blocks for w in b)
+        return "".join(w for b, _ in self.blocks for w in b)
 
 
 def counts(docs: DataFrame, edits_col: str = "edits", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -158,8 +147,8 @@ def counts(docs: DataFrame, edits_col: str = "edits", text_col: str = "text", pa
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in cols)], ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_chars_encoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text_col).cast("string"), F.col(edits_col).cast("array<struct<at:bigint,del:bigint,ins:string>>")).mapInArrow(
-        run, "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, n_chars_encoded long"
+    return docs.select("doc_id", F.col(text_col).cast("string"), F.col(edits_col).cast("array<struct<at:bigint,del:bigint,ins:string>>")).mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, n_chars_encoded long"
     )
 
 
