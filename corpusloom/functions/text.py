@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -212,3 +213,8 @@ def whole_words(items: list[str]) -> str:
     """A pattern for any of ``items`` as whole words."""
     quoted = "|".join("".join(c if c.isalnum() else "\\" + c for c in w) for w in sorted(set(items), key=lambda w: (-len(w), w)))
     return rf"(?<![\p{{L}}\p{{N}}_])(?:{quoted})(?![\p{{L}}\p{{N}}_])"
+
+
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it is used, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), then), 1)

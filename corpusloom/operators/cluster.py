@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +22,16 @@ def sparse_vectors(weights: DataFrame, size: int = 1 << 18) -> DataFrame:
     at = F.pmod(F.xxhash64("term"), F.lit(size)).cast("int")
     cells = weights.groupBy("content_id", at.alias("i")).agg(F.sum("weight").alias("w"))
     rows = cells.groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("cells"))
-    make = F.udf(lambda cs: SparseVector(size, [c.i for c in cs], [c.w for c in cs]), VectorUDT())
-    return rows.select("content_id", make("cells").alias("features"))
+
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), b.column(1), b.column(2)]  # the stored form of a sparse vector
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])], ["content_id", "features"])
+
+    schema = T.StructType([rows.schema["content_id"], T.StructField("features", VectorUDT())])
+    return rows.select("content_id", F.col("cells.i").alias("indices"), F.col("cells.w").cast("array<double>").alias("values")).mapInArrow(make, schema)
 
 
 def kmeans(vectors: DataFrame, k: int = 8, seed: int = 42, rounds: int = 100) -> tuple[DataFrame, float]:
@@ -31,16 +44,33 @@ def dense(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column).cast(T.ArrayType(T.DoubleType()))))
 
 
-def silhouette(df: DataFrame, limit: int = 5000, single: float = 0.0) -> DataFrame:
-    """Mean silhouette (Euclidean) of ``id, label, v array<double>``: exact over all pairs, so only up to ``limit`` rows; a cluster of one scores ``single``.
+def silhouette(df: DataFrame, single: float = 0.0, block: int = 1000) -> DataFrame:
+    """Mean silhouette (Euclidean) of ``id, label, v array<double>``, exact over all pairs; a cluster of one scores ``single``.
 
-    Above the limit use ``pyspark.ml.evaluation.ClusteringEvaluator`` (squared distances, linear).
+    Vectors are dealt into blocks, and each pair of blocks is a task that returns sums of distances for each vector and
+    label. The work is quadratic; ``pyspark.ml.evaluation.ClusteringEvaluator`` (squared distances) is linear.
     """
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"exact silhouette is for at most {limit} rows")
-    distance = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    other = F.broadcast(df.select(F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("v").alias("w")))  # bounded by limit
-    means = df.join(other, F.col("id") != F.col("id2")).groupBy("id", "label", "label2").agg(F.avg(distance).alias("d"))
+    blocks = max(1, -(-df.count() // block))
+    dealt = df.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sides = dealt.select("own", each.alias("other"), F.lit(True).alias("mine"), "id", "label", "v").unionByName(dealt.select(F.col("own").alias("other"), each.alias("own"), F.lit(False).alias("mine"), "id", "label", "v"))
+
+    def sums(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[g["mine"]], g[~g["mine"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": a["id"][:0], "label": a["label"][:0], "label2": b["label"][:0], "total": [], "n": []})
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        d = np.stack([np.sqrt(((y - v) ** 2).sum(axis=1)) for v in x])
+        out = []
+        for label in b["label"].unique():
+            there = (b["label"] == label).to_numpy()
+            itself = (a["id"].to_numpy()[:, None] == b["id"].to_numpy()[there]).sum(axis=1)
+            out.append(pd.DataFrame({"id": a["id"], "label": a["label"], "label2": label, "total": d[:, there].sum(axis=1), "n": there.sum() - itself}))
+        return pd.concat(out)
+
+    kind = {c: df.schema[c].dataType.simpleString() for c in ("id", "label")}
+    met = sides.groupBy("own", "other").applyInPandas(sums, f"id {kind['id']}, label {kind['label']}, label2 {kind['label']}, total double, n long")
+    means = met.groupBy("id", "label", "label2").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").withColumn("d", F.col("total") / F.col("n"))
     per = means.groupBy("id").agg(F.max(F.when(F.col("label") == F.col("label2"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), single).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.agg(F.round(F.avg(s), 6).alias("silhouette"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import re
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,20 +14,39 @@ from corpusloom.functions import text as tx
 from corpusloom.operators.terms import ranked
 
 
+_ONE_WORD = re.compile(r"\w+").fullmatch
+
+
+def _hits(text: Column, terms: Iterable[str]) -> Column:
+    """The words of a lower-cased ``text`` that are ``terms``, in order: one pass, whatever the number of terms."""
+    return F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w.isin(*terms)) if terms else F.array().cast("array<string>")
+
+
+def _found(text: Column, terms: Iterable[str]) -> Column:
+    """``array<struct<term, n>>`` of the terms that stand in ``text`` as whole words. Terms that aren't one word are looked for each by itself."""
+    one, more = [t for t in terms if _ONE_WORD(t)], [t for t in terms if not _ONE_WORD(t)]
+    counted = tx.bind(_hits(text, one), lambda h: F.transform(F.array_distinct(h), lambda t: F.struct(t.alias("term"), F.size(F.filter(h, lambda x: x == t)).alias("n"))))
+    if not more:
+        return counted
+    others = F.array(*(F.struct(F.lit(t).alias("term"), F.regexp_count(text, F.lit(tx.whole_words([t]))).alias("n")) for t in more))
+    return F.concat(counted, F.filter(others, lambda s: s["n"] > 0))
+
+
+def _total(found: Column, terms: list[str], value: Callable[[Column], Column]) -> Column:
+    """Sum of ``value`` over those structs in ``found`` whose term is one of ``terms``."""
+    return F.aggregate(found, F.lit(0).cast("long"), lambda a, s: a + F.when(s["term"].isin(*terms), value(s)).otherwise(0)) if terms else F.lit(0).cast("long")
+
+
 def domain_scores(docs: DataFrame, domains: dict[str, list[str]], phrases: dict[str, list[str]] | None = None) -> DataFrame:
     """``content_id, nicho, score`` of domains with a score: for each term the whole-word matches, at most five, and five for each phrase.
 
     Terms are matched in lower-cased text without accents and aren't normalised themselves. A phrase counts only if some
     domain has a score without it.
     """
-    low = tx.normalize(F.lower("text"))
-    base = {}
-    for d, ts in domains.items():
-        base[d] = F.lit(0).cast("long")
-        for t in ts:
-            base[d] = base[d] + F.least(F.lit(5), F.regexp_count("low", F.lit(tx.whole_words([t])))).cast("long")
     names = [*domains, *(d for d in phrases or {} if d not in domains)]
-    scored = docs.select("content_id", low.alias("low")).select("content_id", "low", *(base.get(d, F.lit(0).cast("long")).alias(f"s_{i}") for i, d in enumerate(names)))
+    found = docs.select("content_id", tx.normalize(F.lower("text")).alias("low")).withColumn("found", _found(F.col("low"), sorted({t for ts in domains.values() for t in ts})))
+    capped = lambda s: F.least(F.lit(5), s["n"]).cast("long")
+    scored = found.select("content_id", "low", *(_total(F.col("found"), domains.get(d, []), capped).alias(f"s_{i}") for i, d in enumerate(names)))
     some = F.greatest(F.lit(0), *(F.col(f"s_{i}") for i in range(len(names)))) > 0
     bonus = lambda d: sum((F.when(F.col("low").contains(p), 5).otherwise(0) for p in (phrases or {}).get(d, [])), F.lit(0))
     rows = F.array(*(F.struct(F.lit(d).alias("nicho"), F.when(some, F.col(f"s_{i}") + bonus(d)).otherwise(0).cast("long").alias("score")) for i, d in enumerate(names)))
@@ -41,13 +62,10 @@ def domain(docs: DataFrame, domains: dict[str, list[str]], priority: dict[str, i
 
 def confidences(docs: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
     """``content_id, nicho, place, confianza``: distinct terms found over ten, at most one; accents count."""
-    rows = F.array(
-        *(
-            F.struct(F.lit(d).alias("nicho"), F.lit(i).alias("place"), F.round(F.least(F.lit(1.0), sum((F.lower("text").rlike(tx.whole_words([t])).cast("int") for t in ts), F.lit(0)) / 10), 2).alias("confianza"))
-            for i, (d, ts) in enumerate(domains.items())
-        )
-    )
-    return docs.select("content_id", F.explode(F.filter(rows, lambda r: r["confianza"] > 0)).alias("r")).select("content_id", "r.nicho", "r.place", "r.confianza")
+    found = docs.select("content_id", _found(F.lower("text"), sorted({t for ts in domains.values() for t in ts})).alias("found"))
+    share = lambda ts: F.round(F.least(F.lit(1.0), _total(F.col("found"), ts, lambda s: F.lit(1)) / 10), 2)
+    rows = F.array(*(F.struct(F.lit(d).alias("nicho"), F.lit(i).alias("place"), share(ts).alias("confianza")) for i, (d, ts) in enumerate(domains.items())))
+    return found.select("content_id", F.explode(F.filter(rows, lambda r: r["confianza"] > 0)).alias("r")).select("content_id", "r.nicho", "r.place", "r.confianza")
 
 
 def multi_label(docs: DataFrame, domains: dict[str, list[str]], hybrids: dict[tuple[str, str], str], least: float = 0.6) -> DataFrame:
@@ -66,28 +84,25 @@ def multi_label(docs: DataFrame, domains: dict[str, list[str]], hybrids: dict[tu
 
 def weighted_hierarchy(docs: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
     """``content_id, nicho, score``: 0.4 density, 0.3 position (matches in the first or last 15 % of the words count twice; from ten words on) and 0.3 syntax (3 at a sentence start, else 1, once a sentence and term), each as a share of 100."""
+    terms = sorted({t for ts in domains.values() for t in ts})
     low = F.lower("text")
-    w = F.split(tx.squeeze(low), " ")
-    n = F.size(w)
-    head, tail = F.array_join(F.slice(w, 1, F.greatest(F.lit(0), F.floor(n * 0.15).cast("int"))), " "), F.array_join(F.slice(w, F.floor(n * 0.85).cast("int") + 1, n), " ")
+    n = lambda w: F.size(w)
+    head = lambda w: F.array_join(F.slice(w, 1, F.greatest(F.lit(0), F.floor(n(w) * 0.15).cast("int"))), " ")
+    tail = lambda w: F.array_join(F.slice(w, F.floor(n(w) * 0.85).cast("int") + 1, n(w)), " ")
+    first = lambda s, t: F.when(s.startswith(t) & ~F.substring(s, F.length(t) + 1, F.lit(1)).rlike(tx.WORD), 3).otherwise(1)
+    marked = lambda s: F.transform(_found(s, terms), lambda f: F.struct(f["term"].alias("term"), first(s, f["term"]).alias("n")))
     sents = F.transform(F.split(low, "[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
-    base = docs.select("content_id", low.alias("low"), n.alias("n"), head.alias("head"), tail.alias("tail"), sents.alias("sents"))
+    base = docs.select("content_id", low.alias("low"), tx.bind(F.split(tx.squeeze(low), " "), lambda w: F.struct(n(w).alias("n"), head(w).alias("head"), tail(w).alias("tail"))).alias("w"), F.flatten(F.transform(sents, marked)).alias("syntax"))
+    base = base.select("content_id", "w.n", _found(F.col("low"), terms).alias("all"), F.concat(_found(F.col("w.head"), terms), _found(F.col("w.tail"), terms)).alias("ends"), "syntax")
     rows = []
     for d, ts in domains.items():
-        p = tx.whole_words(ts)
-        density = F.regexp_count("low", F.lit(p))
-        ends = F.regexp_count("head", F.lit(p)) + F.regexp_count("tail", F.lit(p))
-        syntax = sum((_syntax(t) for t in ts), F.lit(0))
+        density, ends, syntax = (_total(F.col(c), ts, lambda s: s["n"].cast("long")) for c in ("all", "ends", "syntax"))
         rows.append(F.struct(F.lit(d).alias("nicho"), density.cast("double").alias("density"), F.when(F.col("n") >= 10, density + ends).otherwise(0).cast("double").alias("position"), syntax.cast("double").alias("syntax")))
-    each = base.select("content_id", F.explode(F.array(*rows)).alias("r")).select("content_id", "r.*")
-    all_ = Window.partitionBy("content_id")
-    share = lambda c: F.round(F.coalesce(100 * F.col(c) / F.nullif(F.sum(c).over(all_), F.lit(0.0)), F.lit(0.0)), 2)
-    return each.select("content_id", "nicho", F.round(0.4 * share("density") + 0.3 * share("position") + 0.3 * share("syntax"), 2).alias("score"))
-
-
-def _syntax(term: str) -> Column:
-    p = tx.whole_words([term])
-    return F.aggregate("sents", F.lit(0), lambda a, s: a + F.when(s.rlike("^" + p), 3).when(s.rlike(p), 1).otherwise(0))
+    parts = ["density", "position", "syntax"]
+    sums = tx.bind(F.array(*rows), lambda r: F.struct(r.alias("r"), *(F.aggregate(r, F.lit(0.0), lambda a, x: a + x[c]).alias(c) for c in parts)))
+    each = base.select("content_id", sums.alias("s")).select("content_id", F.struct(*(F.col(f"s.{c}").alias(c) for c in parts)).alias("s"), F.explode("s.r").alias("r"))
+    share = lambda c: F.round(F.coalesce(100 * F.col(f"r.{c}") / F.nullif(F.col(f"s.{c}"), F.lit(0.0)), F.lit(0.0)), 2)
+    return each.select("content_id", "r.nicho", F.round(0.4 * share("density") + 0.3 * share("position") + 0.3 * share("syntax"), 2).alias("score"))
 
 
 def final_domain(scores: DataFrame, margin: float = 5.0) -> DataFrame:

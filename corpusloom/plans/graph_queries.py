@@ -110,7 +110,7 @@ def l2_kmeans(spark, sf_dir):
     "SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM p"
 )
 def l3_silhouette(spark, sf_dir):
-    return cl.silhouette(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v")), limit=20_000)
+    return cl.silhouette(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v")))
 
 
 @query(f"WITH {D_COUNTS}, s AS (SELECT source, count(*) AS size FROM documents WHERE doc_id IN (SELECT content_id FROM counts) GROUP BY source) SELECT d.source AS cluster, term, round(sum(frequency)::DOUBLE / any_value(size), 6) AS weight, row_number() OVER (PARTITION BY d.source ORDER BY round(sum(frequency)::DOUBLE / any_value(size), 6) DESC, term) AS rank FROM counts c JOIN documents d ON d.doc_id = c.content_id JOIN s ON s.source = d.source GROUP BY d.source, term QUALIFY rank <= 10")

@@ -15,7 +15,7 @@ from corpusloom.plans.text_queries import D_SEARCH
 
 
 def _queries(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _bm25_sql(toks: str, asked: str, log_tf: bool) -> str:
@@ -29,7 +29,7 @@ def _bm25_sql(toks: str, asked: str, log_tf: bool) -> str:
     )
 
 
-D_BM25 = _bm25_sql(D_SEARCH.format(x="text"), D_SEARCH.format(x="substr(text, 1, 60)"), True)
+D_BM25 = _bm25_sql(D_SEARCH.format(x="text"), D_SEARCH.format(x="text"), True)
 
 
 def _results(spark, sf_dir):
@@ -44,13 +44,13 @@ def j2_bm25(spark, sf_dir):
 _W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 
-@query(f"WITH {_bm25_sql(_W.format('text'), _W.format('substr(text, 1, 60)'), False)} SELECT query_id, content_id, score, rank FROM res")
+@query(f"WITH {_bm25_sql(_W.format('text'), _W.format('text'), False)} SELECT query_id, content_id, score, rank FROM res")
 def j3_chunk_search(spark, sf_dir):
     return se.bm25(docs(spark, sf_dir), _queries(spark, sf_dir), tx.words, log_tf=False)
 
 
 @query(
-    r"WITH qw AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(substr(text, 1, 60)), '\s+'), lambda w: length(w) > 2)) AS w FROM benchmark), n AS (SELECT DISTINCT w FROM qw), occ AS (SELECT doc_id AS content_id, w, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS k FROM documents, n WHERE length(text) > 20 AND contains(lower(text), w)), "
+    r"WITH qw AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2)) AS w FROM benchmark), n AS (SELECT DISTINCT w FROM qw), occ AS (SELECT doc_id AS content_id, w, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS k FROM documents, n WHERE length(text) > 20 AND contains(lower(text), w)), "
     "s AS (SELECT query_id, content_id, sum(k)::BIGINT AS score FROM occ JOIN qw USING (w) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, content_id) AS rank FROM s QUALIFY rank <= 5"
 )
 def j4_occurrence_search(spark, sf_dir):
@@ -58,8 +58,7 @@ def j4_occurrence_search(spark, sf_dir):
 
 
 def _relevant(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return docs(spark, sf_dir).join(b, F.col("text").contains(F.col("passage"))).select("query_id", "content_id")
+    return se.containing(docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
 
 
 @query(f"WITH {D_BM25}, rel AS (SELECT item_id AS query_id, doc_id AS content_id FROM documents d, benchmark b WHERE contains(d.text, b.text)) SELECT query_id, round(count(rank) / count(*), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM rel LEFT JOIN res USING (query_id, content_id) GROUP BY query_id")
@@ -83,11 +82,11 @@ def j8_evidence_advice(spark, sf_dir):
 
 
 @query(
-    r"WITH d(concepto, term) AS (VALUES ('src0', 'tion'), ('src1', 'ther')), w AS (SELECT source AS concepto, unnest(list_transform(string_split(trim(regexp_replace(lower(substr(text, 1, 200)), '\s+', ' ', 'g')), ' ')[1:10], lambda x: regexp_replace(x, '^[.,;:!?()]+|[.,;:!?()]+$', '', 'g'))) AS term FROM documents) SELECT concepto, term FROM d UNION SELECT concepto, term FROM w WHERE length(term) > 3"
+    r"WITH d(concepto, term) AS (VALUES ('src0', 'tion'), ('src1', 'ther')), w AS (SELECT source AS concepto, unnest(list_transform(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')[1:10], lambda x: regexp_replace(x, '^[.,;:!?()]+|[.,;:!?()]+$', '', 'g'))) AS term FROM documents) SELECT concepto, term FROM d UNION SELECT concepto, term FROM w WHERE length(term) > 3"
 )
 def j9_learned_vocabulary(spark, sf_dir):
     known = spark.createDataFrame([("src0", "tion"), ("src1", "ther")], "concepto string, term string")
-    return tb.learned(known, docs(spark, sf_dir).select(F.col("source").alias("concepto"), F.substring("text", 1, 200).alias("title")))
+    return tb.learned(known, docs(spark, sf_dir).select(F.col("source").alias("concepto"), F.col("text").alias("title")))
 
 
 @query(f"WITH {D_TIMED} SELECT video_id, seg_no, inicio FROM timed WHERE contains(lower(texto), 'tion')")

@@ -198,11 +198,11 @@ def e4_terms_without_stopwords(spark, sf_dir):
 
 
 @query(
-    f"WITH {D_COUNTS}, t AS (SELECT content_id, string_agg(term || ' ' || term || ' ' || term, ' ' ORDER BY term) AS extra FROM counts WHERE frequency >= 5 GROUP BY content_id) SELECT doc_id AS content_id, substr(text, 1, 200) || ' ' || coalesce(extra, '') AS documento FROM documents LEFT JOIN t ON content_id = doc_id"
+    f"WITH {D_COUNTS}, t AS (SELECT content_id, string_agg(term || ' ' || term || ' ' || term, ' ' ORDER BY term) AS extra FROM counts WHERE frequency >= 5 GROUP BY content_id) SELECT doc_id AS content_id, text || ' ' || coalesce(extra, '') AS documento FROM documents LEFT JOIN t ON content_id = doc_id"
 )
 def e10_search_documents(spark, sf_dir):
     often = counts(spark, sf_dir).where("frequency >= 5").groupBy("content_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("term")), lambda t: F.concat_ws(" ", t, t, t)), " ").alias("extra"))
-    return docs(spark, sf_dir).join(often, "content_id", "left").select("content_id", F.concat_ws(" ", F.substring("text", 1, 200), F.coalesce("extra", F.lit(""))).alias("documento"))
+    return docs(spark, sf_dir).join(often, "content_id", "left").select("content_id", F.concat_ws(" ", F.col("text"), F.coalesce("extra", F.lit(""))).alias("documento"))
 
 
 @query(

@@ -1,6 +1,8 @@
 import json
 import time
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from corpusloom.operators import search as se
@@ -67,6 +69,39 @@ def test_incremental(spark, tmp_path):
     assert put([(1, "cuatro cuatro", "2026-01-02"), (2, "TRES ", "2026-01-02")]) == {(1, "cuatro", 2), (2, "tres", 1)}
 
 
+def test_incremental_failures(spark, tmp_path, monkeypatch):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    asked = []
+
+    def analyse(df):
+        asked.extend(r.content_id for r in df.collect())
+        return tm.term_counts(df)
+
+    def put(rows, how=analyse):
+        if rows:
+            spark.createDataFrame(rows, "content_id long, text string, a string").select("content_id", "text", F.col("a").cast("timestamp").alias("arrived")).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("content_id long, text string, arrived timestamp").parquet(src)
+        ingest.consolidate(stream, how, out, str(tmp_path / "ck"), 2).awaitTermination()
+        return {(r.content_id, r.term, r.frequency) for r in spark.read.parquet(out).collect()}
+
+    assert put([(1, "uno", "2026-01-01"), (2, "", "2026-01-01"), (3, "tres", "2026-01-01")]) == {(1, "uno", 1), (3, "tres", 1)}
+    time.sleep(1.1)
+
+    def broken(df):
+        raise RuntimeError("analysis fails")
+
+    with pytest.raises(StreamingQueryException):
+        put([(1, "dos", "2026-01-02"), (2, "", "2026-01-02"), (3, "", "2026-01-02")], broken)
+    with monkeypatch.context() as m:  # stops after it has overwritten the table
+        m.setattr(ingest, "_delete", lambda spark, p: (_ for _ in ()).throw(RuntimeError("lost")) if "staged" in p else None)
+        with pytest.raises(StreamingQueryException):
+            put([])
+    asked.clear()
+    assert put([]) == {(1, "dos", 1)} and asked == []  # staged before, so nothing is analysed anew
+    time.sleep(1.1)
+    assert put([(2, "", "2026-01-03"), (3, "", "2026-01-03")]) == {(1, "dos", 1)} and asked == []  # contents without rows are known too
+
+
 def test_tables(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k long, v string")
