@@ -44,7 +44,23 @@ def h2_multi_label(spark, sf_dir):
     return dm.multi_label(docs(spark, sf_dir), DOMAINS, HYBRIDS, 0.3)
 
 
-@query()
+def _hits(words: str) -> str:
+    return f"SELECT content_id, nicho, count(*) AS n FROM (SELECT content_id, unnest({words}) AS w FROM b) JOIN dom ON w = term GROUP BY ALL"
+
+
+_WORDS_IN = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+')"
+
+
+@query(
+    rf"WITH dom(nicho, ord, term) AS (SELECT * FROM {_DOMAIN_VALUES}), b0 AS (SELECT doc_id AS content_id, lower(text) AS low, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM documents), "
+    "b AS (SELECT content_id, low, len(w) AS n, array_to_string(w[1:floor(len(w) * 0.15::DOUBLE)::INT], ' ') AS head, array_to_string(w[floor(len(w) * 0.85::DOUBLE)::INT + 1:], ' ') AS tail FROM b0), "
+    f"de AS ({_hits(_WORDS_IN.format('low'))}), en AS (SELECT content_id, nicho, sum(n) AS n FROM ({_hits(_WORDS_IN.format('head'))} UNION ALL {_hits(_WORDS_IN.format('tail'))}) GROUP BY ALL), "
+    r"st AS (SELECT content_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM (SELECT content_id, list_transform(regexp_split_to_array(low, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS ss FROM b)), "
+    rf"sw AS (SELECT DISTINCT content_id, k, s, unnest({_WORDS_IN.format('s')}) AS w FROM st), sy AS (SELECT content_id, nicho, sum(CASE WHEN regexp_extract(s, '^[\p{{L}}\p{{N}}_]+') = term THEN 3 ELSE 1 END) AS n FROM sw JOIN dom ON w = term GROUP BY ALL), "
+    "v AS (SELECT b.content_id, d.nicho, coalesce(de.n, 0)::DOUBLE AS density, CASE WHEN b.n >= 10 THEN coalesce(de.n, 0) + coalesce(en.n, 0) ELSE 0 END::DOUBLE AS position, coalesce(sy.n, 0)::DOUBLE AS syntax FROM b CROSS JOIN (SELECT DISTINCT nicho FROM dom) d LEFT JOIN de ON de.content_id = b.content_id AND de.nicho = d.nicho LEFT JOIN en ON en.content_id = b.content_id AND en.nicho = d.nicho LEFT JOIN sy ON sy.content_id = b.content_id AND sy.nicho = d.nicho), "
+    "p AS (SELECT content_id, nicho, round(coalesce(100 * density / nullif(sum(density) OVER c, 0), 0), 2) AS d, round(coalesce(100 * position / nullif(sum(position) OVER c, 0), 0), 2) AS e, round(coalesce(100 * syntax / nullif(sum(syntax) OVER c, 0), 0), 2) AS f FROM v WINDOW c AS (PARTITION BY content_id)) "
+    "SELECT content_id, nicho, round(0.4::DOUBLE * d + 0.3::DOUBLE * e + 0.3::DOUBLE * f, 2) AS score FROM p"
+)
 def h3_weighted_hierarchy(spark, sf_dir):
     return dm.weighted_hierarchy(docs(spark, sf_dir), DOMAINS)
 

@@ -192,7 +192,12 @@ def c3_sentence_chunks(spark, sf_dir):
     return sg.sentence_chunks(docs(spark, sf_dir)).select("chunk_id", "content_id", "posicion", "n_oraciones")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {D_SENTENCES}, ch AS (SELECT content_id, place // 10 AS posicion, min_by(sentence, place) AS head, sum(length(sentence) + 1)::BIGINT - 1 AS n FROM sent GROUP BY ALL), "
+    "r(content_id, posicion, start_char, end_char) AS (SELECT content_id, posicion, instr(text, head) - 1, instr(text, head) - 1 + n FROM ch JOIN documents ON doc_id = content_id WHERE posicion = 0 "
+    "UNION ALL SELECT c.content_id, c.posicion, CASE WHEN instr(substr(d.text, end_char + 1), head) > 0 THEN end_char + instr(substr(d.text, end_char + 1), head) - 1 ELSE end_char END, CASE WHEN instr(substr(d.text, end_char + 1), head) > 0 THEN end_char + instr(substr(d.text, end_char + 1), head) - 1 ELSE end_char END + n "
+    "FROM r JOIN ch c ON c.content_id = r.content_id AND c.posicion = r.posicion + 1 JOIN documents d ON d.doc_id = c.content_id) SELECT content_id, posicion::BIGINT AS posicion, start_char::BIGINT AS start_char, end_char::BIGINT AS end_char FROM r"
+)
 def c3_chunk_offsets(spark, sf_dir):
     return sg.sentence_chunk_offsets(docs(spark, sf_dir))
 
@@ -228,7 +233,15 @@ def c7_quotes(spark, sf_dir):
     return sg.quotes(d)
 
 
-@query()
+_NAME_NOISE = ", ".join(f"'{w}'" for w in sg.NAME_NOISE)
+
+
+@query(
+    r"WITH ts AS (SELECT doc_id AS content_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS ts FROM documents), t AS (SELECT content_id, unnest(ts) AS tok, generate_subscripts(ts, 1) AS n FROM ts), s AS (SELECT *, lag(tok) OVER (PARTITION BY content_id ORDER BY n) AS sep FROM t), "
+    r"w AS (SELECT content_id, n, tok, sep, regexp_full_match(tok, '\p{Lu}\p{Ll}+') AS cap FROM s WHERE regexp_full_match(tok, '[\p{L}\p{N}_]+')), b AS (SELECT *, coalesce(cap AND lag(cap) OVER (PARTITION BY content_id ORDER BY n) AND regexp_full_match(sep, '\s+'), FALSE) AS on_ FROM w), "
+    "g AS (SELECT *, sum((NOT on_)::INT) OVER (PARTITION BY content_id ORDER BY n) AS run FROM b), m AS (SELECT DISTINCT content_id, string_agg(CASE WHEN on_ THEN sep || tok ELSE tok END, '' ORDER BY n) AS name FROM g WHERE cap GROUP BY content_id, run HAVING count(*) > 1) "
+    rf"SELECT content_id, name FROM m WHERE length(name) > 3 AND len(list_intersect(regexp_split_to_array(lower(name), '\s+'), [{_NAME_NOISE}])) = 0"
+)
 def c8_proper_names(spark, sf_dir):
     return sg.proper_names(docs(spark, sf_dir))
 
