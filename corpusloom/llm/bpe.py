@@ -31,6 +31,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 #: Words, and fragments, kept in a worker's tables before they are emptied; those of LONG characters or more aren't kept.
 TABLE_WORDS = 300_000
 LONG = 200
+#: Words counted at a time.
+MANY = 50_000
 
 
 def default_path() -> str:
@@ -76,6 +78,8 @@ class Codec:
         self.table: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}
+        self.known_before: dict[str, int] = {}
 
     def model_ids(self, fragment: str) -> tuple[int, ...]:
         ids = self.fragments.get(fragment)
@@ -95,15 +99,17 @@ class Codec:
             at = [i for i, pair in enumerate(zip(piece, piece[1:], strict=False), 1) if pair in self.certain]
         return [text[i:j] for i, j in zip([0, *at], [*at, len(text)], strict=True)]
 
-    def learn(self, words: list[str]) -> None:
-        """Put ``words`` into the table: all their pre-tokens as one run of bytes, cut at every certain pair and between pre-tokens."""
+    def cut_all(self, words: list[str]) -> tuple[list[tuple[int, ...]], list[int]]:
+        """The ids of the fragments of ``words`` in order, and the number of fragments up to the end of each word."""
         if len(words) < 8:
+            ids, ends = [], []
             for w in words:
                 m = self.plain(w)
                 raw = [x.encode() for x in m.groups() if x] if m else [p.translate(self.bytes_of).encode("latin-1") for p, _ in self.pre.pre_tokenize_str(w)]
-                self.table[w] = tuple(chain.from_iterable(map(self.model_ids, chain.from_iterable(map(self.cut, raw)))))
-            return
-        raw, pieces = [], []  # bytes; pre-tokens of each word
+                ids += map(self.model_ids, chain.from_iterable(map(self.cut, raw)))
+                ends.append(len(ids))
+            return ids, ends
+        raw, pieces = [], []  # all pre-tokens as one run of bytes, cut at every certain pair and between pre-tokens
         for w in words:
             m = self.plain(w)
             own = [x for x in m.groups() if x] if m else [p.translate(self.bytes_of) for p, _ in self.pre.pre_tokenize_str(w)]
@@ -118,11 +124,13 @@ class Codec:
         text = data.decode("latin-1").translate(self.letters)
         at = bounds.tolist()
         ids = [self.model_ids(text[i:j]) for i, j in zip([0, *at], at, strict=False)]
-        of_word = np.searchsorted(bounds, ends[np.cumsum(pieces) - 1], "right").tolist()
-        p = 0
-        for w, q in zip(words, of_word, strict=True):
+        return ids, np.searchsorted(bounds, ends[np.cumsum(pieces) - 1], "right").tolist()
+
+    def learn(self, words: list[str]) -> None:
+        """Put the ids of ``words`` into the table."""
+        ids, ends = self.cut_all(words)
+        for w, p, q in zip(words, [0, *ends], ends, strict=False):
             self.table[w] = ids[p] if q - p == 1 else tuple(chain.from_iterable(ids[p:q]))
-            p = q
 
     def tuples(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of each word. The table has two generations, so that frequent words stay when it is full."""
@@ -154,11 +162,51 @@ class Codec:
                 out += chain.from_iterable(self.tuples(self.words(part)))
         return out
 
-    def count(self, text: str | None) -> int:
-        """The number of ids of ``text``."""
-        if not text:
-            return 0
-        return sum(1 if part in self.added else sum(map(len, self.tuples(self.words(part)))) for part in self.split(text) if part)
+    def sizes(self, words: list[str]) -> np.ndarray:
+        """The number of ids of each word; a table of its own, again of two generations."""
+        known = self.known
+        new = list(set(words).difference(known))
+        if new:
+            if self.known_before:
+                known |= {w: self.known_before[w] for w in new if w in self.known_before}
+                new = [w for w in new if w not in known]
+            if new:
+                ids, ends = self.cut_all(new)
+                upto = np.cumsum([0, *map(len, ids)])[[0, *ends]]
+                known.update(zip(new, np.diff(upto).tolist(), strict=True))
+        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for w in new:
+            if len(w) >= LONG:
+                del known[w]
+        if len(known) > TABLE_WORDS:
+            self.known, self.known_before = {}, known
+        if len(self.fragments) > TABLE_WORDS:
+            self.fragments.clear()
+        return out
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of each text; words new to the table are learnt for many texts at once."""
+        out, words, sizes, at = [0] * len(texts), [], [], []
+
+        def settle() -> None:
+            if sizes:
+                for i, n in zip(at, np.add.reduceat(self.sizes(words), np.cumsum([0, *sizes[:-1]])).tolist(), strict=True):
+                    out[i] += n
+            words.clear(), sizes.clear(), at.clear()
+
+        for i, t in enumerate(texts):
+            for part in self.split(t) if t else ():
+                if part in self.added:
+                    out[i] += 1
+                elif part:
+                    own = self.words(part)
+                    words.extend(own)
+                    sizes.append(len(own))
+                    at.append(i)
+            if len(words) > MANY:
+                settle()
+        settle()
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
