@@ -230,3 +230,31 @@ def critical_reading(sents: DataFrame, key_terms: DataFrame, evidence: list[str]
     first = met.groupBy("content_id", "t.term", "t.rank").agg(F.min_by("sentence", "place").alias("sentence"), F.min("place").alias("place"))
     one = ranked(first, ["content_id", "sentence"], [F.asc("rank")], 1, "k").drop("k")
     return one.select("content_id", "term", "rank", "place", F.col("sentence").alias("premisa"), F.when(has(evidence), "SOSTENIDO").when(has(speculation), "ESPECULATIVO").otherwise("PARCIAL").alias("estado"))
+
+
+def roles(scores: DataFrame, tools: list[str], contexts: list[str]) -> DataFrame:
+    """``content_id, principal, herramienta, contexto, secundario`` of ``(content_id, nicho, score)``: the best domain, and of the others the last of each kind, null if it has no score."""
+    kind = F.when(F.col("nicho").isin(*tools), "herramienta").when(F.col("nicho").isin(*contexts), "contexto").otherwise("secundario")
+    w = Window.partitionBy("content_id").orderBy(F.desc("score"), F.asc("nicho"))
+    placed = scores.withColumn("place", F.row_number().over(w)).withColumn("kind", kind)
+    last = lambda k: F.max_by(F.when(F.col("score") > 0, F.col("nicho")), F.when((F.col("place") > 1) & (F.col("kind") == k), F.col("place"))).alias(k)
+    return placed.groupBy("content_id").agg(F.min_by("nicho", "place").alias("principal"), *map(last, ("herramienta", "contexto", "secundario")))
+
+
+def decision(scores: DataFrame, names: DataFrame, tools: list[str], contexts: list[str], margin: float = 5.0) -> DataFrame:
+    """``roles`` with the final main domain (GENERAL within ``margin`` of the second), ``es_habla`` for names ``(content_id, name)`` of transcripts, and ``nichos``, the domains whose stop words apply."""
+    best = final_domain(scores, margin).withColumnRenamed("nicho", "final")
+    r = roles(scores, tools, contexts).join(best, "content_id", "left").join(names.select("content_id", F.lower("name").rlike("transcript|subtitle|caption").alias("habla")), "content_id", "left")
+    main = F.coalesce("final", "principal")
+    speech = F.coalesce("habla", F.lit(False))
+    all_ = F.array_distinct(F.array_compact(F.array(main, "herramienta", "contexto", "secundario", F.when(speech, "HABLA"))))
+    return r.select("content_id", main.alias("principal"), "herramienta", "contexto", "secundario", speech.alias("es_habla"), all_.alias("nichos"))
+
+
+def detected_tool(text: Column, domain: Column, allowed: dict[str, list[str]], markers: dict[str, list[str]]) -> Column:
+    """Of the tools that ``domain`` allows, the one most of whose markers the lower-cased text contains; the first of equals, null without any."""
+    low = F.lower(text)
+    hits = lambda t: sum((low.contains(m).cast("int") for m in markers[t]), F.lit(0))
+    may = lambda t: domain.isin(*[d for d, ts in allowed.items() if t in ts])
+    best = F.array_max(F.array(*(F.struct(F.when(may(t), hits(t)).otherwise(0).alias("n"), F.lit(-i).alias("place"), F.lit(t).alias("tool")) for i, t in enumerate(markers))))
+    return F.when(best["n"] > 0, best["tool"])

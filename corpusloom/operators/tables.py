@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -108,3 +108,45 @@ def filtered_terms(items: Column, technical: Column, generic: Column, least: int
     tech = F.filter(items, lambda c: is_technical(c, technical))
     rest = F.filter(items, lambda c: (F.length(c) >= 3) & ~F.array_contains(generic, c))
     return F.when(F.size(tech) >= least, tech).when(F.size(rest) > 0, rest).otherwise(items)
+
+
+def merged_groundings(groundings: DataFrame, alias: DataFrame) -> DataFrame:
+    """Groundings ``(term, ...)`` under their canonical names, those of all merged terms after each other: a row each, so that no list grows."""
+    return groundings.join(alias, "term", "left").withColumn("term", F.coalesce("canonical", "term")).drop("canonical")
+
+
+def merged_attributes(entities: DataFrame, alias: DataFrame, columns: list[str]) -> DataFrame:
+    """``term`` and ``columns``: for each canonical name the first value, by term, that isn't null."""
+    e = entities.join(alias, "term", "left").withColumn("name", F.coalesce("canonical", "term"))
+    return e.groupBy("name").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("term"))).alias(c) for c in columns)).withColumnRenamed("name", "term")
+
+
+def missing_columns(tables: dict[str, DataFrame], required: dict[str, list[str]], spark: SparkSession) -> DataFrame:
+    """``regla, n`` with a row for each required table and column, 1 if it is missing; only schemas are read."""
+    rows = []
+    for t, columns in required.items():
+        rows.append((f"tabla {t}", int(t not in tables)))
+        rows += [(f"columna {t}.{c}", int(t not in tables or c not in tables[t].columns)) for c in columns]
+    return spark.createDataFrame(rows, "regla string, n long")
+
+
+def generic_on_top(counts: DataFrame, generic: list[str], n: int = 10) -> DataFrame:
+    """How many of the ``n`` most frequent terms are generic."""
+    top = counts.groupBy("term").agg(F.sum("frequency").alias("f")).orderBy(F.desc("f"), "term").limit(n)
+    return top.agg(F.lit(f"genericos_en_top_{n}").alias("regla"), F.count_if(F.col("term").isin(*generic)).alias("n"))
+
+
+def exploded_synonyms(rows: DataFrame, column: str, source: str) -> DataFrame:
+    """``term, source`` of a comma list: trimmed, lower case, three characters or more, each once."""
+    return rows.select(F.explode(F.split(column, ",")).alias("x")).select(F.lower(F.trim("x")).alias("term"), F.lit(source).alias("source")).where(F.length("term") >= 3).distinct()
+
+
+def phrase_concepts(phrase: Column, compounds: list[str], connectors: list[str]) -> Column:
+    """Concepts of a phrase: the compounds that it contains, in the order of their list, then what is left between connectors."""
+    rest, found = F.lower(phrase), []
+    for c in compounds:
+        found.append(F.when(rest.contains(c), c))
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.trim(F.regexp_replace(rest, r"\s+", " ")), " ", "  "), F.lit(" "))
+    parts = F.split(F.regexp_replace(spaced, f" (?:{'|'.join(connectors)}) ", "\u0001"), "\u0001")
+    return F.concat(F.array_compact(F.array(*found)), F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, " +", " "))), lambda p: p != ""))

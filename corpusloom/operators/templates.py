@@ -58,3 +58,21 @@ def boolean_query(terms: Column) -> Column:
 def evidence_advice(level: Column, terms: Column) -> Column:
     """From level 3 a query of the first three terms, else that evidence is enough."""
     return F.when(level >= 3, boolean_query(F.slice(terms, 1, 3))).otherwise("suficiente")
+
+
+#: Words that are an outcome in a weighted record.
+WEIGHTED_OUTCOMES = ["riesgo", "riziko", "risk", "resultado", "outcome", "mortalidad"]
+
+
+def weighted_pico(terms: Column, outcomes: list[str] = WEIGHTED_OUTCOMES) -> Column:
+    """A PICO record of terms ordered by weight: the first is the problem, the second the intervention, the first outcome word the outcome."""
+    p, i = F.coalesce(F.get(terms, 0), F.lit("pacientes")), F.coalesce(F.get(terms, 1), F.lit("intervención"))
+    o = F.coalesce(F.get(F.filter(terms, lambda t: F.lower(t).isin(*outcomes)), 0), F.lit("riesgo"))
+    ask = F.format_string("En pacientes con %s, ¿cuál es el efecto de %s sobre %s?", p, i, o)
+    return F.struct(F.concat(F.lit("pacientes con "), p).alias("p"), i.alias("i"), F.lit("tratamiento estándar").alias("c"), o.alias("o"), ask.alias("pregunta"))
+
+
+def reader(domain: Column, tool: Column, context: Column, by_domain: dict[str, str], technical_tools: list[str], executive_contexts: list[str]) -> Column:
+    """The profile of a summary's reader by domain, tecnico if it has none; a technical tool, else an executive context, decides before."""
+    own = F.coalesce(F.create_map(*(F.lit(x) for kv in by_domain.items() for x in kv))[domain], F.lit("tecnico"))
+    return F.when(tool.isin(*technical_tools), "tecnico").when(context.isin(*executive_contexts), "ejecutivo").otherwise(own)

@@ -51,20 +51,70 @@ def _hits(words: str) -> str:
 _WORDS_IN = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+')"
 
 
-@query(
-    rf"WITH dom(nicho, ord, term) AS (SELECT * FROM {_DOMAIN_VALUES}), b0 AS (SELECT doc_id AS content_id, lower(text) AS low, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM documents), "
+D_HIERARCHY = (
+    rf"dom(nicho, ord, term) AS (SELECT * FROM {_DOMAIN_VALUES}), b0 AS (SELECT doc_id AS content_id, lower(text) AS low, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM documents), "
     "b AS (SELECT content_id, low, len(w) AS n, array_to_string(w[1:floor(len(w) * 0.15::DOUBLE)::INT], ' ') AS head, array_to_string(w[floor(len(w) * 0.85::DOUBLE)::INT + 1:], ' ') AS tail FROM b0), "
     f"de AS ({_hits(_WORDS_IN.format('low'))}), en AS (SELECT content_id, nicho, sum(n) AS n FROM ({_hits(_WORDS_IN.format('head'))} UNION ALL {_hits(_WORDS_IN.format('tail'))}) GROUP BY ALL), "
     r"st AS (SELECT content_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM (SELECT content_id, list_transform(regexp_split_to_array(low, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS ss FROM b)), "
     rf"sw AS (SELECT DISTINCT content_id, k, s, unnest({_WORDS_IN.format('s')}) AS w FROM st), sy AS (SELECT content_id, nicho, sum(CASE WHEN regexp_extract(s, '^[\p{{L}}\p{{N}}_]+') = term THEN 3 ELSE 1 END) AS n FROM sw JOIN dom ON w = term GROUP BY ALL), "
     "v AS (SELECT b.content_id, d.nicho, coalesce(de.n, 0)::DOUBLE AS density, CASE WHEN b.n >= 10 THEN coalesce(de.n, 0) + coalesce(en.n, 0) ELSE 0 END::DOUBLE AS position, coalesce(sy.n, 0)::DOUBLE AS syntax FROM b CROSS JOIN (SELECT DISTINCT nicho FROM dom) d LEFT JOIN de ON de.content_id = b.content_id AND de.nicho = d.nicho LEFT JOIN en ON en.content_id = b.content_id AND en.nicho = d.nicho LEFT JOIN sy ON sy.content_id = b.content_id AND sy.nicho = d.nicho), "
-    "p AS (SELECT content_id, nicho, round(coalesce(100 * density / nullif(sum(density) OVER c, 0), 0), 2) AS d, round(coalesce(100 * position / nullif(sum(position) OVER c, 0), 0), 2) AS e, round(coalesce(100 * syntax / nullif(sum(syntax) OVER c, 0), 0), 2) AS f FROM v WINDOW c AS (PARTITION BY content_id)) "
-    "SELECT content_id, nicho, round(0.4::DOUBLE * d + 0.3::DOUBLE * e + 0.3::DOUBLE * f, 2) AS score FROM p"
+    "p AS (SELECT content_id, nicho, round(coalesce(100 * density / nullif(sum(density) OVER c, 0), 0), 2) AS d, round(coalesce(100 * position / nullif(sum(position) OVER c, 0), 0), 2) AS e, round(coalesce(100 * syntax / nullif(sum(syntax) OVER c, 0), 0), 2) AS f FROM v WINDOW c AS (PARTITION BY content_id)), "
+    "hier AS (SELECT content_id, nicho, round(0.4::DOUBLE * d + 0.3::DOUBLE * e + 0.3::DOUBLE * f, 2) AS score FROM p)"
 )
+
+
+@query(f"WITH {D_HIERARCHY} SELECT content_id, nicho, score FROM hier")
 def h3_weighted_hierarchy(spark, sf_dir):
     return dm.weighted_hierarchy(docs(spark, sf_dir), DOMAINS)
 
 
+TOOLS, CONTEXTS = ["TECNOLOGIA"], ["LEGAL", "FINANZAS"]
+_KINDS = "CASE WHEN nicho = 'TECNOLOGIA' THEN 'herramienta' WHEN nicho IN ('LEGAL', 'FINANZAS') THEN 'contexto' ELSE 'secundario' END"
+D_ROLES = (
+    f"{D_HIERARCHY}, pl AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY score DESC, nicho) AS k, {_KINDS} AS kind FROM hier), la AS (SELECT content_id, kind, CASE WHEN score > 0 THEN nicho END AS nicho FROM pl WHERE k > 1 QUALIFY row_number() OVER (PARTITION BY content_id, kind ORDER BY k DESC) = 1), "
+    "ro AS (SELECT p.content_id, p.nicho AS principal, max(la.nicho) FILTER (la.kind = 'herramienta') AS herramienta, max(la.nicho) FILTER (la.kind = 'contexto') AS contexto, max(la.nicho) FILTER (la.kind = 'secundario') AS secundario FROM pl p LEFT JOIN la ON la.content_id = p.content_id WHERE p.k = 1 GROUP BY p.content_id, p.nicho)"
+)
+
+
+@query(f"WITH {D_ROLES} SELECT * FROM ro")
+def h3_roles(spark, sf_dir):
+    return dm.roles(h3_weighted_hierarchy(spark, sf_dir), TOOLS, CONTEXTS)
+
+
+D_DECISION = f"{D_ROLES}, mg AS (SELECT content_id, max(score) FILTER (k = 1) - max(score) FILTER (k = 2) AS margin, max(score) FILTER (k = 2) AS s2 FROM pl WHERE score > 0 GROUP BY content_id), de2 AS (SELECT ro.content_id, CASE WHEN s2 IS NOT NULL AND margin < 5 THEN 'GENERAL' ELSE principal END AS principal, herramienta, contexto, secundario, ro.content_id % 2 = 0 AS es_habla FROM ro LEFT JOIN mg USING (content_id))"
+
+
+def _decision(spark, sf_dir):
+    names = docs(spark, sf_dir).select("content_id", F.when(F.col("content_id") % 2 == 0, F.format_string("Transcript_%d.txt", "content_id")).otherwise(F.format_string("doc_%d.txt", "content_id")).alias("name"))
+    return dm.decision(h3_weighted_hierarchy(spark, sf_dir), names, TOOLS, CONTEXTS)
+
+
+@query(f"WITH {D_DECISION} SELECT content_id, principal, herramienta, contexto, secundario, es_habla, concat_ws(',', principal, herramienta, contexto, secundario, CASE WHEN es_habla THEN 'HABLA' END) AS nichos FROM de2")
+def h5_decision(spark, sf_dir):
+    return _decision(spark, sf_dir).withColumn("nichos", F.array_join("nichos", ","))
+
+
+READERS = {"TECNOLOGIA": "tecnico", "SALUD": "divulgacion", "LEGAL": "ejecutivo", "FINANZAS": "ejecutivo"}
+
+
+@query(f"WITH {D_DECISION}, r(nicho, perfil) AS (SELECT * FROM {values(list(READERS.items()))}) SELECT content_id, CASE WHEN herramienta IN ('RAG') THEN 'tecnico' WHEN contexto IN ('LEGAL') THEN 'ejecutivo' ELSE coalesce(perfil, 'tecnico') END AS perfil FROM de2 LEFT JOIN r ON r.nicho = principal")
+def m5_reader(spark, sf_dir):
+    return _decision(spark, sf_dir).select("content_id", tp.reader(F.col("principal"), F.col("herramienta"), F.col("contexto"), READERS, ["RAG"], ["LEGAL"]).alias("perfil"))
+
+
+ALLOWED_TOOLS = {"SALUD": ["A", "B"], "TECNOLOGIA": ["B", "C"], "FINANZAS": ["A", "C"], "LEGAL": ["C"]}
+MARKERS = {"A": ["therer", "inges"], "B": ["mentio", "tionin", "oned"], "C": ["lichen", "ation", "auxé"]}
+
+
+@query(
+    f"WITH {D_DOMAIN}, mk(tool, ord, marker) AS (SELECT * FROM {values([(t, i, m) for i, (t, ms) in enumerate(MARKERS.items()) for m in ms])}), ok(nicho, tool) AS (SELECT * FROM {values([(d, t) for d, ts in ALLOWED_TOOLS.items() for t in ts])}), "
+    "h AS (SELECT n.content_id, mk.tool, mk.ord, count(*) AS k FROM nichos n JOIN ok USING (nicho) JOIN mk ON mk.tool = ok.tool JOIN documents d ON d.doc_id = n.content_id AND contains(lower(d.text), mk.marker) GROUP BY ALL), b AS (SELECT content_id, tool FROM h QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY k DESC, ord) = 1) SELECT n.content_id, nicho, tool AS herramienta FROM nichos n LEFT JOIN b USING (content_id)"
+)
+def h4_detected_tool(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return dm.domain(d, DOMAINS, PRIORITY).join(d.select("content_id", "text"), "content_id").select("content_id", "nicho", dm.detected_tool(F.col("text"), F.col("nicho"), ALLOWED_TOOLS, MARKERS).alias("herramienta"))
+
+
 ALLOWED = [("SALUD", "src0"), ("TECNOLOGIA", "src1"), ("FINANZAS", "src2"), ("LEGAL", "src0"), ("GENERAL", "src3")]
 
 

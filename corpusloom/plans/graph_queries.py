@@ -262,3 +262,48 @@ def h11_semantic_quotes(spark, sf_dir):
     d = docs(spark, sf_dir)
     keys = tm.key_terms(d, words_frame(spark, STOPWORDS), 10)
     return semantic_quotes(d, keys, sg.cooccurrences(sg.segments(d), keys)).select("content_id", "posicion", F.sha2("texto", 256).alias("h"), "score", "rank")
+
+
+@query(f"WITH {D_PAIRS}, d AS (SELECT node, count(*) AS grado FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node) SELECT '{{\"id\":\"' || node || '\",\"grado\":' || grado || '}}' AS line FROM d UNION ALL SELECT '{{\"src\":\"' || src || '\",\"dst\":\"' || dst || '\",\"peso\":' || peso || '}}' FROM edges")
+def k8_json(spark, sf_dir):
+    return gr.graph_json(_edges(spark, sf_dir))
+
+
+CANONICAL = [("ting", "tion"), ("ther", "tion")]
+
+
+@query(f"WITH {D_COUNTS}, al(term, c) AS (SELECT * FROM {values(CANONICAL)}) SELECT coalesce(c, term) AS term, content_id, frequency FROM counts LEFT JOIN al USING (term)")
+def f23_merged_groundings(spark, sf_dir):
+    return tb.merged_groundings(counts(spark, sf_dir).select("term", "content_id", "frequency"), spark.createDataFrame(CANONICAL, "term string, canonical string"))
+
+
+@query(f"WITH {D_COUNTS}, al(term, c) AS (SELECT * FROM {values(CANONICAL)}), e AS (SELECT term, CASE WHEN term <> 'ther' THEN min(content_id) END AS primero FROM counts GROUP BY term) SELECT coalesce(c, term) AS term, min_by(primero, term) FILTER (primero IS NOT NULL) AS primero FROM e LEFT JOIN al USING (term) GROUP BY coalesce(c, term)")
+def f23_merged_attributes(spark, sf_dir):
+    e = counts(spark, sf_dir).groupBy("term").agg(F.min("content_id").alias("primero")).withColumn("primero", F.when(F.col("term") != "ther", F.col("primero")))
+    return tb.merged_attributes(e, spark.createDataFrame(CANONICAL, "term string, canonical string"), ["primero"])
+
+
+@query(f"WITH {D_COUNTS}, {D_STOP}, ks AS (SELECT content_id, list(term ORDER BY frequency DESC, place) AS ts FROM (SELECT * FROM counts WHERE term NOT IN (SELECT term FROM stop) QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY frequency DESC, place) <= 5) GROUP BY content_id), w AS (SELECT content_id, ts[1] AS p, coalesce(ts[2], 'intervención') AS i, coalesce(list_filter(ts, lambda t: t IN ('tion', 'the', 'des'))[1], 'riesgo') AS o FROM ks) SELECT content_id, 'pacientes con ' || p AS p, i, 'tratamiento estándar' AS c, o, 'En pacientes con ' || p || ', ¿cuál es el efecto de ' || i || ' sobre ' || o || '?' AS pregunta FROM w")
+def m3_weighted_pico(spark, sf_dir):
+    keys = tm.key_terms(docs(spark, sf_dir), words_frame(spark, STOPWORDS), 5).groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))  # five a document
+    return keys.select("content_id", tp.weighted_pico(F.col("k.term"), ["tion", "the", "des"]).alias("x")).select("content_id", "x.*")
+
+
+_TOP10 = "SELECT content_id, list(term ORDER BY term) AS ts FROM (SELECT * FROM counts {} QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY frequency DESC, place) <= 10) GROUP BY content_id"
+
+
+@query(f"WITH {D_COUNTS}, {D_STOP}, a AS ({_TOP10.format('')}), b AS ({_TOP10.format('WHERE term NOT IN (SELECT term FROM stop)')}) SELECT content_id, a.ts IS NULL OR b.ts IS NULL AS nicho_distinto, a.ts IS DISTINCT FROM b.ts AS terminos_distintos FROM a FULL JOIN b USING (content_id)")
+def n2_stopword_runs(spark, sf_dir):
+    """The run without stop words against the run with them."""
+    d = docs(spark, sf_dir)
+    run = lambda stop: tm.key_terms(d, stop, 10).groupBy("content_id").agg(F.array_sort(F.collect_list("term")).alias("terms")).withColumn("nicho", F.lit("GENERAL"))
+    return tb.runs_compared(run(None), run(words_frame(spark, STOPWORDS)))
+
+
+REQUIRED = {"documents": ["doc_id", "text", "nicho"], "labels": ["doc_id", "toxic"], "region": ["r_name", "r_tipo"]}
+
+
+@query(f"WITH {D_COUNTS}, top AS (SELECT term FROM counts GROUP BY term ORDER BY sum(frequency) DESC, term LIMIT 10), req(t, c) AS (SELECT * FROM {values([(t, c) for t, cs in REQUIRED.items() for c in cs])}) SELECT 'genericos_en_top_10' AS regla, count(*) FILTER (term IN ('the', 'and', 'que', 'con', 'des')) AS n FROM top UNION ALL SELECT DISTINCT 'tabla ' || t, 0 FROM req UNION ALL SELECT 'columna ' || t || '.' || c, (SELECT count(*) = 0 FROM information_schema.columns WHERE table_name = t AND column_name = c)::BIGINT FROM req")
+def n3_required(spark, sf_dir):
+    tables = {t: table(spark, sf_dir, t) for t in REQUIRED}
+    return tb.generic_on_top(counts(spark, sf_dir), ["the", "and", "que", "con", "des"]).unionByName(tb.missing_columns(tables, REQUIRED, spark))

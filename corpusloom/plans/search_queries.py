@@ -179,3 +179,46 @@ def a12_stamped_transcript(spark, sf_dir):
     return g.select("video_id", F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("transcript"))
 
 
+COMPOUNDS, CONNECTORS, MESH = ["blue bolt", "red widget"], ["of", "and", "in"], {"blue bolt": "Bolts", "small ring": "Rings", "economy": "Economics", "hot gear": "Gears"}
+
+
+@query(
+    r"WITH p AS (SELECT p_partkey, lower(p_name || ' of ' || p_type || ' and  in ' || p_brand) AS f FROM part), q AS (SELECT p_partkey, CASE WHEN contains(f, 'blue bolt') THEN 'blue bolt' END AS c1, CASE WHEN contains(replace(f, 'blue bolt', ''), 'red widget') THEN 'red widget' END AS c2, replace(replace(f, 'blue bolt', ''), 'red widget', '') AS rest FROM p), "
+    r"s AS (SELECT p_partkey, list_filter([c1, c2], lambda x: x IS NOT NULL) AS cs, string_split(regexp_replace(' ' || replace(trim(regexp_replace(rest, '\s+', ' ', 'g')), ' ', '  ') || ' ', ' (?:of|and|in) ', chr(1), 'g'), chr(1)) AS ps FROM q), c AS (SELECT p_partkey, list_concat(cs, list_filter(list_transform(ps, lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '')) AS cs FROM s), "
+    f"m(k, v) AS (SELECT * FROM {values(list(MESH.items()))}), e AS (SELECT p_partkey, unnest(cs) AS k, generate_subscripts(cs, 1) AS n FROM c), g AS (SELECT p_partkey, string_agg('\"' || v || '\"', ' AND ' ORDER BY n) AS consulta FROM e JOIN m USING (k) GROUP BY p_partkey) SELECT p_partkey, array_to_string(cs, '|') AS conceptos, coalesce(consulta, '') AS consulta FROM c LEFT JOIN g USING (p_partkey)"
+)
+def e14_phrase_queries(spark, sf_dir):
+    phrase = F.concat_ws(" ", "p_name", F.lit("of"), "p_type", F.lit("and  in"), "p_brand")
+    known = F.create_map(*(F.lit(x) for kv in MESH.items() for x in kv))
+    d = table(spark, sf_dir, "part").select("p_partkey", tb.phrase_concepts(phrase, COMPOUNDS, CONNECTORS).alias("c"))
+    found = F.filter(F.transform("c", lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+    return d.select("p_partkey", F.array_join("c", "|").alias("conceptos"), tp.boolean_query(found).alias("consulta"))
+
+
+def _turns(spark, sf_dir):
+    return timed(spark, sf_dir).select(F.concat_ws("_", "video_id", "seg_no").alias("chunk_id"), "video_id", F.col("seg_no").alias("posicion"), "inicio", "fin", "texto")
+
+
+def _turn_results(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return se.bm25(_turns(spark, sf_dir).select(F.col("chunk_id").alias("content_id"), F.col("texto").alias("text")), asked, tx.words, log_tf=False)
+
+
+_TURN_BM25 = f"{D_TIMED}, " + _bm25_sql(_W.format("texto"), _W.format("text"), False).replace("SELECT doc_id AS content_id", "SELECT video_id || '_' || seg_no AS content_id").replace("FROM documents", "FROM timed")
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(texto, '\[[^\n]*?\]', '', 'g'), '&[a-z]+;', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"WITH {_TURN_BM25} SELECT query_id, rank, content_id AS chunk_id, video_id, inicio, {_CLEAN} AS fragmento, 'https://youtu.be/' || video_id || '?t=' || inicio::BIGINT AS enlace, score FROM res JOIN timed ON video_id || '_' || seg_no = content_id")
+def j3_fragments(spark, sf_dir):
+    return se.chunk_fragments(_turn_results(spark, sf_dir), _turns(spark, sf_dir))
+
+
+_CLOCK = "CASE WHEN {0} < 3600 THEN '' ELSE lpad(({0}::BIGINT // 3600)::VARCHAR, 2, '0') || ':' END || lpad(({0}::BIGINT % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad(({0}::BIGINT % 60)::VARCHAR, 2, '0')"
+
+
+@query(
+    f"WITH {_TURN_BM25}, r AS (SELECT query_id, rank, '[Chunk ' || rank || '] Fuente: ' || video_id || ' | Pos: ' || seg_no || ' | Tiempo: ' || {_CLOCK.format('inicio')} || '→' || {_CLOCK.format('fin')} || chr(10) || substr(trim(texto), 1, 800) || CASE WHEN length(trim(texto)) > 800 THEN '...' ELSE '' END AS part, video_id || ' @ ' || {_CLOCK.format('inicio')} AS cite FROM res JOIN timed ON video_id || '_' || seg_no = content_id) "
+    "SELECT query_id, string_agg(part, chr(10) || chr(10) ORDER BY rank) AS contexto, string_agg(cite, ',' ORDER BY rank) AS citas FROM r GROUP BY query_id"
+)
+def j7_cited_context(spark, sf_dir):
+    return se.chunk_context(_turn_results(spark, sf_dir), _turns(spark, sf_dir)).withColumn("citas", F.array_join("citas", ","))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import tables as tb
 from corpusloom.operators import terms as tm
 from corpusloom.plans.base import D_COUNTS, D_STOP, STOPWORDS, TECHNICAL, counts, docs, table, values, words_frame
 from corpusloom.plans.registry import query
@@ -234,3 +235,9 @@ def j1_inverse_document_frequency(spark, sf_dir):
 )
 def l1_tf_idf(spark, sf_dir):
     return tm.tf_idf(counts(spark, sf_dir)).withColumn("weight", F.round("weight", 6) + 0)
+
+
+@query("SELECT DISTINCT lower(trim(x)) AS term, 'sinonimo' AS source FROM (SELECT unnest(string_split(replace(p_name, ' ', ' , ') || ',' || p_brand || ',ab', ',')) AS x FROM part) WHERE length(trim(x)) >= 3")
+def g10_synonyms(spark, sf_dir):
+    lists = table(spark, sf_dir, "part").select(F.concat_ws(",", F.replace("p_name", F.lit(" "), F.lit(" , ")), "p_brand", F.lit("ab")).alias("sinonimos"))
+    return tb.exploded_synonyms(lists, "sinonimos", "sinonimo")
