@@ -87,3 +87,8 @@ def cluster_by_domain(clusters: DataFrame, domains: DataFrame) -> DataFrame:
     return clusters.join(domains, "content_id").groupBy("cluster", "nicho").agg(F.count("*").alias("n"))
 
 
+def cluster_summary(clusters: DataFrame, n: int = 3) -> DataFrame:
+    """``cluster, size, ejemplos``: the members of each cluster, and the first ``n`` by id."""
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    few = ranked(clusters.select("cluster", "content_id"), ["cluster"], [F.asc("content_id")], n).groupBy("cluster").agg(F.array_sort(F.collect_list("content_id")).alias("ejemplos"))
+    return size.join(few, "cluster")

@@ -87,3 +87,9 @@ def coverage(counts: DataFrame, technical: DataFrame) -> DataFrame:
     marked = counts.select("term").distinct().join(technical.select("term").distinct().withColumn("known", F.lit(1)), "term", "left")
     out = marked.agg(F.count("known").alias("technical"), F.count("*").alias("total"))
     return out.withColumn("percent", F.round(100.0 * F.col("technical") / F.col("total"), 1))
+
+
+def validated_counts(counts: DataFrame, generic: DataFrame, technical: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """``content_id, term, frequency`` of technical terms that aren't generic (``(term)`` each, or shorter than three), summed by lemma ``(term, lemma)``; contents without any are gone."""
+    kept = without(counts.where(F.length("term") >= 3), generic).join(technical.select("term").distinct(), "term", "left_semi")
+    return kept.join(lemmas, "term", "left").groupBy("content_id", F.coalesce("lemma", "term").alias("term")).agg(F.sum("frequency").alias("frequency"))

@@ -307,3 +307,26 @@ REQUIRED = {"documents": ["doc_id", "text", "nicho"], "labels": ["doc_id", "toxi
 def n3_required(spark, sf_dir):
     tables = {t: table(spark, sf_dir, t) for t in REQUIRED}
     return tb.generic_on_top(counts(spark, sf_dir), ["the", "and", "que", "con", "des"]).unionByName(tb.missing_columns(tables, REQUIRED, spark))
+
+
+@query("WITH r AS (SELECT source AS cluster, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS size FROM documents) SELECT cluster, any_value(size) AS size, string_agg(doc_id, ',' ORDER BY k) AS ejemplos FROM r WHERE k <= 3 GROUP BY cluster")
+def l4_cluster_summary(spark, sf_dir):
+    return cl.cluster_summary(docs(spark, sf_dir).select("content_id", F.col("source").alias("cluster"))).withColumn("ejemplos", F.array_join("ejemplos", ","))
+
+
+def _document_clusters(spark, sf_dir, k: int = 8):
+    """k-means clusters of the documents' TF-IDF vectors of technical terms."""
+    weights = tm.tf_idf(counts(spark, sf_dir).join(words_frame(spark, [t for ts in DOMAINS.values() for t in ts]), "term", "left_semi"))
+    out, _ = cl.kmeans(cl.sparse_vectors(weights, 1 << 12), k)
+    return weights, out.select("content_id", F.col("cluster").cast("long").alias("cluster"))
+
+
+@query()
+def l4_kmeans_terms(spark, sf_dir):
+    weights, clusters = _document_clusters(spark, sf_dir)
+    return cl.cluster_terms(weights, clusters)
+
+
+@query()
+def l5_kmeans_by_domain(spark, sf_dir):
+    return cl.cluster_by_domain(_document_clusters(spark, sf_dir)[1], dm.domain(docs(spark, sf_dir), DOMAINS, PRIORITY))

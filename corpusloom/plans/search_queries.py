@@ -222,3 +222,13 @@ _CLOCK = "CASE WHEN {0} < 3600 THEN '' ELSE lpad(({0}::BIGINT // 3600)::VARCHAR,
 )
 def j7_cited_context(spark, sf_dir):
     return se.chunk_context(_turn_results(spark, sf_dir), _turns(spark, sf_dir)).withColumn("citas", F.array_join("citas", ","))
+
+
+@query(
+    "WITH p AS (SELECT conv_id AS video_id, (length(text) % 50 - 20) / 10.0::DOUBLE AS o, length(text) % 9 <> 0 AS ok FROM conversations), g AS (SELECT video_id, count(*) FILTER (ok) AS v, count(*) FILTER (NOT ok) AS f, max(abs(o)) FILTER (ok) AS w FROM p GROUP BY video_id) "
+    "SELECT video_id, CASE WHEN v = 0 THEN 'failed' WHEN w <= 2 AND f = 0 THEN 'validated' WHEN w <= 4 AND f <= 1 THEN 'approximate' ELSE 'not_for_navigation' END AS status, v AS validated_count, f AS failed_count, CASE WHEN v > 0 THEN round(w, 2) END AS max_offset_seconds FROM g"
+)
+def f26_track_status(spark, sf_dir):
+    """Offsets and validity of each turn from its length, as the tables have no second track."""
+    n = F.length("texto")
+    return se.sync_status(timed(spark, sf_dir).select("video_id", ((n % 50 - 20) / 10.0).alias("offset_seconds"), (n % 9 != 0).alias("validado")))

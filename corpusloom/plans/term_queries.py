@@ -241,3 +241,17 @@ def l1_tf_idf(spark, sf_dir):
 def g10_synonyms(spark, sf_dir):
     lists = table(spark, sf_dir, "part").select(F.concat_ws(",", F.replace("p_name", F.lit(" "), F.lit(" , ")), "p_brand", F.lit("ab")).alias("sinonimos"))
     return tb.exploded_synonyms(lists, "sinonimos", "sinonimo")
+
+
+VALID = [*TECHNICAL, "ther", "tions", "mentes", "the"]
+VALID_LEMMAS = [("tions", "tion"), ("mentes", "mente")]
+
+
+@query(
+    f"WITH {D_COUNTS}, {D_STOP}, lm(term, lemma) AS (SELECT * FROM {values(VALID_LEMMAS)}), k AS (SELECT content_id, coalesce(lemma, term) AS term, sum(frequency) AS frequency FROM counts LEFT JOIN lm USING (term) WHERE length(term) >= 3 AND term NOT IN (SELECT term FROM stop) AND term IN (SELECT * FROM {values([(t,) for t in VALID])}) GROUP BY ALL), "
+    "df AS (SELECT term, count(DISTINCT content_id) AS df FROM k GROUP BY term), n AS (SELECT count(DISTINCT content_id) AS n FROM k), w AS (SELECT content_id, term, (1 + ln(frequency)) * ln(n / (1 + df)) AS w FROM k JOIN df USING (term), n) "
+    "SELECT content_id, term, round(w / (CASE WHEN sqrt(sum(w * w) OVER (PARTITION BY content_id)) = 0 THEN 1 ELSE sqrt(sum(w * w) OVER (PARTITION BY content_id)) END), 6) + 0 AS weight FROM w"
+)
+def l1_validated_tf_idf(spark, sf_dir):
+    lemmas = spark.createDataFrame(VALID_LEMMAS, "term string, lemma string")
+    return tm.tf_idf(tm.validated_counts(counts(spark, sf_dir), words_frame(spark, STOPWORDS), words_frame(spark, VALID), lemmas)).withColumn("weight", F.round("weight", 6) + 0)

@@ -375,3 +375,11 @@ def f25_complexity(spark, sf_dir):
 @query("SELECT conv_id AS content_id, turn AS seg_no, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ventana FROM conversations")
 def g8_context_window(spark, sf_dir):
     return sg.neighbours(_segments(spark, sf_dir)).select("content_id", "seg_no", "ventana")
+
+
+@query(
+    f"WITH w AS (SELECT doc_id AS content_id, lower(text) AS low, len(list_filter({D_WORDS}, lambda w: w IN ('tion', 'ther', 'ment')))::BIGINT AS k, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::BIGINT AS n FROM documents), d AS (SELECT *, CASE WHEN n > 0 THEN floor(k * 100::DOUBLE / n * 100) / 100 ELSE 0 END AS densidad FROM w) "
+    "SELECT content_id, CASE WHEN contains(low, 'anding') OR contains(low, 'chlich') THEN 'practico' WHEN contains(low, 'tioner') OR contains(low, 'mente') THEN 'tecnico' ELSE 'mixto' END AS estilo, densidad, CASE WHEN densidad > 5 OR (densidad = 0 AND n > 10000) THEN 'alta' WHEN densidad > 2 OR (densidad = 0 AND n > 5000) THEN 'media' ELSE 'baja' END AS complejidad FROM d"
+)
+def f25_style(spark, sf_dir):
+    return sg.style(docs(spark, sf_dir), ["anding", "chlich"], ["tioner", "mente"], ["tion", "ther", "ment"])
