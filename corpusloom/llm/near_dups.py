@@ -16,7 +16,7 @@ standard errors of the threshold are proposed. Every proposed pair is decided ex
 components are classes. So a group of n copies costs about n pairs, documents that share a passage cost none, and a
 similar pair is lost only if no band agrees (7 in 10,000 at 0.8).
 
-Null, empty and blank texts are like nothing: each row is a class of its own. Repeated rows are copies of each other.
+Ids are whole numbers or null (they are read as long). Null, empty and blank texts are like nothing: each row is a class of its own. Repeated rows are copies of each other.
 """
 
 from __future__ import annotations

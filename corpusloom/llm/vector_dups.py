@@ -46,7 +46,9 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a bucket and tables for ``n`` vectors."""
+    """Bits of a bucket and tables for ``n`` vectors; tables find a pair at the threshold with probability ``recall``, below 1."""
+    if not 0 < recall < 1:
+        raise ValueError("recall must be between 0 and 1")
     bits = max(6, min(40, math.ceil(math.log2(max(2, n) / BUCKET))))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-same)))
@@ -82,15 +84,19 @@ def quantised(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def estimates(code: np.ndarray, factor: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, total: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (codes by rows, quantised by columns) and the standard error of each row."""
+    """Estimated inner products (codes by rows, quantised by columns) and their standard errors.
+
+    The error has two parts: what the code leaves out of its vector, and the random rounding of the other vector to
+    levels, whose variance is a sixth of the squared step in each coordinate.
+    """
     ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
     dot = np.zeros((len(code), planes.shape[1]), np.int64)
     for p in range(4):
         for w in range(code.shape[1]):
             dot += np.bitwise_count(code[:, w, None] & planes[p][None, :, w]).astype(np.int64) << p
     raw = (step[None, :] * (2 * dot - total[None, :]) + low[None, :] * (2 * ones[:, None] - dim)) / math.sqrt(dim)
-    error = np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(1, dim - 1)) + 0.01
-    return raw / factor[:, None], error
+    left_out = np.maximum(1 - factor**2, 0) / max(1, dim - 1)
+    return raw / factor[:, None], np.sqrt(left_out[:, None] + step[None, :] ** 2 / 6) / factor[:, None]
 
 
 def _unit(df: DataFrame, column: str) -> DataFrame:
@@ -155,7 +161,7 @@ def _candidates(code: np.ndarray, factor: np.ndarray, turned: np.ndarray | None,
         return differ <= dim * p + SIGMAS * math.sqrt(dim * p * (1 - p))
     planes, low, step, total = quantised(turned[j])
     est, err = estimates(code[i], factor[i], planes, low, step, total, dim)
-    return est + SIGMAS * err[:, None] >= threshold
+    return est + SIGMAS * err >= threshold
 
 
 def link_counts(coded: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

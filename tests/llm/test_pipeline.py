@@ -41,3 +41,13 @@ def test_stages(spark, tmp_path):
     assert 2000 not in texts or "4111111111111111" not in texts[2000]
     assert ids[4] == ids[3] and seen[4].count() == len(ids[4])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
+
+
+def test_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (None, None, "en", "s", None), (3, "", "en", "s", 1)], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, f"{tmp_path}/b").collect()) == [0, 1, 3]

@@ -49,3 +49,17 @@ def test_without_labels(spark):
     model = toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r.toxicity_predicted == 0 for r in toxicity.score(d, model).collect())
     assert toxicity.score(d.limit(0), model).count() == 0
+
+
+def test_copies_count_once():
+    text = " ".join(f"w{i}" for i in range(50))
+    assert toxicity.without_copies([text, text + " tail", "other words here", text]) == [text, "other words here"]
+
+
+def test_margins_lean_to_toxic_windows():
+    docs, labels = corpus(600)
+    of = lambda k: [t for (_, t, *_), (_, bad) in zip(docs, labels) if bad == k]
+    model = toxicity.calibrate(toxicity.train(of(1)[:60], of(0)[:240]), of(1)[60:], of(0)[240:])
+    m = toxicity.Meter(model)
+    assert m.margins("snarfle blatherskite grumblewort").max() > max(m.margins(t).max() for t in of(0)[:50])
+    assert len(m.margins("a b c d e f g")) == 3 and len(m.margins(None)) == 0 and model.ordinary != model.toxic
