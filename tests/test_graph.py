@@ -1,3 +1,5 @@
+import random
+
 import itertools
 
 from corpusloom.operators import cluster as cl
@@ -48,3 +50,17 @@ def test_silhouette_and_kmeans(spark):
     w = spark.createDataFrame([(i, t, 1.0) for i, t in ((1, "a"), (2, "a"), (3, "b"), (4, "b"))], "content_id long, term string, weight double")
     out, inertia = cl.kmeans(cl.sparse_vectors(w), 2)
     assert inertia < 1e-9 and out.select("cluster").distinct().count() == 2
+
+
+def test_betweenness_by_levels(spark):
+    rng = random.Random(4)
+    pairs = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(40)} | {(90, 91)}
+    edges = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", 1.0) for a, b in pairs], "src string, dst string, peso double")
+    held, tables = ({r.node: (r.centralidad, r.rol) for r in gr.betweenness(edges, h).collect()} for h in (1000, 5))
+    assert held == tables and len(held) == len({x for p in pairs for x in p}) and max(v for v, _ in held.values()) > 0
+
+
+def test_all_pairs_of_large_contents(spark):
+    names = spark.range(30).selectExpr("1L as content_id", "concat('n', id) as name").unionByName(spark.createDataFrame([(2, "a"), (2, "b"), (2, "a"), (3, "x"), (3, None)], "content_id long, name string"))
+    got = [tuple(r) for r in gr.entity_pairs(names, block=4).collect()]
+    assert len(got) == len(set(got)) == 30 * 29 // 2 + 1 and all(a < b for _, a, b in got)
