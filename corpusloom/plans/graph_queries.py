@@ -67,7 +67,7 @@ def k5_density(spark, sf_dir):
 
 @query()
 def k6_betweenness(spark, sf_dir):
-    return gr.betweenness(gr.count_graph(_useful(spark, sf_dir), 6, 3))
+    return gr.betweenness(_edges(spark, sf_dir))
 
 
 CONCEPT = [("tion", "accion"), ("ment", "accion2"), ("heit", "estado")]
