@@ -31,8 +31,9 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 #: Words, and fragments, kept in a worker's tables before they are emptied; those of LONG characters or more aren't kept.
 TABLE_WORDS = 300_000
 LONG = 200
-#: Words counted at a time.
+#: Words counted at a time, and lengths of words kept: workers of a pipeline have other tables too.
 MANY = 50_000
+KNOWN_WORDS = 100_000
 
 
 def default_path() -> str:
@@ -178,9 +179,9 @@ class Codec:
         for w in new:
             if len(w) >= LONG:
                 del known[w]
-        if len(known) > TABLE_WORDS:
+        if len(known) > KNOWN_WORDS:
             self.known, self.known_before = {}, known
-        if len(self.fragments) > TABLE_WORDS:
+        if len(self.fragments) > KNOWN_WORDS:
             self.fragments.clear()
         return out
 

@@ -38,7 +38,7 @@ BANDS, ROWS = 24, 6
 #: Coordinates of the long sketches, made only of texts whose buckets aren't settled by their hubs.
 LONG = 512
 BLOCK = 1000
-TABLE = 200_000
+TABLE = 80_000
 _U = np.uint64
 
 

@@ -42,8 +42,10 @@ def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(path or bpe.default_path())
         for b in batches:
-            n = np.maximum(1, np.array(c.counts(b.column(1).to_pylist()), np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2)], ["id", "n_tokens", "hash"])
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                n = np.maximum(1, np.array(c.counts(part.column(1).to_pylist()), np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), part.column(2)], ["id", "n_tokens", "hash"])
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_tokens long, hash long")
 
