@@ -11,12 +11,12 @@ from corpusloom.operators.terms import ranked
 CODE = ["{", "}", "def ", "import ", "http", "<?"]
 
 
-def semantic_quotes(docs: DataFrame, terms: DataFrame, pairs: DataFrame, sentiment: DataFrame | None = None, n: int = 10) -> DataFrame:
+def semantic_quotes(docs: DataFrame, terms: DataFrame, pairs: DataFrame, sentiment: DataFrame | None = None, n: int = 10, tiers: DataFrame | None = None) -> DataFrame:
     """``content_id, posicion, texto, score, rank``: chunks of three sentences, 30 characters or more and not code.
 
     Score: 40 % share of the document's terms present, 25 % share of its pairs with both ends present, 20 % absolute
-    normalised polarity (``sentiment (chunk_id, polaridad_norm)``, 0 without), 15 % domain match (half, as the tier is
-    unknown). Equal texts but for case count once, at their first place, before the ranking.
+    normalised polarity (``sentiment (chunk_id, polaridad_norm)``, 0 without), 15 % domain match of ``tiers (content_id,
+    tier, nicho)``: whole if they are equal, half if the tier is unknown (``desconocido``, or not given). Equal texts but for case count once, at their first place, before the ranking.
     """
     c = sentence_chunks(docs, 3)
     bad = F.lit(False)
@@ -28,8 +28,13 @@ def semantic_quotes(docs: DataFrame, terms: DataFrame, pairs: DataFrame, sentime
     p = pairs.groupBy("content_id").agg(F.collect_list(F.struct("t1", "t2")).alias("ps"))  # and pairs
     c = c.join(t, "content_id", "left").join(p, "content_id", "left")
     c = c.withColumn("pol", F.lit(0.0)) if sentiment is None else c.join(sentiment.select("chunk_id", F.col("polaridad_norm").alias("pol")), "chunk_id", "left")
+    if tiers is None:
+        c = c.withColumn("match", F.lit(7.5))
+    else:
+        match = F.when(F.col("tier") == F.col("nicho"), 15.0).when(F.coalesce("tier", F.lit("desconocido")) == "desconocido", 7.5).otherwise(0.0)
+        c = c.join(tiers.select("content_id", match.alias("match")), "content_id", "left").withColumn("match", F.coalesce("match", F.lit(7.5)))
     low = F.col("low")
     share = lambda xs, hit: F.when(F.size(xs) > 0, F.size(F.filter(xs, hit)) / F.size(xs)).otherwise(0.0)
-    score = 40 * share("ts", lambda x: low.contains(x)) + 25 * share("ps", lambda x: low.contains(x["t1"]) & low.contains(x["t2"])) + 20 * F.least(F.abs(F.coalesce("pol", F.lit(0.0))), F.lit(1.0)) + 7.5
-    out = ranked(c.withColumn("score", score), ["content_id"], [F.desc("score"), F.asc("posicion")], n)
+    score = 40 * share("ts", lambda x: low.contains(x)) + 25 * share("ps", lambda x: low.contains(x["t1"]) & low.contains(x["t2"])) + 20 * F.least(F.abs(F.coalesce("pol", F.lit(0.0))), F.lit(1.0)) + F.col("match")
+    out = ranked(c.withColumn("score", F.round(score, 6)), ["content_id"], [F.desc("score"), F.asc("posicion")], n)
     return out.select("content_id", "posicion", "texto", F.round("score", 2).alias("score"), "rank")

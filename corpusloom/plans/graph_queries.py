@@ -12,7 +12,7 @@ from corpusloom.operators import tables as tb
 from corpusloom.operators import templates as tp
 from corpusloom.operators import terms as tm
 from corpusloom.operators.quotes import CODE, semantic_quotes
-from corpusloom.plans.base import D_COUNTS, D_SENTENCES, D_STOP, D_TIMED, DOMAINS, PRIORITY, STOPWORDS, counts, d_terms, docs, table, timed, values, words_frame
+from corpusloom.plans.base import D_COUNTS, D_SENTENCES, D_STOP, D_TIMED, DOMAINS, LEXICON, PRIORITY, STOPWORDS, counts, d_terms, docs, table, timed, values, words_frame
 from corpusloom.plans.domain_queries import D_DOMAIN
 from corpusloom.plans.registry import query
 from corpusloom.plans.text_queries import D_COOCCURRENCES
@@ -256,7 +256,7 @@ _SHARE = "CASE WHEN len({xs}) > 0 THEN len(list_filter({xs}, lambda x: {hit})) /
     f"WITH RECURSIVE {D_COOCCURRENCES}, {D_SENTENCES}, g AS (SELECT content_id, place // 3 AS posicion, string_agg(sentence, ' ' ORDER BY place) AS texto FROM sent GROUP BY ALL), d AS (SELECT *, lower(texto) AS low FROM g WHERE length(texto) >= 30 AND {_NO_CODE} QUALIFY row_number() OVER (PARTITION BY content_id, lower(texto) ORDER BY posicion) = 1), "
     "kt AS (SELECT content_id, list(term) AS ts FROM keys GROUP BY content_id), kp AS (SELECT content_id, list({'a': t1, 'b': t2}) AS ps FROM pairs GROUP BY content_id), "
     f"sc AS (SELECT d.content_id, posicion, texto, 40 * ({_SHARE.format(xs='ts', hit='contains(low, x)')}) + 25 * ({_SHARE.format(xs='ps', hit='contains(low, x.a) AND contains(low, x.b)')}) + 7.5 AS s FROM d LEFT JOIN kt USING (content_id) LEFT JOIN kp USING (content_id)) "
-    "SELECT content_id, posicion::BIGINT AS posicion, sha256(texto) AS h, round(s, 2) AS score, row_number() OVER (PARTITION BY content_id ORDER BY s DESC, posicion) AS rank FROM sc QUALIFY rank <= 10"
+    "SELECT content_id, posicion::BIGINT AS posicion, sha256(texto) AS h, round(s, 2) AS score, row_number() OVER (PARTITION BY content_id ORDER BY round(s, 6) DESC, posicion) AS rank FROM sc QUALIFY rank <= 10"
 )
 def h11_semantic_quotes(spark, sf_dir):
     d = docs(spark, sf_dir)
@@ -330,3 +330,22 @@ def l4_kmeans_terms(spark, sf_dir):
 @query()
 def l5_kmeans_by_domain(spark, sf_dir):
     return cl.cluster_by_domain(_document_clusters(spark, sf_dir)[1], dm.domain(docs(spark, sf_dir), DOMAINS, PRIORITY))
+
+
+_BARE = r"""regexp_replace(w, '^[.,;:!?¡¿()\[\]{}"'']+|[.,;:!?¡¿()\[\]{}"'']+$', '', 'g')"""
+
+
+@query(
+    f"WITH RECURSIVE {D_COOCCURRENCES}, {D_SENTENCES}, {D_DOMAIN}, g AS (SELECT content_id, place // 3 AS posicion, string_agg(sentence, ' ' ORDER BY place) AS texto FROM sent GROUP BY ALL), d AS (SELECT *, lower(texto) AS low FROM g WHERE length(texto) >= 30 AND {_NO_CODE} QUALIFY row_number() OVER (PARTITION BY content_id, lower(texto) ORDER BY posicion) = 1), "
+    f"lex(word, pos, neg) AS (SELECT * FROM {values([(w, v[0], v[1]) for w, v in LEXICON.items()])}), ww AS (SELECT content_id, posicion, unnest(list_transform(string_split(trim(regexp_replace(low, '\\s+', ' ', 'g')), ' '), lambda w: {_BARE})) AS word FROM d), pp AS (SELECT content_id, posicion, round(sum(pos - neg)::DOUBLE / count(*), 3) AS pol FROM ww JOIN lex USING (word) GROUP BY ALL), "
+    "kt AS (SELECT content_id, list(term) AS ts FROM keys GROUP BY content_id), kp AS (SELECT content_id, list({'a': t1, 'b': t2}) AS ps FROM pairs GROUP BY content_id), "
+    f"sc AS (SELECT d.content_id, d.posicion, texto, 40 * ({_SHARE.format(xs='ts', hit='contains(low, x)')}) + 25 * ({_SHARE.format(xs='ps', hit='contains(low, x.a) AND contains(low, x.b)')}) + 20 * least(abs(coalesce(pol, 0)), 1) + CASE WHEN d.content_id % 3 = 0 THEN 7.5 WHEN nicho = 'SALUD' THEN 15 ELSE 0 END AS s FROM d LEFT JOIN kt USING (content_id) LEFT JOIN kp USING (content_id) LEFT JOIN pp ON pp.content_id = d.content_id AND pp.posicion = d.posicion JOIN nichos n ON n.content_id = d.content_id) "
+    "SELECT content_id, posicion::BIGINT AS posicion, sha256(texto) AS h, round(s, 2) AS score, row_number() OVER (PARTITION BY content_id ORDER BY round(s, 6) DESC, posicion) AS rank FROM sc QUALIFY rank <= 10"
+)
+def h11_scored_quotes(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    keys = tm.key_terms(d, words_frame(spark, STOPWORDS), 10)
+    lexicon = spark.createDataFrame([(w, *map(float, v)) for w, v in LEXICON.items()], "word string, pos double, neg double, sesgo double")
+    sentiment = sg.lexicon_sentiment(sg.sentence_chunks(d, 3), lexicon, ["chunk_id"], "texto")
+    tiers = dm.domain(d, DOMAINS, PRIORITY).withColumn("tier", F.when(F.col("content_id") % 3 == 0, "desconocido").otherwise("SALUD"))
+    return semantic_quotes(d, keys, sg.cooccurrences(sg.segments(d), keys), sentiment, tiers=tiers).select("content_id", "posicion", F.sha2("texto", 256).alias("h"), "score", "rank")
