@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, edit_counts, html_text, near_dups, ogg, packing, pii, shards, toxicity, vector_dups
+from corpusloom.llm import bpe, edit_counts, filter_audit, html_text, near_dups, ogg, outliers, packing, pii, shards, toxicity, vector_codes, vector_dups
 from corpusloom.llm.common import table
 
 
@@ -58,9 +58,21 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.inspect(ogg.media(table(spark, sf_dir, "documents")))
 
 
+def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_main_text, op3_edit_token_counts, op4_hash_shards, op5_vector_duplicates, op6_bpe_round_trip, op7_length_buckets, op8_pseudonyms, op9_near_duplicates, op10_ogg_media)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_main_text, op3_edit_token_counts, op4_hash_shards, op5_vector_duplicates, op6_bpe_round_trip, op7_length_buckets, op8_pseudonyms, op9_near_duplicates, op10_ogg_media, op11_robust_outliers, op12_vector_codes, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_vector_codes": vector_codes.SQL, "op13_filter_audit": filter_audit.SQL}
