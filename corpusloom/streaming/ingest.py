@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions import text as tx
+from corpusloom.streaming import versions as vs
 
 
 def latest(batch: DataFrame) -> DataFrame:
@@ -22,55 +23,28 @@ def changed(batch: DataFrame, known: DataFrame) -> DataFrame:
     return batch.withColumn("hash", tx.text_hash(F.coalesce("text", F.lit("")))).join(known.select("content_id", "hash"), ["content_id", "hash"], "left_anti")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def consolidate(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, buckets: int = 64, share: float = 0.3, most: int = 32) -> StreamingQuery:
+    """``stream (content_id, text, arrived)`` to a table of versions at ``path`` (read it by ``versions.current``) of what
+    ``analyse`` returns for each content, with ``hash``.
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def consolidate(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """``stream (content_id, text, arrived)`` to a Parquet table at ``path`` of what ``analyse`` returns for each content, with ``hash``.
-
-    The table is partitioned by a hash of the id; a batch reads and rewrites only the partitions that its contents are in.
-    ``<path>.hashes`` has a row for each content seen, those for which ``analyse`` returns nothing too. What a batch is to
-    write is first put whole into ``<path>.staged``, and only then are partitions overwritten from there: executors that are
-    lost read it again, and a batch that comes again after a failure writes what it had staged.
+    A batch reads the ids and hashes of the slots its contents are in, and writes a version that holds its changed contents alone;
+    then those of its slots are compacted that have more than ``share`` superseded rows or more than ``most`` versions. A
+    batch that failed is done again, one that was committed is not.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
-    root = path.rstrip("/")
-    tables = {"rows": root, "hashes": f"{root}.hashes"}
-
-    def stage(batch: DataFrame, at: str) -> None:
-        spark = batch.sparkSession
-        rows = latest(batch).withColumn("slot", slot(F.col("content_id")))
-        touched = [r.slot for r in rows.select("slot").distinct().collect()]  # at most ``buckets`` numbers
-        old = {k: spark.read.parquet(p).where(F.col("slot").isin(touched)) if _exists(spark, p) else None for k, p in tables.items()}
-        if old["hashes"] is not None:
-            rows = changed(rows, old["hashes"])
-        else:
-            rows = rows.withColumn("hash", tx.text_hash(F.coalesce("text", F.lit(""))))
-        hashes = rows.select("content_id", "hash", "slot")
-        new = {"rows": analyse(rows.select("content_id", "text")).join(hashes, "content_id"), "hashes": hashes}
-        for k, df in new.items():
-            if old[k] is not None:
-                df = df.unionByName(old[k].join(hashes.select("content_id"), "content_id", "left_anti").select(df.columns))
-            df.write.mode("overwrite").parquet(f"{at}/{k}")
+    root, name = path.rstrip("/"), checkpoint.rstrip("/")
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        at = f"{root}.staged/{number}"
-        if not _exists(spark, f"{at}/hashes/_SUCCESS"):  # the last that is written
-            stage(batch, at)
-        slots = {k: {r.slot for r in spark.read.parquet(f"{at}/{k}").select("slot").distinct().collect()} for k in tables}  # at most ``buckets`` numbers
-        for k, p in tables.items():
-            rows = spark.read.parquet(f"{at}/{k}")
-            for empty in slots["hashes"] - slots[k]:
-                _delete(spark, f"{p}/slot={empty}")
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(p)
-        _delete(spark, f"{root}.staged/{number - 1}")
+        query = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or name}"
+        if vs.state(spark, root)["streams"].get(query, -1) < number:
+            rows = latest(batch).withColumn("slot", vs.slot_of(F.col("content_id"), buckets))
+            touched = [r.slot for r in rows.select("slot").distinct().collect()]  # at most ``buckets`` numbers
+            seen = vs.known(spark, root, touched)
+            rows = changed(rows, seen) if seen is not None else rows.withColumn("hash", tx.text_hash(F.coalesce("text", F.lit(""))))
+            contents = rows.select("content_id", "hash", "slot")
+            vs.append(spark, root, analyse(rows.select("content_id", "text")).join(contents, "content_id"), contents, touched, query, number)
+        else:
+            touched = None
+        vs.compact(spark, root, share, most, touched)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,4 +1,5 @@
 import json
+import random
 import time
 
 import pytest
@@ -9,7 +10,7 @@ from corpusloom.operators import search as se
 from corpusloom.operators import tables as tb
 from corpusloom.operators import terms as tm
 from corpusloom.sources import readers as rd
-from corpusloom.streaming import ingest
+from corpusloom.streaming import ingest, versions
 
 VTT = "WEBVTT\n\n00:00:00.000 --> 00:00:05.000\nHello <b>there</b>\n\n00:00:05.000 --> 00:00:12.000\nsecond\nline\n\n00:00:12.000 --> 00:00:20.000\n\n"
 SRT = "1\n0:00:01,500 --> 0:00:02,000\nuno\n\n2\n00:03,000 --> 00:04,000\ndos"
@@ -62,7 +63,7 @@ def test_incremental(spark, tmp_path):
         spark.createDataFrame([(i, t, a) for i, t, a in rows], "content_id long, text string, a string").select("content_id", "text", F.col("a").cast("timestamp").alias("arrived")).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         ingest.consolidate(stream, tm.term_counts, out, str(tmp_path / "ck"), 4).awaitTermination()
-        return {(r.content_id, r.term, r.frequency) for r in spark.read.parquet(out).collect()}
+        return {(r.content_id, r.term, r.frequency) for r in versions.current(spark, out).collect()}
 
     assert put([(1, "uno dos", "2026-01-01"), (2, "tres", "2026-01-01"), (1, "viejo", "2025-01-01")]) == {(1, "uno", 1), (1, "dos", 1), (2, "tres", 1)}
     time.sleep(1.1)
@@ -82,7 +83,7 @@ def test_incremental_failures(spark, tmp_path, monkeypatch):
             spark.createDataFrame(rows, "content_id long, text string, a string").select("content_id", "text", F.col("a").cast("timestamp").alias("arrived")).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema("content_id long, text string, arrived timestamp").parquet(src)
         ingest.consolidate(stream, how, out, str(tmp_path / "ck"), 2).awaitTermination()
-        return {(r.content_id, r.term, r.frequency) for r in spark.read.parquet(out).collect()}
+        return {(r.content_id, r.term, r.frequency) for r in versions.current(spark, out).collect()}
 
     assert put([(1, "uno", "2026-01-01"), (2, "", "2026-01-01"), (3, "tres", "2026-01-01")]) == {(1, "uno", 1), (3, "tres", 1)}
     time.sleep(1.1)
@@ -92,14 +93,21 @@ def test_incremental_failures(spark, tmp_path, monkeypatch):
 
     with pytest.raises(StreamingQueryException):
         put([(1, "dos", "2026-01-02"), (2, "", "2026-01-02"), (3, "", "2026-01-02")], broken)
-    with monkeypatch.context() as m:  # stops after it has overwritten the table
-        m.setattr(ingest, "_delete", lambda spark, p: (_ for _ in ()).throw(RuntimeError("lost")) if "staged" in p else None)
+    with monkeypatch.context() as m:  # stops when all is written but nothing is there yet
+        m.setattr(versions, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(StreamingQueryException):
             put([])
+    assert {(r.content_id, r.term, r.frequency) for r in versions.current(spark, out).collect()} == {(1, "uno", 1), (3, "tres", 1)}
+    assert put([]) == {(1, "dos", 1)}
+    with monkeypatch.context() as m:  # stops after the batch is there: it isn't done again
+        m.setattr(versions, "compact", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        time.sleep(1.1)
+        with pytest.raises(StreamingQueryException):
+            put([(4, "mas", "2026-01-02")])
     asked.clear()
-    assert put([]) == {(1, "dos", 1)} and asked == []  # staged before, so nothing is analysed anew
+    assert put([]) == {(1, "dos", 1), (4, "mas", 1)} and asked == []
     time.sleep(1.1)
-    assert put([(2, "", "2026-01-03"), (3, "", "2026-01-03")]) == {(1, "dos", 1)} and asked == []  # contents without rows are known too
+    assert put([(2, "", "2026-01-03"), (3, "", "2026-01-03")]) == {(1, "dos", 1), (4, "mas", 1)} and asked == []  # contents without rows are known too
 
 
 def test_tables(spark):
@@ -114,3 +122,32 @@ def test_alignment(spark):
     cues = spark.createDataFrame([("v", 0.0, "uno dos tres"), ("v", 5.0, "cuatro cinco seis siete"), ("v", 9.0, "ocho nueve diez once doce"), ("v", 12.0, "trece")], "video_id string, inicio double, texto string")
     got = {r.chunk_id: (r.t_inicio, r.t_fin) for r in se.align(chunks, cues).collect()}
     assert got == {"c0": (0.0, 5.0), "c1": (9.0, 12.0), "c2": (None, None), "c3": (None, None)}
+
+
+def test_alignment_in_runs(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4)]
+    cues, chunks, want = [], [], {}
+    for v in range(6):
+        said = [[rng.choice(words) for _ in range(rng.randrange(1, 9))] for _ in range(60)]
+        cues += [(f"v{v}", 3.0 * k, " ".join(ws)) for k, ws in enumerate(said)]
+        stream = [(w, 3.0 * k) for k, ws in enumerate(said) for w in ws]
+        at = 1
+        for c in range(40):
+            k = rng.randrange(len(stream)) if c % 5 == 0 else min(len(stream) - 1, 6 * c)
+            text = [w for w, _ in stream[k : k + rng.choice([3, 6, 6, 9])]]
+            chunks.append((f"v{v}", c, f"v{v}-{c}", " ".join(text)))
+            hit = next((i for i in range(at, len(stream) - 4) if len(text) >= 6 and [w for w, _ in stream[i - 1 : i + 5]] == text[:6]), None)
+            want[f"v{v}-{c}"] = (None, None) if hit is None else (stream[hit - 1][1], stream[hit + 4][1])
+            at = hit or at
+    a = spark.createDataFrame(chunks, "video_id string, posicion int, chunk_id string, texto string")
+    b = spark.createDataFrame(cues, "video_id string, inicio double, texto string")
+    for run in (50_000, 7):
+        assert {r.chunk_id: (r.t_inicio, r.t_fin) for r in se.align(a, b, run=run).collect()} == want
+    assert {(r.t_inicio, r.t_fin) for r in se.align(a, b.limit(0)).collect()} == {(None, None)}
+    aligned = spark.createDataFrame([("a", 14.0), ("b", None)], "chunk_id string, t_inicio double")
+    own = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, video_id string")
+    times = spark.createDataFrame([(v, 10.0 * k, 10.0 * k + 10) for v in ("x", "y") for k in range(10)], "video_id string, inicio double, fin double")
+    points = se.track_offsets(own, aligned, times)
+    assert {r.inicio: (r.offset_seconds, r.validado) for r in points.where("video_id = 'x'").collect()} == {0.0: (14.0, True), 20.0: (-6.0, True), 50.0: (None, False), 70.0: (None, False), 90.0: (None, False)}
+    assert {r.video_id: r.status for r in se.sync_status(points).collect()} == {"x": "not_for_navigation", "y": "failed"}
