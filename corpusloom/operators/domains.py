@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.store import stash
+from corpusloom.operators import fuzzy
 from corpusloom.operators.terms import ranked
 
 
@@ -140,27 +140,14 @@ def grams(docs: DataFrame) -> DataFrame:
 def fuzzy_votes(docs: DataFrame, dictionary: DataFrame, least: float = 0.6) -> DataFrame:
     """``content_id, nicho, votos`` of ``content_id, text`` and ``term, nicho, place``: each word and pair votes for its most similar term (Ratcliff-Obershelp ratio of ``least`` or more), the domain with most votes wins, GENERAL without any.
 
-    Ties go to the first term and to the domain that was voted for first. Only terms whose length can reach the ratio are
-    compared; distinct words and pairs meet the dictionary once.
+    Ties go to the first term and to the domain that was voted for first. Distinct words and pairs that are short enough meet
+    the dictionary once, by bounds first (``fuzzy``). The dictionary is written by hand and goes to every task.
     """
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[str, difflib.SequenceMatcher] = {}  # a matcher prepares its second text once
-        out = []
-        for x, y in zip(a, b, strict=True):
-            m = known.get(y)
-            if m is None:
-                m = known[y] = difflib.SequenceMatcher(None, "", y)
-            m.set_seq1(x)
-            out.append(m.ratio())
-        return pd.Series(out, dtype=float)
-
-    g = grams(docs)
-    terms = F.broadcast(dictionary.select(F.lower("term").alias("term"), "nicho", F.col("place").alias("at")))  # a dictionary written by hand
-    reach = 2.0 * F.least(F.length("word"), F.length("term")) >= least * (F.length("word") + F.length("term")) - 1e-9
-    near = g.select("word").distinct().join(terms, reach)
-    best = near.withColumn("ratio", ratio("word", "term")).where(F.col("ratio") >= least).groupBy("word").agg(F.max_by("nicho", F.struct("ratio", -F.col("at"))).alias("nicho"))
+    known = sorted({(r["at"], r["term"], r["nicho"]) for r in dictionary.select(F.lower("term").alias("term"), "nicho", F.col("place").alias("at")).collect()})
+    terms = [t for _, t, _ in known]
+    g = stash(grams(docs).where(F.length("word") <= fuzzy.longest(terms, least)))
+    found = fuzzy.most_similar(g.select("word").distinct(), terms, least)
+    best = found.join(F.broadcast(docs.sparkSession.createDataFrame([(k, d) for k, (_, _, d) in enumerate(known)], "term_no int, nicho string")), "term_no").select("word", "nicho")
     votes = g.join(best, "word").groupBy("content_id", "nicho").agg(F.sum(F.col("weight") * F.col("n")).alias("votos"), F.min("place").alias("place"))
     won = votes.groupBy("content_id").agg(F.max(F.struct("votos", -F.col("place"), "nicho")).alias("w")).select("content_id", "w.nicho", "w.votos")
     return docs.select("content_id").join(won, "content_id", "left").select("content_id", F.coalesce("nicho", F.lit("GENERAL")).alias("nicho"), F.coalesce("votos", F.lit(0)).cast("long").alias("votos"))

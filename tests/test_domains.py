@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 from corpusloom.operators import domains as dm
+from corpusloom.operators.fuzzy import Dictionary
 
 TERMS = [("mercado", "FINANZAS"), ("machine learning", "TECNOLOGIA"), ("salud", "SALUD"), ("derecho penal", "LEGAL")]
 
@@ -31,6 +32,21 @@ def test_fuzzy_votes(spark):
     assert got[80][0] == "TECNOLOGIA"
 
 
+def test_bounds_lose_nothing_and_save_ratios():
+    rng = random.Random(6)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    terms = [make("abcde ", rng.randrange(1, 12)) for _ in range(25)] + ["x" * 70, "ab" * 40, "\U0001f600é", "abc", "abc"]
+    words = list({make("abcdefgh ", rng.randrange(14)) for _ in range(1500)} | {"x" * 60, "ab" * 37, "é", "axbyc", "", "q\0"} | {t[:-1] for t in terms})
+    for least in (0.6, 0.75, 0.9):
+        got, calls = Dictionary(terms, least).best(words)
+        for w, t in zip(words, got):
+            rs = [SequenceMatcher(None, w, x).ratio() for x in terms]
+            top = max(rs)
+            assert t == (rs.index(top) if top >= least else -1), (w, t, least)
+        assert calls < len(words) * len(terms) / 10
+    assert Dictionary([], 0.6).best(["a"]) == ([-1], 0) and Dictionary(["a"], 0.6).best([]) == ([], 0)
+
+
 def test_speakers_by_profession_and_anonymous(spark):
     rows = [
         (1, "legal", "Ana: hola\nhabla el Dr. Juan Pérez, y\nla jueza María López. El Testigo calla\nun testigo"),
