@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.store import discard, stash
 from corpusloom.operators.terms import ranked
 
 
@@ -40,39 +41,123 @@ def kmeans(vectors: DataFrame, k: int = 8, seed: int = 42, rounds: int = 100) ->
     return model.transform(vectors), model.summary.trainingCost
 
 
+def normed(docs: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``content_id, norm`` (squared length, 0 without terms) of every row of ``docs (content_id)``, and the weights that aren't 0."""
+    weights = weights.where("weight <> 0")
+    lengths = weights.groupBy("content_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm"))
+    return stash(docs.select("content_id").join(lengths, "content_id", "left").select("content_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))), weights
+
+
+def _nearest(vectors: DataFrame, weights: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
+    """``content_id, cluster, distance`` (squared) to the nearest of the centroids ``cluster, term, c``; equal distances, to nine decimals, go to the lower number.
+
+    A term's ``k`` coordinates are one row, so a posting meets one row; documents are then summed by id, map-side first.
+    """
+    each = [F.sum(F.when(F.col("cluster") == i, F.col("c")).otherwise(0.0)).alias(f"c{i}") for i in range(k)]
+    by_term = centroids.groupBy("term").agg(*each)
+    norms = F.broadcast(centroids.agg(*(F.coalesce(F.sum(F.when(F.col("cluster") == i, F.col("c") * F.col("c"))), F.lit(0.0)).alias(f"q{i}") for i in range(k))))  # one row
+    dots = weights.join(by_term, "term").groupBy("content_id").agg(*(F.sum(F.col("weight") * F.col(f"c{i}")).alias(f"d{i}") for i in range(k)))
+    far = F.array(*(F.round(F.col("norm") + F.col(f"q{i}") - 2 * F.coalesce(f"d{i}", F.lit(0.0)), 9) for i in range(k)))
+    met = vectors.join(dots, "content_id", "left").crossJoin(norms).select("content_id", far.alias("far"))
+    return met.select("content_id", (F.array_position("far", F.array_min("far")) - 1).alias("cluster"), F.array_min("far").alias("distance"))
+
+
+def term_kmeans(vectors: DataFrame, weights: DataFrame, k: int = 8, seed: int = 42, rounds: int = 100) -> DataFrame:
+    """``content_id, cluster, distance`` (squared) of every row of ``vectors (content_id, norm)`` whose coordinates are ``weights (content_id, term, weight)``.
+
+    k-means over the whole vocabulary: the centroids are a table ``cluster, term, c``, and documents meet it on their
+    terms. The start are ``k`` documents that have terms, in the order of a hash of seed and id; fewer make fewer
+    clusters. A cluster that loses its documents keeps its centroid. It ends when no document changes its cluster, after
+    ``rounds`` means at most; distances are those to the last means. A document without terms belongs to the shortest centroid.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("content_id").cast("string")))
+    start = vectors.where("norm > 0").orderBy(order, "content_id").limit(k).collect()  # k rows
+    spark, kind = vectors.sparkSession, vectors.schema["content_id"].dataType.simpleString()
+    if not start:
+        return vectors.select("content_id", F.lit(0).cast("long").alias("cluster"), F.lit(0.0).alias("distance"))
+    k = len(start)
+    chosen = spark.createDataFrame([(r["content_id"], i) for i, r in enumerate(start)], f"content_id {kind}, cluster long")
+    centroids = stash(weights.join(F.broadcast(chosen), "content_id").select("cluster", "term", F.col("weight").alias("c")))  # k rows
+    found = stash(_nearest(vectors, weights, centroids, k))
+    for _ in range(rounds):
+        size = found.groupBy("cluster").agg(F.count("*").alias("size"))
+        means = weights.join(found.select("content_id", "cluster"), "content_id").groupBy("cluster", "term").agg(F.sum("weight").alias("w"))
+        left = centroids.join(size, "cluster", "left_anti")
+        moved = stash(means.join(F.broadcast(size), "cluster").select("cluster", "term", (F.col("w") / F.col("size")).alias("c")).unionByName(left))  # k sizes
+        discard(centroids)
+        new = stash(_nearest(vectors, weights, moved, k))
+        still = new.join(found.select("content_id", F.col("cluster").alias("_old")), "content_id").where("cluster <> _old").isEmpty()
+        discard(found)
+        centroids, found = moved, new
+        if still:
+            break
+    return found
+
+
 def dense(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column).cast(T.ArrayType(T.DoubleType()))))
 
 
-def silhouette(df: DataFrame, single: float = 0.0, block: int = 1000) -> DataFrame:
-    """Mean silhouette (Euclidean) of ``id, label, v array<double>``, exact over all pairs; a cluster of one scores ``single``.
+def _mean_distances(asked: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """``id, label, label2, d``: the mean distance of each asked ``(id, label, v, label2)`` to the members ``(id, label, v)`` of ``label2`` but itself.
 
-    Vectors are dealt into blocks, and each pair of blocks is a task that returns sums of distances for each vector and
-    label. The work is quadratic; ``pyspark.ml.evaluation.ClusteringEvaluator`` (squared distances) is linear.
-    """
-    blocks = max(1, -(-df.count() // block))
-    dealt = df.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sides = dealt.select("own", each.alias("other"), F.lit(True).alias("mine"), "id", "label", "v").unionByName(dealt.select(F.col("own").alias("other"), each.alias("own"), F.lit(False).alias("mine"), "id", "label", "v"))
+    Of each label the asking vectors and the members are dealt into blocks, and a pair of blocks is a task that returns sums."""
+    dealt = lambda df, key: df.groupBy(F.col(key).alias("_l")).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    n = dealt(asked, "label2").withColumnRenamed("_n", "_a").join(dealt(members, "label").withColumnRenamed("_n", "_b"), "_l")
+    slot = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    x = asked.withColumn("_l", F.col("label2")).join(n, "_l").select("_l", slot("id", "_a").alias("_i"), each("_b").alias("_j"), F.lit(True).alias("mine"), "id", "label", "v")
+    y = members.withColumn("_l", F.col("label")).join(n, "_l").select("_l", each("_a").alias("_i"), slot("id", "_b").alias("_j"), F.lit(False).alias("mine"), "id", "label", "v")
+    kind = {c: members.schema[c].dataType.simpleString() for c in ("id", "label")}
 
     def sums(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["mine"]], g[~g["mine"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"id": a["id"][:0], "label": a["label"][:0], "label2": b["label"][:0], "total": [], "n": []})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        d = np.stack([np.sqrt(((y - v) ** 2).sum(axis=1)) for v in x])
-        out = []
-        for label in b["label"].unique():
-            there = (b["label"] == label).to_numpy()
-            itself = (a["id"].to_numpy()[:, None] == b["id"].to_numpy()[there]).sum(axis=1)
-            out.append(pd.DataFrame({"id": a["id"], "label": a["label"], "label2": label, "total": d[:, there].sum(axis=1), "n": there.sum() - itself}))
-        return pd.concat(out)
-
-    kind = {c: df.schema[c].dataType.simpleString() for c in ("id", "label")}
-    met = sides.groupBy("own", "other").applyInPandas(sums, f"id {kind['id']}, label {kind['label']}, label2 {kind['label']}, total double, n long")
-    means = met.groupBy("id", "label", "label2").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").withColumn("d", F.col("total") / F.col("n"))
-    per = means.groupBy("id").agg(F.max(F.when(F.col("label") == F.col("label2"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), single).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+        y = np.stack(b["v"].to_numpy())
+        total = [np.sqrt(((y - v) ** 2).sum(axis=1)).sum() for v in a["v"]]
+        itself = a["id"].map(b["id"].value_counts()).fillna(0).astype(int)
+        return pd.DataFrame({"id": a["id"], "label": a["label"], "label2": g["_l"].iloc[0], "total": total, "n": len(b) - itself})
+
+    met = x.unionByName(y).groupBy("_l", "_i", "_j").applyInPandas(sums, f"id {kind['id']}, label {kind['label']}, label2 {kind['label']}, total double, n long")
+    return met.groupBy("id", "label", "label2").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").select("id", "label", "label2", (F.col("total") / F.col("n")).alias("d"))
+
+
+def silhouette(df: DataFrame, single: float = 0.0, block: int = 1000, counted: dict | None = None) -> DataFrame:
+    """Mean silhouette (Euclidean) of ``id, label, v array<double>``, exact; a cluster of one scores ``single``.
+
+    The mean distance of a vector to a cluster is at least its distance to the cluster's centre. So each vector is first compared with
+    its own cluster and with the one of the nearest centre, and then only with those whose centre is nearer than that
+    mean. The centres, as many as a clustering has labels, go to every task. ``counted`` is told the pairs that were computed (``pairs``) and
+    all there are. ``pyspark.ml.evaluation.ClusteringEvaluator`` (squared distances) is linear.
+    """
+    rows = stash(df.select("id", "label", "v"))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("size"))
+    means = rows.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("c"))
+    centres = means.orderBy("label").collect()
+    labels, points = [r["label"] for r in centres], np.array([r["c"] for r in centres])
+
+    @F.pandas_udf("array<double>")
+    def bounds(label: pd.Series, v: pd.Series) -> pd.Series:
+        """Least mean distances to each label, infinite to the own; a little less, so that rounding loses nothing."""
+        return pd.Series([np.where([x != own for x in labels], np.sqrt(((points - u) ** 2).sum(axis=1)) * (1 - 1e-12), np.inf).tolist() for own, u in zip(label, v)])
+
+    names = F.array(*map(F.lit, labels)) if labels else F.array().cast(T.ArrayType(rows.schema["label"].dataType))
+    kept = ["id", "label", "v"]
+    near = stash(rows.withColumn("least", bounds("label", "v")).withColumn("at", F.array_position("least", F.array_min("least")).cast("int")))
+    own = rows.withColumn("label2", F.col("label"))
+    first = near.where(F.array_min("least") < float("inf")).select(*kept, F.get(names, F.col("at") - 1).alias("label2"))
+    begun = stash(_mean_distances(own.unionByName(first), rows, block))
+    reach = begun.where("label <> label2").select("id", F.col("d").alias("_d"))
+    others = F.filter(F.transform("least", lambda x, k: F.struct(k.alias("k"), x.alias("x"))), lambda s: (s["x"] < F.col("_d")) & (s["k"] != F.col("at") - 1))
+    more = near.join(reach, "id").select(*kept, F.explode(others).alias("_s")).select(*kept, F.get(names, F.col("_s.k")).alias("label2"))
+    met = begun.unionByName(_mean_distances(more, rows, block))
+    if counted is not None:
+        asked = own.select("label2").unionByName(first.select("label2")).unionByName(more.select("label2"))
+        total = rows.count()
+        counted.update(pairs=asked.join(sizes.withColumnRenamed("label", "label2"), "label2").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], all=total * total)
+    per = rows.select("id").join(met.groupBy("id").agg(F.max(F.when(F.col("label") == F.col("label2"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("d"))).alias("b")), "id", "left")
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), single).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return per.agg(F.round(F.avg(s), 6).alias("silhouette"))
 
 

@@ -89,7 +89,10 @@ def coverage(counts: DataFrame, technical: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.round(100.0 * F.col("technical") / F.col("total"), 1))
 
 
-def validated_counts(counts: DataFrame, generic: DataFrame, technical: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """``content_id, term, frequency`` of technical terms that aren't generic (``(term)`` each, or shorter than three), summed by lemma ``(term, lemma)``; contents without any are gone."""
-    kept = without(counts.where(F.length("term") >= 3), generic).join(technical.select("term").distinct(), "term", "left_semi")
-    return kept.join(lemmas, "term", "left").groupBy("content_id", F.coalesce("lemma", "term").alias("term")).agg(F.sum("frequency").alias("frequency"))
+def validated_counts(counts: DataFrame, generic: DataFrame, technical: DataFrame | None, lemmas: DataFrame, least: int = 1) -> DataFrame:
+    """``content_id, term, frequency`` of technical terms (all, if no table is given) that aren't generic (``(term)`` each, or shorter than three), summed by lemma ``(term, lemma)`` and used by ``least`` documents; contents without any are gone."""
+    kept = without(counts.where(F.length("term") >= 3), generic)
+    if technical is not None:
+        kept = kept.join(technical.select("term").distinct(), "term", "left_semi")
+    summed = kept.join(lemmas, "term", "left").groupBy("content_id", F.coalesce("lemma", "term").alias("term")).agg(F.sum("frequency").alias("frequency"))
+    return summed if least < 2 else summed.join(summed.groupBy("term").agg(F.count("*").alias("_df")).where(F.col("_df") >= least).select("term"), "term", "left_semi")

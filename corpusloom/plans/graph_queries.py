@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.store import stash
 from corpusloom.operators import cluster as cl
 from corpusloom.operators import domains as dm
 from corpusloom.operators import graph as gr
@@ -15,6 +16,7 @@ from corpusloom.operators.quotes import CODE, semantic_quotes
 from corpusloom.plans.base import D_COUNTS, D_SENTENCES, D_STOP, D_TIMED, DOMAINS, LEXICON, PRIORITY, STOPWORDS, counts, d_terms, docs, table, timed, values, words_frame
 from corpusloom.plans.domain_queries import D_DOMAIN
 from corpusloom.plans.registry import query
+from corpusloom.plans.term_queries import VALID_LEMMAS
 from corpusloom.plans.text_queries import D_COOCCURRENCES
 
 D_PAIRS = (
@@ -260,7 +262,7 @@ _SHARE = "CASE WHEN len({xs}) > 0 THEN len(list_filter({xs}, lambda x: {hit})) /
 )
 def h11_semantic_quotes(spark, sf_dir):
     d = docs(spark, sf_dir)
-    keys = tm.key_terms(d, words_frame(spark, STOPWORDS), 10)
+    keys = stash(tm.key_terms(d, words_frame(spark, STOPWORDS), 10))
     return semantic_quotes(d, keys, sg.cooccurrences(sg.segments(d), keys)).select("content_id", "posicion", F.sha2("texto", 256).alias("h"), "score", "rank")
 
 
@@ -314,22 +316,58 @@ def l4_cluster_summary(spark, sf_dir):
     return cl.cluster_summary(docs(spark, sf_dir).select("content_id", F.col("source").alias("cluster"))).withColumn("ejemplos", F.array_join("ejemplos", ","))
 
 
-def _document_clusters(spark, sf_dir, k: int = 8):
-    """k-means clusters of the documents' TF-IDF vectors of technical terms."""
-    weights = tm.tf_idf(counts(spark, sf_dir).join(words_frame(spark, [t for ts in DOMAINS.values() for t in ts]), "term", "left_semi"))
-    out, _ = cl.kmeans(cl.sparse_vectors(weights, 1 << 12), k)
-    return weights, out.select("content_id", F.col("cluster").cast("long").alias("cluster"))
+def _term_weights(spark, sf_dir):
+    """``content_id, norm`` of all documents, and TF-IDF weights of every term that is no stop word and that two documents have."""
+    kept = tm.validated_counts(counts(spark, sf_dir), words_frame(spark, STOPWORDS), None, spark.createDataFrame(VALID_LEMMAS, "term string, lemma string"), 2)
+    return cl.normed(docs(spark, sf_dir).select("content_id"), stash(tm.tf_idf(kept)))
+
+
+D_WEIGHTS = (
+    f"{D_COUNTS}, {D_STOP}, lm(term, lemma) AS (SELECT * FROM {values(VALID_LEMMAS)}), k0 AS MATERIALIZED (SELECT content_id, coalesce(lemma, term) AS term, sum(frequency) AS frequency FROM counts LEFT JOIN lm USING (term) WHERE length(term) >= 3 AND term NOT IN (SELECT term FROM stop) GROUP BY ALL), k AS (SELECT * FROM k0 QUALIFY count(*) OVER (PARTITION BY term) >= 2), "
+    "df AS (SELECT term, count(DISTINCT content_id) AS df FROM k GROUP BY term), n AS (SELECT count(DISTINCT content_id) AS n FROM k), u AS (SELECT content_id, term, (1 + ln(frequency)) * ln(n / (1 + df)) AS w FROM k JOIN df USING (term), n), nr AS (SELECT content_id, sqrt(sum(w * w)) AS r FROM u GROUP BY content_id), "
+    "wt AS MATERIALIZED (SELECT content_id, term, w / CASE WHEN r = 0 THEN 1 ELSE r END AS weight FROM u JOIN nr USING (content_id) WHERE w <> 0), al AS MATERIALIZED (SELECT doc_id AS content_id, coalesce(norm, 0) AS norm FROM documents LEFT JOIN (SELECT content_id, sum(weight * weight) AS norm FROM wt GROUP BY content_id) q ON q.content_id = doc_id), "
+    "st AS MATERIALIZED (SELECT content_id, row_number() OVER (ORDER BY md5('42:' || content_id), content_id) - 1 AS cluster FROM al WHERE norm > 0 QUALIFY cluster < 8), c0 AS MATERIALIZED (SELECT cluster, term, weight AS c FROM st JOIN wt USING (content_id)), "
+    + ", ".join(
+        f"n{i} AS (SELECT cluster, coalesce(q, 0) AS q FROM st LEFT JOIN (SELECT cluster, sum(c * c) AS q FROM c{i} GROUP BY cluster) USING (cluster)), t{i} AS (SELECT content_id, cluster, sum(weight * c) AS d FROM wt JOIN c{i} USING (term) GROUP BY ALL), "
+        f"a{i} AS MATERIALIZED (SELECT al.content_id, norm, n{i}.cluster, round(norm + q - 2 * coalesce(d, 0), 9) AS dist FROM al CROSS JOIN n{i} LEFT JOIN t{i} ON t{i}.content_id = al.content_id AND t{i}.cluster = n{i}.cluster QUALIFY row_number() OVER (PARTITION BY al.content_id ORDER BY round(norm + q - 2 * coalesce(d, 0), 9), n{i}.cluster) = 1)"
+        + (f", z{i} AS (SELECT cluster, count(*) AS size FROM a{i} GROUP BY cluster), c{i + 1} AS MATERIALIZED (SELECT cluster, term, sum(weight) / any_value(size) AS c FROM a{i} JOIN wt USING (content_id) JOIN z{i} USING (cluster) GROUP BY ALL UNION ALL SELECT cluster, term, c FROM c{i} WHERE cluster NOT IN (SELECT cluster FROM z{i}))" if i == 0 else "")
+        for i in (0, 1)
+    )
+)
+
+
+@query(f"WITH {D_WEIGHTS} SELECT content_id, cluster, round(dist, 6) AS distance, round(sum(dist) OVER (), 4) AS inertia FROM a1")
+def l2_kmeans_step(spark, sf_dir):
+    """Each document's cluster after one full step from the seeded start, with its squared distance and the inertia."""
+    vectors, weights = _term_weights(spark, sf_dir)
+    found = cl.term_kmeans(vectors, weights, 8, 42, 1)
+    total = F.broadcast(found.agg(F.round(F.sum("distance"), 4).alias("inertia")))  # one row
+    return found.crossJoin(total).select("content_id", "cluster", F.round("distance", 6).alias("distance"), "inertia")
+
+
+@query(f"WITH {D_WEIGHTS}, r AS (SELECT cluster, content_id, row_number() OVER (PARTITION BY cluster ORDER BY content_id) AS k, count(*) OVER (PARTITION BY cluster) AS size FROM a1) SELECT cluster, any_value(size) AS size, string_agg(content_id, ',' ORDER BY k) AS ejemplos FROM r WHERE k <= 3 GROUP BY cluster")
+def l4_kmeans_summary(spark, sf_dir):
+    """Sizes and three examples of the clusters after one step."""
+    vectors, weights = _term_weights(spark, sf_dir)
+    return cl.cluster_summary(cl.term_kmeans(vectors, weights, 8, 42, 1)).withColumn("ejemplos", F.array_join("ejemplos", ","))
+
+
+@query(f"WITH {D_WEIGHTS}, z AS (SELECT cluster, count(*) AS size FROM a1 GROUP BY cluster) SELECT cluster, term, round(sum(weight) / any_value(size), 6) AS weight, row_number() OVER (PARTITION BY cluster ORDER BY round(sum(weight) / any_value(size), 6) DESC, term) AS rank FROM a1 JOIN wt USING (content_id) JOIN z USING (cluster) GROUP BY cluster, term QUALIFY rank <= 10")
+def l4_kmeans_step_terms(spark, sf_dir):
+    """Top terms of the clusters after one step."""
+    vectors, weights = _term_weights(spark, sf_dir)
+    return cl.cluster_terms(weights, cl.term_kmeans(vectors, weights, 8, 42, 1))
 
 
 @query()
 def l4_kmeans_terms(spark, sf_dir):
-    weights, clusters = _document_clusters(spark, sf_dir)
-    return cl.cluster_terms(weights, clusters)
+    vectors, weights = _term_weights(spark, sf_dir)
+    return cl.cluster_terms(weights, cl.term_kmeans(vectors, weights, 8))
 
 
 @query()
 def l5_kmeans_by_domain(spark, sf_dir):
-    return cl.cluster_by_domain(_document_clusters(spark, sf_dir)[1], dm.domain(docs(spark, sf_dir), DOMAINS, PRIORITY))
+    return cl.cluster_by_domain(cl.term_kmeans(*_term_weights(spark, sf_dir), 8), dm.domain(docs(spark, sf_dir), DOMAINS, PRIORITY))
 
 
 _BARE = r"""regexp_replace(w, '^[.,;:!?¡¿()\[\]{}"'']+|[.,;:!?¡¿()\[\]{}"'']+$', '', 'g')"""
@@ -344,7 +382,7 @@ _BARE = r"""regexp_replace(w, '^[.,;:!?¡¿()\[\]{}"'']+|[.,;:!?¡¿()\[\]{}"'']
 )
 def h11_scored_quotes(spark, sf_dir):
     d = docs(spark, sf_dir)
-    keys = tm.key_terms(d, words_frame(spark, STOPWORDS), 10)
+    keys = stash(tm.key_terms(d, words_frame(spark, STOPWORDS), 10))
     lexicon = spark.createDataFrame([(w, *map(float, v)) for w, v in LEXICON.items()], "word string, pos double, neg double, sesgo double")
     sentiment = sg.lexicon_sentiment(sg.sentence_chunks(d, 3), lexicon, ["chunk_id"], "texto")
     tiers = dm.domain(d, DOMAINS, PRIORITY).withColumn("tier", F.when(F.col("content_id") % 3 == 0, "desconocido").otherwise("SALUD"))

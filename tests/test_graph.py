@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import itertools
@@ -64,3 +65,95 @@ def test_all_pairs_of_large_contents(spark):
     names = spark.range(30).selectExpr("1L as content_id", "concat('n', id) as name").unionByName(spark.createDataFrame([(2, "a"), (2, "b"), (2, "a"), (3, "x"), (3, None)], "content_id long, name string"))
     got = [tuple(r) for r in gr.entity_pairs(names, block=4).collect()]
     assert len(got) == len(set(got)) == 30 * 29 // 2 + 1 and all(a < b for _, a, b in got)
+
+
+def test_term_kmeans(spark):
+    rng = random.Random(9)
+    topics = [[f"t{k}{i}" for i in range(12)] for k in range(4)]
+    rows = [(d, t, round(rng.uniform(0.2, 1), 3)) for d in range(120) for t in rng.sample(topics[d % 4], 5)] + [(7, "zero", 0.0)]
+    ids = list(range(123))  # three without terms
+    df = spark.createDataFrame(rows, "content_id long, term string, weight double").repartition(4)
+    vectors, weights = cl.normed(spark.createDataFrame([(i,) for i in ids], "content_id long"), df)
+    x = {i: {t: w for d, t, w in rows if d == i and w} for i in ids}
+
+    def brute(k, rounds):
+        with_terms = sorted((i for i in ids if x[i]), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))[:k]
+        c = [dict(x[i]) for i in with_terms]
+        dist = lambda a, b: round(sum((a.get(t, 0) - b.get(t, 0)) ** 2 for t in {*a, *b}), 9)
+        near = lambda: {i: min((dist(x[i], m), j) for j, m in enumerate(c)) for i in ids}
+        found = near()
+        for n in range(rounds):
+            for j in range(len(c)):
+                own = [i for i in ids if found[i][1] == j]
+                if own:
+                    c[j] = {t: sum(x[i].get(t, 0) for i in own) / len(own) for t in {t for i in own for t in x[i]}}
+            new = near()
+            still = all(new[i][1] == found[i][1] for i in ids)
+            found = new
+            if still:
+                return found, n + 1
+        return found, rounds
+
+    for k, rounds in ((4, 1), (6, 100), (1, 3), (500, 2)):
+        want, used = brute(k, rounds)
+        got = {r.content_id: (r.distance, r.cluster) for r in cl.term_kmeans(vectors, weights, k, 42, rounds).collect()}
+        assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()} and all(abs(got[i][0] - want[i][0]) < 1e-8 for i in ids)
+        assert rounds < 100 or used < 100
+    none = cl.term_kmeans(*cl.normed(spark.createDataFrame([(1,), (2,)], "content_id long"), df.limit(0)), 3).collect()
+    assert [(r.cluster, r.distance) for r in none] == [(0, 0.0)] * 2
+
+
+def test_silhouette_by_bounds(spark):
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 3) for _ in range(4)] for _ in range(7)]
+    rows = [(i, i % 7, [rng.gauss(m, 1) for m in centres[i % 7]]) for i in range(260)] + [(999, 50, [9.0, 9.0, 9.0, 9.0])]
+    rows += [(300 + i, 3, rows[3][2]) for i in range(40)]
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
+    scores = []
+    for i, own, v in rows:
+        d = {}
+        for j, label, u in rows:
+            if i != j:
+                d.setdefault(label, []).append(dist(v, u))
+        a, others = d.get(own), [sum(x) / len(x) for label, x in d.items() if label != own]
+        scores.append(0.0 if not a else (min(others) - sum(a) / len(a)) / max(min(others), sum(a) / len(a)))
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>").repartition(3)
+    counted = {}
+    assert abs(cl.silhouette(df, block=50, counted=counted).first().silhouette - sum(scores) / len(scores)) < 2e-6
+    assert counted["pairs"] < 0.6 * counted["all"]
+    assert cl.silhouette(df.limit(0)).first().silhouette is None
+
+
+def test_betweenness_with_folded_leaves(spark):
+    rng = random.Random(8)
+    for seed, (n, m) in enumerate([(9, 8), (9, 11), (8, 5), (2, 1), (7, 6)]):
+        pairs = {(f"n{i}", f"n{rng.randrange(i)}") for i in range(1, n)} if seed % 2 == 0 else set()
+        while len(pairs) < m:
+            a, b = rng.sample(range(n), 2)
+            pairs.add((f"n{max(a, b)}", f"n{min(a, b)}"))
+        pairs |= {("x", "y"), ("z1", "z2"), ("z2", "z3"), ("z3", "z4")}
+        df = spark.createDataFrame([(*p, 1) for p in sorted(pairs)], "src string, dst string, peso long")
+        want, counted = brute_over_components(pairs), {}
+        for held in (1000, 3):
+            got = {r.node: r.centralidad for r in gr.betweenness(df, held, counted).collect()}
+            assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 2e-6 for v in want), (held, pairs)
+            assert counted["sources"] < counted["nodes"]
+    assert gr.betweenness(df.limit(0)).count() == 0
+
+
+def brute_over_components(pairs):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    score = dict.fromkeys(near, 0.0)
+    for s, t in itertools.combinations(sorted(near), 2):
+        level, found = [[s]], []
+        while level and not found:
+            found = [p for p in level if p[-1] == t]
+            level = [[*p, n] for p in level for n in near[p[-1]] if n not in p]
+        for n in near:
+            if n not in (s, t) and found:
+                score[n] += sum(n in p for p in found) / len(found)
+    k = max(1, (len(near) - 1) * (len(near) - 2) / 2)
+    return {n: v / k for n, v in score.items()}
