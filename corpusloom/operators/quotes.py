@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.segments import sentence_chunks
+from corpusloom.operators.segments import sentence_chunks, term_bits
 from corpusloom.operators.terms import ranked
 
 CODE = ["{", "}", "def ", "import ", "http", "<?"]
@@ -24,17 +24,27 @@ def semantic_quotes(docs: DataFrame, terms: DataFrame, pairs: DataFrame, sentime
         bad = bad | F.col("texto").contains(m)
     c = c.where(F.length("texto") >= 30).where(~bad).withColumn("low", F.lower("texto"))
     c = ranked(c, ["content_id", "low"], [F.asc("posicion")], 1, "copy").drop("copy")
-    t = terms.groupBy("content_id").agg(F.collect_list("term").alias("ts"))  # the few key terms of a document
-    p = pairs.groupBy("content_id").agg(F.collect_list(F.struct("t1", "t2")).alias("ps"))  # and pairs
-    c = c.join(t, "content_id", "left").join(p, "content_id", "left")
+    c = c.join(_sought(terms, pairs), "content_id", "left")
     c = c.withColumn("pol", F.lit(0.0)) if sentiment is None else c.join(sentiment.select("chunk_id", F.col("polaridad_norm").alias("pol")), "chunk_id", "left")
     if tiers is None:
         c = c.withColumn("match", F.lit(7.5))
     else:
         match = F.when(F.col("tier") == F.col("nicho"), 15.0).when(F.coalesce("tier", F.lit("desconocido")) == "desconocido", 7.5).otherwise(0.0)
         c = c.join(tiers.select("content_id", match.alias("match")), "content_id", "left").withColumn("match", F.coalesce("match", F.lit(7.5)))
-    low = F.col("low")
-    share = lambda xs, hit: F.when(F.size(xs) > 0, F.size(F.filter(xs, hit)) / F.size(xs)).otherwise(0.0)
-    score = 40 * share("ts", lambda x: low.contains(x)) + 25 * share("ps", lambda x: low.contains(x["t1"]) & low.contains(x["t2"])) + 20 * F.least(F.abs(F.coalesce("pol", F.lit(0.0))), F.lit(1.0)) + F.col("match")
+    c = c.withColumn("bits", term_bits(F.col("low"), F.col("words")))
+    has = lambda b: F.col("bits").bitwiseAND(b) == b
+    share = lambda found, n: F.coalesce(F.try_divide(found, n), F.lit(0.0))
+    score = 40 * share(F.bit_count(F.col("bits").bitwiseAND(F.col("own"))), F.col("n_own")) + 25 * share(F.size(F.filter("pairs", has)), F.size("pairs")) + 20 * F.least(F.abs(F.coalesce("pol", F.lit(0.0))), F.lit(1.0)) + F.col("match")
     out = ranked(c.withColumn("score", F.round(score, 6)), ["content_id"], [F.desc("score"), F.asc("posicion")], n)
     return out.select("content_id", "posicion", "texto", F.round("score", 2).alias("score"), "rank")
+
+
+def _sought(terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``content_id, words, own, n_own, pairs``: the distinct words to look for in a document's chunks, the bits of its terms, and of each pair's ends."""
+    t = terms.groupBy("content_id").agg(F.array_sort(F.collect_set("term")).alias("ts"))  # the few key terms of a document
+    p = pairs.groupBy("content_id").agg(F.collect_list(F.struct("t1", "t2")).alias("ps"))  # and pairs
+    none = F.array().cast("array<string>")
+    both = t.join(p, "content_id", "full_outer").withColumn("words", F.array_distinct(F.concat(F.coalesce("ts", none), F.coalesce(F.transform("ps", lambda x: x["t1"]), none), F.coalesce(F.transform("ps", lambda x: x["t2"]), none))))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position("words", w) - 1).cast("int"))
+    own = F.aggregate(F.coalesce("ts", none), F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(bit(w)))
+    return both.select("content_id", "words", own.alias("own"), F.size(F.coalesce("ts", none)).alias("n_own"), F.coalesce(F.transform("ps", lambda x: bit(x["t1"]).bitwiseOR(bit(x["t2"]))), F.array().cast("array<bigint>")).alias("pairs"))

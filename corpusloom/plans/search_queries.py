@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.store import shared_dir
+from corpusloom.operators import index as ix
 from corpusloom.operators import search as se
 from corpusloom.operators import segments as sg
 from corpusloom.operators import tables as tb
 from corpusloom.operators import templates as tp
-from corpusloom.plans.base import D_TIMED, docs, table, timed, values
+from corpusloom.plans.base import D_SENTENCES, D_TIMED, docs, table, timed, values
 from corpusloom.plans.registry import query
 from corpusloom.plans.text_queries import D_SEARCH
 
@@ -49,6 +53,23 @@ def j3_chunk_search(spark, sf_dir):
     return se.bm25(docs(spark, sf_dir), _queries(spark, sf_dir), tx.words, log_tf=False)
 
 
+def _stored_index(spark, sf_dir, tokens, log_tf: bool) -> str:
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    ix.write(docs(spark, sf_dir), tokens(F.col("text")), path, log_tf)
+    return path
+
+
+@query(f"WITH {D_BM25} SELECT query_id, content_id, score, rank FROM res")
+def j2_stored_index(spark, sf_dir):
+    """The same searches over a stored index, by its block bounds."""
+    return ix.search(spark, _stored_index(spark, sf_dir, tx.search_tokens, True), _queries(spark, sf_dir), tx.search_tokens)
+
+
+@query(f"WITH {_bm25_sql(_W.format('text'), _W.format('text'), False)} SELECT query_id, content_id, score, rank FROM res")
+def j3_stored_index(spark, sf_dir):
+    return ix.search(spark, _stored_index(spark, sf_dir, tx.words, False), _queries(spark, sf_dir), tx.words)
+
+
 @query(
     r"WITH qw AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2)) AS w FROM benchmark), n AS (SELECT DISTINCT w FROM qw), occ AS (SELECT doc_id AS content_id, w, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS k FROM documents, n WHERE length(text) > 20 AND contains(lower(text), w)), "
     "s AS (SELECT query_id, content_id, sum(k)::BIGINT AS score FROM occ JOIN qw USING (w) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, content_id) AS rank FROM s QUALIFY rank <= 5"
@@ -136,12 +157,27 @@ def e8_nearest_points(spark, sf_dir):
     return se.nearest_points(timed(spark, sf_dir))
 
 
-@query()
+_TOKENS6 = "regexp_extract_all(strip_accents(lower({})), '[a-z0-9]+')"
+D_ALIGNED = (
+    f"{D_TIMED}, doc AS (SELECT video_id AS content_id, string_agg(texto, ' ' ORDER BY seg_no) AS text FROM timed GROUP BY video_id), {D_SENTENCES.replace('doc_id AS content_id', 'content_id').replace('FROM documents', 'FROM doc')}, "
+    "ch AS MATERIALIZED (SELECT content_id || '_' || lpad(posicion::VARCHAR, 4, '0') || '_' || substr(sha256(texto), 1, 8) AS chunk_id, content_id AS video_id, posicion, texto FROM (SELECT content_id, place // 3 AS posicion, string_agg(sentence, ' ' ORDER BY place) AS texto FROM sent GROUP BY ALL)), "
+    f"st AS MATERIALIZED (SELECT chunk_id, video_id, posicion, CASE WHEN len(t) >= 6 THEN array_to_string(t[1:6], ' ') END AS gram FROM (SELECT *, {_TOKENS6.format('texto')} AS t FROM ch)), "
+    f"wd AS (SELECT video_id, inicio, unnest(t) AS word, generate_subscripts(t, 1) AS seq FROM (SELECT video_id, inicio, {_TOKENS6.format('texto')} AS t FROM timed)), wn AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY inicio, seq) AS pl FROM wd), "
+    "gr AS (SELECT video_id, pl, inicio AS t_inicio, lead(inicio, 5) OVER w AS t_fin, array_to_string([word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w, lead(word, 5) OVER w], ' ') AS gram FROM wn WINDOW w AS (PARTITION BY video_id ORDER BY pl)), "
+    "hits AS MATERIALIZED (SELECT s.video_id, s.posicion, s.chunk_id, pl, t_inicio, t_fin FROM st s JOIN gr g ON s.video_id = g.video_id AND s.gram = g.gram WHERE t_fin IS NOT NULL), "
+    "walk(video_id, posicion, pl, hit) AS (SELECT DISTINCT video_id, -1::BIGINT, 0::BIGINT, NULL::BIGINT FROM ch UNION ALL SELECT w.video_id, c.posicion, coalesce(min(h.pl), w.pl), min(h.pl) FROM walk w JOIN ch c ON c.video_id = w.video_id AND c.posicion = w.posicion + 1 LEFT JOIN hits h ON h.video_id = c.video_id AND h.posicion = c.posicion AND h.pl >= w.pl GROUP BY w.video_id, c.posicion, w.pl), "
+    "al AS MATERIALIZED (SELECT ch.chunk_id, ch.video_id, t_inicio, t_fin FROM ch JOIN walk w ON w.video_id = ch.video_id AND w.posicion = ch.posicion LEFT JOIN hits h ON h.video_id = w.video_id AND h.posicion = w.posicion AND h.pl = w.hit)"
+)
+
+
+def _track_chunks(spark, sf_dir):
+    text = timed(spark, sf_dir).groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "texto"))), lambda s: s["texto"]), " ").alias("text"))
+    return sg.sentence_chunks(text.withColumnRenamed("video_id", "content_id"), 3).withColumnRenamed("content_id", "video_id")
+
+
+@query(f"WITH RECURSIVE {D_ALIGNED} SELECT chunk_id, t_inicio, t_fin FROM al")
 def e9_aligned_chunks(spark, sf_dir):
-    t = timed(spark, sf_dir)
-    text = t.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "texto"))), lambda s: s["texto"]), " ").alias("text"))
-    chunks = sg.sentence_chunks(text.withColumnRenamed("video_id", "content_id"), 3).withColumnRenamed("content_id", "video_id")
-    return se.align(chunks, t.select("video_id", "inicio", "texto"))
+    return se.align(_track_chunks(spark, sf_dir), timed(spark, sf_dir).select("video_id", "inicio", "texto"))
 
 
 @query("SELECT d.doc_id, coalesce('alias-' || l.doc_id, d.source) AS nombre FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1 WHERE contains(d.source, 'src1') OR contains('alias-' || l.doc_id, '7')")
@@ -232,3 +268,15 @@ def f26_track_status(spark, sf_dir):
     """Offsets and validity of each turn from its length, as the tables have no second track."""
     n = F.length("texto")
     return se.sync_status(timed(spark, sf_dir).select("video_id", ((n % 50 - 20) / 10.0).alias("offset_seconds"), (n % 9 != 0).alias("validado")))
+
+
+@query(
+    f"WITH RECURSIVE {D_ALIGNED}, e AS (SELECT video_id, max(fin) AS total FROM timed GROUP BY video_id), p AS (SELECT video_id, share, total * share AS t FROM e, (VALUES (0.02::DOUBLE), (0.25), (0.5), (0.75), (0.93)) s(share)), pt AS (SELECT p.video_id, share, inicio FROM p JOIN timed s ON s.video_id = p.video_id QUALIFY row_number() OVER (PARTITION BY p.video_id, share ORDER BY round(abs(inicio - t), 6), inicio) = 1), "
+    "o AS (SELECT pt.video_id, share, min(abs(t_inicio - inicio)) AS off FROM pt LEFT JOIN al ON al.video_id = pt.video_id AND t_inicio IS NOT NULL GROUP BY ALL), g AS (SELECT video_id, count(*) FILTER (off <= 30) AS v, count(*) FILTER (off IS NULL OR off > 30) AS f, max(off) FILTER (off <= 30) AS w FROM o GROUP BY video_id) "
+    "SELECT video_id, CASE WHEN v = 0 THEN 'failed' WHEN w <= 2 AND f = 0 THEN 'validated' WHEN w <= 4 AND f <= 1 THEN 'approximate' ELSE 'not_for_navigation' END AS status, v AS validated_count, f AS failed_count, CASE WHEN v > 0 THEN round(w, 2) END AS max_offset_seconds FROM g"
+)
+def f26_aligned_status(spark, sf_dir):
+    """Offsets from the aligned times of chunks at the points of each track."""
+    cues, chunks = timed(spark, sf_dir), _track_chunks(spark, sf_dir)
+    aligned = se.align(chunks, cues.select("video_id", "inicio", "texto"))
+    return se.sync_status(se.track_offsets(chunks, aligned, cues))
