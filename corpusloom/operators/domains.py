@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.functions.store import stash
 from corpusloom.operators import fuzzy
 from corpusloom.operators.terms import ranked
 
@@ -127,28 +126,16 @@ def coherent(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     return rows.join(ok, ["nicho", "herramienta"], "left").select("content_id", "nicho", F.when(F.col("ok"), F.col("herramienta")).alias("herramienta"), F.coalesce("ok", F.lit(False)).alias("coherente"))
 
 
-def grams(docs: DataFrame) -> DataFrame:
-    """``content_id, word, weight, n, place``: each white-space word (weight 1) and pair of neighbours (weight 2) of a lower-cased text, its occurrences and first place; pairs come after all words."""
-    ws = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: w != "")
-    size = F.size("ws")
-    words = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.lit(1).alias("weight"), i.cast("long").alias("place")))
-    pairs = F.transform(F.slice("ws", 2, F.greatest(size - 1, F.lit(0))), lambda w, i: F.struct(F.concat(F.get("ws", i), F.lit(" "), w).alias("word"), F.lit(2).alias("weight"), (size + i).cast("long").alias("place")))
-    each = docs.select("content_id", ws.alias("ws")).select("content_id", F.explode(F.concat(words, pairs)).alias("g"))
-    return each.select("content_id", "g.*").groupBy("content_id", "word", "weight").agg(F.count("*").alias("n"), F.min("place").alias("place"))
-
-
 def fuzzy_votes(docs: DataFrame, dictionary: DataFrame, least: float = 0.6) -> DataFrame:
     """``content_id, nicho, votos`` of ``content_id, text`` and ``term, nicho, place``: each word and pair votes for its most similar term (Ratcliff-Obershelp ratio of ``least`` or more), the domain with most votes wins, GENERAL without any.
 
-    Ties go to the first term and to the domain that was voted for first. Distinct words and pairs that are short enough meet
-    the dictionary once, by bounds first (``fuzzy``). The dictionary is written by hand and goes to every task.
+    Ties go to the first term and to the domain that was voted for first. Words and pairs meet the dictionary where the
+    text is read, by bounds first and each once for many texts (``fuzzy``); nothing but votes is shuffled. The dictionary is written by hand and goes to
+    every task.
     """
     known = sorted({(r["at"], r["term"], r["nicho"]) for r in dictionary.select(F.lower("term").alias("term"), "nicho", F.col("place").alias("at")).collect()})
-    terms = [t for _, t, _ in known]
-    g = stash(grams(docs).where(F.length("word") <= fuzzy.longest(terms, least)))
-    found = fuzzy.most_similar(g.select("word").distinct(), terms, least)
-    best = found.join(F.broadcast(docs.sparkSession.createDataFrame([(k, d) for k, (_, _, d) in enumerate(known)], "term_no int, nicho string")), "term_no").select("word", "nicho")
-    votes = g.join(best, "word").groupBy("content_id", "nicho").agg(F.sum(F.col("weight") * F.col("n")).alias("votos"), F.min("place").alias("place"))
+    words = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: w != "")
+    votes = fuzzy.domain_votes(docs.where("text is not null").select("content_id", words.alias("words")), [t for _, t, _ in known], [d for _, _, d in known], least)
     won = votes.groupBy("content_id").agg(F.max(F.struct("votos", -F.col("place"), "nicho")).alias("w")).select("content_id", "w.nicho", "w.votos")
     return docs.select("content_id").join(won, "content_id", "left").select("content_id", F.coalesce("nicho", F.lit("GENERAL")).alias("nicho"), F.coalesce("votos", F.lit(0)).cast("long").alias("votos"))
 

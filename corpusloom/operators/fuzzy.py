@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 _EPS = 1e-9
 
@@ -103,14 +102,51 @@ class Dictionary:
         return out, calls
 
 
-def most_similar(words: DataFrame, terms: list[str], least: float = 0.6) -> DataFrame:
-    """``word, term_no`` of ``words (word)``: the place in ``terms`` of the most similar, ties to the first; words without one are gone. Narrow."""
+class Votes:
+    """Votes of texts for the domains of their most similar terms. What a word or pair votes for is kept for the next text, up to ``held`` of them."""
+
+    def __init__(self, terms: list[str], domains: list[str], least: float, held: int = 500_000) -> None:
+        self.known, self.domains, self.held = Dictionary(terms, least), domains, held
+        self.longest = longest(terms, least)
+        self.seen: dict[str, int] = {}
+
+    def _grams(self, words: list[str]) -> Iterator[tuple[int, int, str]]:
+        """Weight, place and text of words and pairs that are short enough; pairs come after all words."""
+        for i, w in enumerate(words):
+            if len(w) <= self.longest:
+                yield 1, i, w
+        for i in range(len(words) - 1):
+            if len(words[i]) + len(words[i + 1]) < self.longest:
+                yield 2, len(words) + i, f"{words[i]} {words[i + 1]}"
+
+    def of(self, texts: list[list[str]]) -> list[dict[str, tuple[int, int]]]:
+        """For each text, given as its words, the votes of each domain and the place of the first."""
+        if len(self.seen) > self.held:
+            self.seen.clear()
+        new = list({g for words in texts for _, _, g in self._grams(words)} - self.seen.keys())
+        self.seen.update(zip(new, self.known.best(new)[0]))
+        out = []
+        for words in texts:
+            votes: dict[str, tuple[int, int]] = {}
+            for weight, place, g in self._grams(words):
+                if (t := self.seen[g]) >= 0:
+                    n, first = votes.get(self.domains[t], (0, place))
+                    votes[self.domains[t]] = (n + weight, first)
+            out.append(votes)
+        return out
+
+
+def domain_votes(texts: DataFrame, terms: list[str], domains: list[str], least: float = 0.6, at_once: int = 200) -> DataFrame:
+    """``content_id, nicho, votos, place`` of ``texts (content_id, words)``; a narrow step, ``at_once`` texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Dictionary(terms, least)
+        votes = Votes(terms, domains, least)
         for b in batches:
-            ws = b.column(0).to_pylist()
-            got = [(w, t) for w, t in zip(ws, known.best(ws)[0]) if t >= 0]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([t for _, t in got], pa.int32())], ["word", "term_no"])
-
-    return words.select("word").where(F.length("word") <= longest(terms, least)).mapInArrow(run, "word string, term_no int")
+            for i in range(0, b.num_rows, at_once):
+                part = b.slice(i, at_once)
+                found = [(k, d, n, p) for k, v in enumerate(votes.of(part.column(1).to_pylist())) for d, (n, p) in v.items()]
+                ks, ds, ns, ps = zip(*found) if found else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ks, pa.int64())), pa.array(ds, pa.string()), pa.array(ns, pa.int64()), pa.array(ps, pa.int64())], ["content_id", "nicho", "votos", "place"])
+
+    kind = texts.schema["content_id"].dataType.simpleString()
+    return texts.select("content_id", "words").mapInArrow(run, f"content_id {kind}, nicho string, votos long, place long")
