@@ -41,8 +41,9 @@ def row_bytes(df: DataFrame) -> Column:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """64 bits of all columns as a string of 0 and 1."""
-    return F.lpad(F.bin(F.xxhash64(*(F.col(f"`{c}`").cast("string") if d.startswith("map") else F.col(f"`{c}`") for c, d in df.dtypes))), 64, "0")
+    """64 bits of all columns as a string of 0 and 1. Columns that hold a map or variant, at any depth, are hashed as JSON."""
+    hashed = (F.to_json(F.col(f"`{c}`")) if "map<" in d or "variant" in d else F.col(f"`{c}`") for c, d in df.dtypes)
+    return F.lpad(F.bin(F.xxhash64(*hashed)), 64, "0")
 
 
 def _leaves(sizes: DataFrame, base: int, depth: int, limit: int) -> DataFrame:

@@ -61,3 +61,9 @@ def test_one_and_none(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert shards.assign(df).select("shard", "copy").collect() == [("", 0)]
     assert shards.assign(df.limit(0)).count() == 0
+
+
+def test_maps_at_any_depth(spark):
+    df = spark.range(40).selectExpr("id as doc_id", "named_struct('m', map('k', id), 'x', array(map('a', cast(id as string)))) as s", "array(map(id, null)) as a", "map('z', id) as m")
+    out = shards.assign(df, limit=200, step=3)
+    assert out.count() == 40 and out.select("shard").distinct().count() > 5 and out.columns[:4] == df.columns
