@@ -107,18 +107,28 @@ def demux(media: bytes) -> dict[int, Stream]:
     return streams
 
 
+def packet_ends(packets: list[bytes], granules: list[int]) -> np.ndarray:
+    """The sample at which each packet ends: the granule position of the page that its page's last packet ends in, less the
+    samples of the packets between. A stream whose last packet has no granule raises ``ValueError``."""
+    known = np.array([i for i, g in enumerate(granules) if g != NONE], np.int64)
+    if len(packets) and (not len(known) or known[-1] != len(packets) - 1):
+        raise ValueError("packets without a granule position")
+    done = np.cumsum([len(p) for p in packets], dtype=np.int64)
+    page = known[np.searchsorted(known, np.arange(len(packets)))] if len(packets) else known
+    return np.array([granules[k] for k in page], np.int64) - (done[page] - done) if len(packets) else done
+
+
 def read(media: bytes) -> tuple[bytes, int, list[float]]:
-    """The sample payload, its unpadded length and the start of each packet in seconds, checked against the granules."""
+    """The sample payload, its unpadded length and the start of each packet in seconds, from the granule positions; these must leave no gap."""
     streams = demux(media)
     packets, granules = streams[SAMPLES].packets, streams[SAMPLES].granules
     _, rate, _ = struct.unpack("<8sII", packets[0])
     n_bytes, total = struct.unpack("<QQ", streams[INDEX].packets[1])
-    ends = np.cumsum([len(p) for p in packets[1:]])
-    known = np.array([g for g in granules[1:] if g != NONE], np.uint64)
-    at = ends[[i for i, g in enumerate(granules[1:]) if g != NONE]]
-    if total != (ends[-1] if len(ends) else 0) or (known != at.astype(np.uint64)).any():
+    ends = packet_ends(packets[1:], granules[1:])
+    starts = ends - np.array([len(p) for p in packets[1:]], np.int64)
+    if total != (ends[-1] if len(ends) else 0) or (starts != np.concatenate([[0], ends[:-1]])[: len(starts)]).any():
         raise ValueError("granule positions or the index differ from the samples")
-    return b"".join(packets[1:]), n_bytes, (np.concatenate([[0], ends[:-1]]) / rate).tolist()
+    return b"".join(packets[1:]), n_bytes, (starts / rate).tolist()
 
 
 def pad(text: str | None, unit: int = UNIT) -> tuple[bytes, int]:

@@ -45,3 +45,22 @@ def test_damage_and_laced_packets():
     pages = [ogg._page(ogg.FIRST, 0, 7, 0, b"\x01", b"h"), ogg._page(0, ogg.NONE, 7, 1, b"\xff\xff", big[:510]), ogg._page(ogg.CONTINUED | ogg.LAST, 9, 7, 2, b"\xbe\xff\x00", big[510:] + b"q" * 255)]
     s = ogg.demux(b"".join(pages))[7]
     assert s.packets == [b"h", big, b"q" * 255] and s.granules[-1] == 9
+
+
+def test_times_come_from_granules():
+    packets = [b"x" * n for n in (10, 20, 5, 7)]
+    assert ogg.packet_ends(packets, [ogg.NONE, 130, ogg.NONE, 142]).tolist() == [110, 130, 135, 142]  # a stream that begins at 100
+    assert ogg.packet_ends(packets, [10, 40, 45, 52]).tolist() == [10, 40, 45, 52]  # and one with a gap
+    assert ogg.packet_ends([], []).tolist() == []
+    with pytest.raises(ValueError):
+        ogg.packet_ends(packets, [10, 30, 35, ogg.NONE])
+    m = ogg.mux(*ogg.pad("a" * 576 * 200))
+    x, n, times = ogg.read(m)
+    assert n == len(x) == 576 * 200 and times == [576 * k / 8000 for k in range(200)]
+    pages = ogg.demux(m)[ogg.SAMPLES]
+    assert 1 < sum(g != ogg.NONE for g in pages.granules) < 10
+    one = ogg._lacing(576)
+    head = m[: m.index(b"OggS", m.index(b"OggS", m.index(b"OggS", 1) + 1) + 1)]
+    late = head + ogg._page(ogg.LAST, 1000, ogg.SAMPLES, 1, one, b"a" * 576)
+    with pytest.raises(ValueError):
+        ogg.read(late)
