@@ -57,7 +57,7 @@ CARD_DIGIT = f"(?:[0-9]|[ \\-](?!{SSN}|{DATE}|{IP}|{PHONE})[0-9])"
 
 #: kind, pattern of a candidate. Order decides where two would begin at the same place.
 KINDS = [
-    ("secret", r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_\-]{8,}"""),
+    ("secret", r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}(?:[=:]\s{0,3}["']|=\s{0,3}|:(?!\s)|:\s{1,3}(?=[A-Za-z+/_\-]{0,200}(?:[0-9]|[a-z][A-Z])))[A-Za-z0-9+/_\-]{8,}"""),
     ("access_key", r"(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])"),
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("iban", IBAN + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),

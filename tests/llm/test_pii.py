@@ -179,3 +179,11 @@ def test_key_tables_and_repeats(spark):
     spark.conf.unset(pii.SETTING)
     with pytest.raises(ValueError):
         pii.pseudonymise(df)
+
+
+def test_words_after_a_colon_are_no_secret(spark):
+    plain = ["the secret: everything is fine", "Token: something else", "password: unchanged-words here"]
+    found = ["password: hunter2hunter", "token: aBcdefghij", "secret:everything", 'secret: "everything"', "api_key = everything"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(plain + found)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymise(df, "k", found_col="kinds").collect()}
+    assert [rows[i].text for i in range(3)] == plain and all(rows[i].kinds == ["secret"] and rows[i].text != t for i, t in enumerate(plain + found) if i > 2)
