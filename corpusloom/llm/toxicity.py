@@ -1,15 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on windows of ordinary documents, one on the toxic passages
-of toxic documents, the spans of their words that hold a character n-gram (6 to 10) leaning to toxic documents by
-frequency ratio and log-likelihood. Copies count once. A toxic text is ordinary language and more, so its side holds the
-ordinary dictionary and the toxic one behind it; the ordinary side holds the ordinary one at the same distance. The text
-is cut into windows of ``WINDOW`` words, each led to a fixed passage that both sides hold (a shorter frame would be stored
-as it is), and the margin of a window is its compressed length on the ordinary side less that on the toxic side.
-
-The thresholds of the margins are calibrated: quantiles of the windows of ordinary documents that the dictionaries
-haven't seen. A document's score comes from its largest and mean margin, how many windows reach each threshold, and their
-number, by a logistic function fitted on the same unseen labelled rows; ``predicted`` is 1 from ``THRESHOLD`` on.
+Two zstandard dictionaries are trained on labelled text: one on windows of ordinary documents, one on the windows of toxic documents
+around toxic spots, the places that hold a character n-gram (6 to 10) leaning to toxic documents by frequency ratio and
+log-likelihood. Copies count once. A toxic text is ordinary language and more, so its side holds the ordinary dictionary and the
+toxic one behind it; the ordinary side holds the ordinary one at the same distance. The text is cut into windows of ``WINDOW``
+words, each led to a fixed passage that both sides hold (a shorter frame would be stored as it is), and the margin of
+a window is its compressed length on the ordinary side less that on the toxic side. A window has the same margin
+wherever it stands, so each is compressed once for many texts.
+
+The thresholds are calibrated: for each margin of ``MARGINS`` the share of windows that reach it in ordinary documents the dictionaries
+haven't seen says how many a text of that length has by chance. A document's score comes from how far its number of
+windows exceeds that, how many different ones reach each margin, and the highest sums of margins over longer runs of its windows
+(``RUNS``), by a logistic function fitted on the same unseen labelled rows, in which a toxic row counts ``WEIGHT``
+times; ``predicted`` is 1 from ``THRESHOLD`` on.
 
 Labels are used only of rows whose crc32(doc_id) mod 3 is not 1: remainder 0 for the dictionaries, 2 for the
 calibration. Of each, at most ``TOXIC_ROWS`` toxic and ``ORDINARY_ROWS`` ordinary documents of at most ``ROW_CHARS``
@@ -21,11 +24,11 @@ Without toxic labels no window has a margin and every score is the base rate.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +41,20 @@ THRESHOLD = 0.7
 TOXIC_ROWS = 1500
 ORDINARY_ROWS = 3000
 ROW_CHARS = 10_000
-WINDOW = 3
+WINDOW = 1
+#: Margins that are counted, lengths of runs of windows, weight of toxic rows, ridge of the logistic fit.
+MARGINS, RUNS, WEIGHT, RIDGE = (1, 2, 3, 4, 5, 6, 8), (8, 32, 128), 2.0, 0.3
+#: Windows whose margin a worker keeps.
+HELD = 300_000
 #: Sizes of the trained dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 8 << 10
 #: Lengths of the n-grams that find toxic passages; how much more frequent in toxic documents; least log-likelihood.
 GRAMS = range(6, 11)
 RATIO, LIKELIHOOD = 10, 15
 LEAD, TAIL = 64, 32
-#: Shares of ordinary windows below each threshold.
-QUANTILES = (0.9, 0.99, 0.999, 0.9999)
 COVER = dict(d=6, k=16)
+#: Windows in a sample that the toxic dictionary is trained on.
+JOINED = 4
 PARAMETERS = dict(strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=15, chain_log=15, search_log=6, min_match=5, target_length=64, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
@@ -57,21 +64,27 @@ class Model:
     toxic: bytes
     lead: bytes
     window: int = WINDOW
-    thresholds: tuple[int, ...] = ()
+    #: Shares of ordinary windows that reach each of MARGINS.
+    shares: tuple[float, ...] = (0.0,) * len(MARGINS)
     weights: tuple[float, ...] = ()
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30)))
 
-    def features(self, m: np.ndarray) -> list[float]:
-        if not len(m):
-            return [1.0, *[0.0] * (3 + len(self.thresholds))]
-        return [1.0, min(20.0, float(m.max())), float(m.mean()), *(math.log1p(int((m >= k).sum())) for k in self.thresholds), math.log1p(len(m))]
+    def features(self, ws: list[str], m: np.ndarray) -> list[float]:
+        """Of the windows of a text and their margins: excess, number and different windows at each margin, highest sums of runs."""
+        n = len(m)
+        counts = [int((m >= k).sum()) for k in MARGINS]
+        over = [(c - n * p) / math.sqrt(n * p + 1) for c, p in zip(counts, self.shares)]
+        different = [len({ws[i] for i in np.flatnonzero(m >= k)}) for k in MARGINS[1:5]]
+        total = np.concatenate([[0], np.cumsum(m)])
+        runs = [int((total[min(r, n) :] - total[: n + 1 - min(r, n)]).max()) for r in RUNS]
+        return [1.0, *(math.copysign(math.log1p(abs(x)), x) for x in over), *(math.log1p(max(0, x)) for x in (*counts, *runs, *different))]
 
 
 def windows(text: str | None, n: int) -> list[str]:
     words = (text or "").lower().split()
-    return [" ".join(words[i : i + n]) for i in range(0, len(words), n)]
+    return words if n == 1 else [" ".join(words[i : i + n]) for i in range(0, len(words), n)]
 
 
 class Meter:
@@ -80,6 +93,7 @@ class Meter:
     def __init__(self, model: Model):
         self.model = model
         self.compressors = [self.compressor(d) for d in (model.ordinary, model.toxic)]
+        self.known: dict[str, int] = {}
 
     @staticmethod
     def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -88,17 +102,34 @@ class Meter:
         d.precompute_compress(compression_params=p)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
-    def margins(self, text: str | None) -> np.ndarray:
-        w = windows(text, self.model.window)
-        if not w or self.model.toxic == self.model.ordinary:
-            return np.zeros(len(w), np.int64)
-        framed = [b" " + x.encode() + b" " + self.model.lead for x in w]
-        a, b = (np.fromiter(map(len, c.multi_compress_to_buffer(framed)), np.int64, len(w)) for c in self.compressors)
+    def _measure(self, ws: list[str]) -> np.ndarray:
+        if not ws or self.model.toxic == self.model.ordinary:
+            return np.zeros(len(ws), np.int64)
+        framed = [b" " + x.encode() + b" " + self.model.lead for x in ws]
+        a, b = (np.fromiter(map(len, c.multi_compress_to_buffer(framed)), np.int64, len(ws)) for c in self.compressors)
         return a - b
 
+    def measured(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The margins of texts given as windows."""
+        if len(self.known) > HELD:
+            self.known.clear()
+        new = list({w for ws in texts for w in ws} - self.known.keys())
+        for i in range(0, len(new), 10_000):
+            self.known.update(zip(new[i : i + 10_000], self._measure(new[i : i + 10_000]).tolist()))
+        return [np.array([self.known[w] for w in ws], np.int64) for ws in texts]
+
+    def margins(self, text: str | None) -> np.ndarray:
+        return self.measured([windows(text, self.model.window)])[0]
+
+    def features(self, texts: Iterable[str | None], at_once: int = 100) -> np.ndarray:
+        out, texts = [], iter(texts)
+        while part := [windows(t, self.model.window) for t in islice(texts, at_once)]:
+            out += [self.model.features(ws, m) for ws, m in zip(part, self.measured(part))]
+        return np.array(out)
+
     def score(self, texts: Iterable[str | None]) -> np.ndarray:
-        x = [self.model.features(self.margins(t)) for t in texts]
-        return self.model.score(np.array(x)) if x else np.zeros(0)
+        x = self.features(texts)
+        return self.model.score(x) if len(x) else np.zeros(0)
 
 
 @cache
@@ -150,28 +181,18 @@ def leaning(toxic: list[set[str]], ordinary: list[set[str]]) -> set[str]:
     return out
 
 
-def passages(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """The toxic spans in the words of toxic documents, in text order."""
+def spots(toxic: list[str], ordinary: list[str], window: int = WINDOW) -> list[str]:
+    """The windows of toxic documents around their toxic spots, in text order."""
     padded = lambda t: {f" {w} " for w in t.lower().split()}
     lean = leaning([padded(t) for t in toxic], [padded(t) for t in ordinary])
-    known: dict[str, list[str]] = {}
+    known: dict[str, bool] = {}
 
-    def spans(word: str) -> list[str]:
-        w = f" {word} "
-        marks = bytearray(len(w))
-        for n in GRAMS:
-            for i, g in enumerate(_grams(w, n)):
-                if g in lean:
-                    marks[i : i + len(g)] = b"\1" * len(g)
-        return [w[x.start() : x.end()] for x in re.finditer(rb"\x01+", marks)]
+    def leans(word: str) -> bool:
+        if word not in known:
+            known[word] = any(g in lean for n in GRAMS for g in _grams(f" {word} ", n))
+        return known[word]
 
-    out = []
-    for t in toxic:
-        for w in t.lower().split():
-            if w not in known:
-                known[w] = spans(w)
-            out += known[w]
-    return out
+    return [f" {w} " for t in toxic for w in windows(t, window) if any(map(leans, w.split()))]
 
 
 def dictionary(samples: list[bytes], size: int, **cover: int) -> bytes:
@@ -184,25 +205,25 @@ def dictionary(samples: list[bytes], size: int, **cover: int) -> bytes:
 
 def train(toxic: list[str], ordinary: list[str], window: int = WINDOW) -> Model:
     toxic, ordinary = without_copies(toxic), without_copies(ordinary)
-    base = dictionary([f" {w} ".encode() for t in ordinary for w in windows(t, window)], ORDINARY_BYTES).rjust(LEAD + TAIL, b" ")
-    spans = [s.encode() for s in passages(toxic, ordinary)]
-    extra = dictionary([b"".join(spans[i : i + 4]) for i in range(0, len(spans), 4)], TOXIC_BYTES, **COVER) if spans else b""
+    base = dictionary([f" {w} ".encode() for t in ordinary for w in windows(t, 3)], ORDINARY_BYTES).rjust(LEAD + TAIL, b" ")
+    found = [s.encode() for s in spots(toxic, ordinary, window)]
+    extra = dictionary([b"".join(found[i : i + JOINED]) for i in range(0, len(found), JOINED)], TOXIC_BYTES, **COVER) if found else b""
     tail = base[-TAIL:]  # a dictionary's last bytes can't begin a match
     return Model(base + bytes(len(extra)) + tail, base + extra + tail, base[-LEAD - TAIL : -TAIL], window)
 
 
 def calibrate(model: Model, toxic: list[str], ordinary: list[str]) -> Model:
-    """Thresholds from the windows of ordinary documents; logistic weights by Newton's method with a small ridge."""
+    """Shares of ordinary windows at each margin; logistic weights by Newton's method with a small ridge."""
     m = Meter(model)
-    margins = [m.margins(t) for t in [*toxic, *ordinary]] or [np.zeros(0, np.int64)]
-    plain = np.concatenate([*margins[len(toxic) :], np.zeros(1, np.int64)])
-    model = replace(model, thresholds=tuple(sorted({int(np.quantile(plain, q)) + 1 for q in QUANTILES})))
-    x = np.array([model.features(k) for k in margins])
+    plain = np.concatenate([*(m.margins(t) for t in ordinary), np.zeros(1, np.int64)])
+    model = m.model = replace(model, shares=tuple(float((plain >= k).mean()) for k in MARGINS))
+    x = m.features([*toxic, *ordinary] or [None])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary) or [0.0])
-    w, ridge = np.zeros(x.shape[1]), 0.1 * np.eye(x.shape[1])
+    c = np.where(y > 0, WEIGHT, 1.0)
+    w, ridge = np.zeros(x.shape[1]), RIDGE * np.eye(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (c * (p - y)) + ridge @ w)
         w = w - step
         if abs(step).max() < 1e-9:
             break
