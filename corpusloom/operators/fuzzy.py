@@ -106,33 +106,32 @@ class Votes:
     """Votes of texts for the domains of their most similar terms. What a word or pair votes for is kept for the next text, up to ``held`` of them."""
 
     def __init__(self, terms: list[str], domains: list[str], least: float, held: int = 500_000) -> None:
-        self.known, self.domains, self.held = Dictionary(terms, least), domains, held
+        self.known, self.held, self.names = Dictionary(terms, least), held, sorted(set(domains))
+        self.domain = np.array([self.names.index(d) for d in domains], np.int64)
         self.longest = longest(terms, least)
         self.seen: dict[str, int] = {}
 
-    def _grams(self, words: list[str]) -> Iterator[tuple[int, int, str]]:
-        """Weight, place and text of words and pairs that are short enough; pairs come after all words."""
-        for i, w in enumerate(words):
-            if len(w) <= self.longest:
-                yield 1, i, w
-        for i in range(len(words) - 1):
-            if len(words[i]) + len(words[i + 1]) < self.longest:
-                yield 2, len(words) + i, f"{words[i]} {words[i + 1]}"
+    def _grams(self, words: list[str]) -> tuple[list[str], int]:
+        """The words and then the pairs that are short enough, in order, and how many are words."""
+        most = self.longest
+        short = [w for w in words if len(w) <= most]
+        return short + [f"{a} {b}" for a, b in zip(words, words[1:]) if len(a) + len(b) < most], len(short)
 
     def of(self, texts: list[list[str]]) -> list[dict[str, tuple[int, int]]]:
-        """For each text, given as its words, the votes of each domain and the place of the first."""
+        """For each text, given as its words, the votes of each domain and the place of the first among words and pairs."""
         if len(self.seen) > self.held:
             self.seen.clear()
-        new = list({g for words in texts for _, _, g in self._grams(words)} - self.seen.keys())
+        grams = [self._grams(words) for words in texts]
+        new = list(set().union(*(g for g, _ in grams)) - self.seen.keys())
         self.seen.update(zip(new, self.known.best(new)[0]))
         out = []
-        for words in texts:
-            votes: dict[str, tuple[int, int]] = {}
-            for weight, place, g in self._grams(words):
-                if (t := self.seen[g]) >= 0:
-                    n, first = votes.get(self.domains[t], (0, place))
-                    votes[self.domains[t]] = (n + weight, first)
-            out.append(votes)
+        for g, n in grams:
+            term = np.fromiter(map(self.seen.__getitem__, g), np.int64, len(g))
+            at = np.flatnonzero(term >= 0)
+            domain = self.domain[term[at]]
+            votes = np.bincount(domain, np.where(at < n, 1, 2), len(self.names)).astype(np.int64)
+            kinds, first = np.unique(domain, return_index=True)
+            out.append({self.names[k]: (int(votes[k]), int(at[i])) for k, i in zip(kinds.tolist(), first.tolist())})
         return out
 
 
