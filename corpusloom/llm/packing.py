@@ -8,8 +8,8 @@ that the padding of all documents together is least: with lines sorted by slope
 lengths. Inside a bucket, documents are padded to its end and form batches of at most ``budget`` tokens.
 
 Lengths up to ``EXACT`` count as they are, longer ones round up in steps of about a thousandth, so the histogram that the
-driver reads has a fixed bound, whatever the number of documents. A bucket is dealt into groups by a hash of the rows, so
-none is larger than some hundred documents; each group can leave one batch short. Documents longer than the budget
+driver reads has a fixed bound, whatever the number of documents. A bucket is dealt into groups by a hash of the rows and, of
+equal rows, their number, so none is larger than some hundred documents; each group can leave one batch short. Documents longer than the budget
 are batches of their own. Null and empty texts have length 1. An empty table has no batches.
 """
 
@@ -29,6 +29,8 @@ BUCKETS = 16
 BUDGET = 16_384
 EXACT = 65_536
 GROUP = 256
+#: Equal rows that a task numbers.
+COPIES = 1000
 
 
 def pretokens(text: str = "text") -> Column:
@@ -100,22 +102,32 @@ def optimal_ends(histogram: Sequence[tuple[int, int]], buckets: int = BUCKETS) -
     return ends[::-1]
 
 
+def _numbered(counted: DataFrame) -> DataFrame:
+    """A row for each of ``n`` equal ones, with its ``copy`` number. Many are numbered in parts, on several tasks."""
+    numbers = lambda first, last: F.explode(F.sequence(first, last - 1))
+    few = counted.where(F.col("n") <= COPIES).select("id", "n_tokens", "hash", numbers(F.lit(0).cast("long"), F.col("n")).alias("copy"))
+    parts = counted.where(F.col("n") > COPIES).withColumn("part", numbers(F.lit(0).cast("long"), F.ceil(F.col("n") / COPIES))).repartition("hash", "part")
+    many = parts.select("id", "n_tokens", "hash", numbers(F.col("part") * COPIES, F.least(F.col("n"), (F.col("part") + 1) * COPIES)).alias("copy"))
+    return few.unionByName(many)
+
+
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None, id_col: str = "doc_id") -> DataFrame:
     """``id, n_tokens, bucket, padded_length, batch_id, place`` for every document; its length is that of its BPE ids or the column ``length``."""
     row_id, row_hash = F.col(f"`{id_col}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c, d in docs.dtypes if "map" not in d)).alias("hash")
     if length is None:
-        sized = stash(with_tokens(docs.select(row_id, F.col("text").cast("string").alias("text"), row_hash)))
+        sized = with_tokens(docs.select(row_id, F.col("text").cast("string").alias("text"), row_hash))
     else:
         sized = docs.select(row_id, F.greatest(F.lit(1), F.coalesce(length, F.lit(0))).cast("long").alias("n_tokens"), row_hash)
-    hist = {r[0]: r[1] for r in sized.groupBy(rounded(F.col("n_tokens")).alias("n")).count().collect()}
+    sized = stash(sized.groupBy("id", "n_tokens", "hash").agg(F.count("*").alias("n")))
+    hist = {r[0]: r[1] for r in sized.groupBy(rounded(F.col("n_tokens")).alias("x")).agg(F.sum("n")).collect()}
     ends = optimal_ends(list(hist.items()), buckets)
     caps = [max(1, budget // e) for e in ends]
     sizes = [sum(c for x, c in hist.items() if a < x <= b) for a, b in zip([0, *ends], ends, strict=False)]
     groups = [max(1, -(-s // (c * max(1, GROUP // c)))) for s, c in zip(sizes, caps, strict=True)]
     bucket = sum(((rounded(F.col("n_tokens")) > e).cast("int") for e in ends), F.lit(0))
     of = lambda values: F.element_at(F.array(*(F.lit(int(v)).cast("long") for v in values or [1])), F.col("bucket") + 1)
-    dealt = sized.withColumn("bucket", bucket).withColumn("group", F.pmod("hash", of(groups)))
-    place = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("id", "hash")) - 1
+    dealt = _numbered(sized).withColumn("bucket", bucket).withColumn("group", F.pmod(F.when(F.col("copy") == 0, F.col("hash")).otherwise(F.xxhash64("hash", "copy")), of(groups)))
+    place = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("id", "hash", "copy")) - 1
     out = dealt.withColumn("i", place).withColumn("cap", of(caps))
     return out.select(
         F.col("id").alias(id_col), "n_tokens", "bucket", of(ends).alias("padded_length"), F.concat_ws("-", "bucket", "group", F.expr("i div cap")).alias("batch_id"), F.expr("cast(i % cap as int)").alias("place")

@@ -50,3 +50,14 @@ def test_lengths_are_those_of_the_tokenizer(spark):
     assert {i: r.n_tokens for i, r in got.items()} == want
     assert want[1] > 10_000 and got[1].batch_id not in {r.batch_id for i, r in got.items() if i != 1}
     assert {r.doc_id: r.n_tokens for r in packing.pack(df, length=packing.pretokens()).collect()}[1] == 1
+
+
+def test_equal_rows_are_dealt(spark):
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text")).unionByName(spark.range(300).selectExpr("id + 100 as doc_id", "concat('text ', id) as text"))
+    out = packing.pack(df, buckets=2, budget=1000, length=F.length("text")).cache()
+    assert out.count() == 20_300 and out.where("doc_id = 7").count() == 20_000
+    group = F.regexp_extract("batch_id", "^[0-9]+-[0-9]+", 0)
+    sizes = sorted(r["count"] for r in out.groupBy(group.alias("g")).count().collect())
+    assert len(sizes) > 40 and sizes[-1] < 4 * 256
+    by = out.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("padded_length").alias("p"), F.countDistinct("place").alias("d")).collect()
+    assert all(r.n * r.p <= 1000 and r.d == r.n for r in by)
