@@ -218,3 +218,15 @@ def whole_words(items: list[str]) -> str:
 def bind(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then(value)`` with ``value`` computed once, however often it is used, inside lambdas too."""
     return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def top_terms(tokens: Column, without: list[str], n: int) -> Column:
+    """The ``n`` most frequent of an array of tokens, ties by first place, without the words of a short list. One sort of the row's tokens."""
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when(~F.coalesce(F.get(s, i - 1)["t"] == x["t"], F.lit(False)), i)), lambda i: i.isNotNull())
+        return bind(starts, lambda at: F.transform(at, lambda p, k: F.struct((p - F.coalesce(F.get(at, k + 1), F.size(s))).alias("less"), F.get(s, p)["i"].alias("i"), F.get(s, p)["t"].alias("t"))))
+
+    kept = F.filter(tokens, lambda t: ~t.isin(*without)) if without else tokens
+    ordered = F.sort_array(F.transform(kept, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    return F.transform(F.slice(F.sort_array(bind(ordered, counted)), 1, n), lambda x: x["t"])

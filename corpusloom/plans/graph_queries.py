@@ -263,7 +263,7 @@ _SHARE = "CASE WHEN len({xs}) > 0 THEN len(list_filter({xs}, lambda x: {hit})) /
 def h11_semantic_quotes(spark, sf_dir):
     d = docs(spark, sf_dir)
     keys = stash(tm.key_terms(d, words_frame(spark, STOPWORDS), 10))
-    return semantic_quotes(d, keys, sg.cooccurrences(sg.segments(d), keys)).select("content_id", "posicion", F.sha2("texto", 256).alias("h"), "score", "rank")
+    return semantic_quotes(d, keys, sg.document_cooccurrences(d, STOPWORDS)).select("content_id", "posicion", F.sha2("texto", 256).alias("h"), "score", "rank")
 
 
 @query(f"WITH {D_PAIRS}, d AS (SELECT node, count(*) AS grado FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node) SELECT '{{\"id\":\"' || node || '\",\"grado\":' || grado || '}}' AS line FROM d UNION ALL SELECT '{{\"src\":\"' || src || '\",\"dst\":\"' || dst || '\",\"peso\":' || peso || '}}' FROM edges")
@@ -386,4 +386,4 @@ def h11_scored_quotes(spark, sf_dir):
     lexicon = spark.createDataFrame([(w, *map(float, v)) for w, v in LEXICON.items()], "word string, pos double, neg double, sesgo double")
     sentiment = sg.lexicon_sentiment(sg.sentence_chunks(d, 3), lexicon, ["chunk_id"], "texto")
     tiers = dm.domain(d, DOMAINS, PRIORITY).withColumn("tier", F.when(F.col("content_id") % 3 == 0, "desconocido").otherwise("SALUD"))
-    return semantic_quotes(d, keys, sg.cooccurrences(sg.segments(d), keys), sentiment, tiers=tiers).select("content_id", "posicion", F.sha2("texto", 256).alias("h"), "score", "rank")
+    return semantic_quotes(d, keys, sg.document_cooccurrences(d, STOPWORDS), sentiment, tiers=tiers).select("content_id", "posicion", F.sha2("texto", 256).alias("h"), "score", "rank")

@@ -323,6 +323,12 @@ D_COOCCURRENCES = (
 
 @query(f"WITH RECURSIVE {D_COOCCURRENCES} SELECT content_id, t1, t2, n, rank FROM pairs")
 def f12_cooccurrences(spark, sf_dir):
+    return sg.document_cooccurrences(docs(spark, sf_dir), STOPWORDS)
+
+
+@query(f"WITH RECURSIVE {D_COOCCURRENCES} SELECT content_id, t1, t2, n, rank FROM pairs")
+def f12_joined_cooccurrences(spark, sf_dir):
+    """The same from tables of segments and of key terms."""
     d = docs(spark, sf_dir)
     return sg.cooccurrences(sg.segments(d), tm.key_terms(d, words_frame(spark, STOPWORDS), 10))
 

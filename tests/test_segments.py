@@ -86,3 +86,15 @@ def test_order_of_rows_does_not_matter(spark):
     d = frame(spark, [f"text number {i} with some words and words" for i in range(50)])
     a, b = (sorted(map(tuple, tm.key_terms(x).collect())) for x in (d, d.repartition(7).orderBy(F.rand(1))))
     assert a == b
+
+
+def test_cooccurrences_in_the_row(spark):
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in ("alfa", "beta", "gama", "sol", "sola") for b in ("", "do", "ña", "s1")]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ".", "!", " de la"]) for _ in range(rng.randrange(120))) for _ in range(40)] + ["", None, "sol", "alfa beta", "a. b. c."]
+    d = spark.createDataFrame(list(enumerate(texts)), "content_id long, text string")
+    stop = ["beta", "la"]
+    keys = tm.key_terms(d, spark.createDataFrame([(w,) for w in stop], "term string"), 10)
+    want = sorted(map(tuple, sg.cooccurrences(sg.segments(d), keys).collect()))
+    assert want and sorted(map(tuple, sg.document_cooccurrences(d, stop).collect())) == want
+    assert sorted(map(tuple, sg.document_cooccurrences(d, [], 4, 3).collect())) == sorted(map(tuple, sg.cooccurrences(sg.segments(d), tm.key_terms(d, None, 4), 3).collect()))
