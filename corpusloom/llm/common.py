@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.store import discard, stash
 
-__all__ = ["connected_components", "discard", "stash", "table"]
+__all__ = ["connected_components", "discard", "stash", "table", "trimmed"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches. Between them Arrow gives the memory back that it no longer uses: a worker serves several operators in turn."""
+    for b in batches:
+        pa.default_memory_pool().release_unused()
+        yield b
+        del b
+    pa.default_memory_pool().release_unused()
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

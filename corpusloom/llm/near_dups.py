@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import connected_components, stash
+from corpusloom.llm.common import connected_components, stash, trimmed
 
 WORDS = 5
 SIMILAR = 0.8
@@ -141,7 +141,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WOR
                 lists[i] = b[q]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), *([pa.array(uids, pa.int64())] if uid else [])], ["doc_id", "key", "n", "bands", *(["uid"] if uid else [])])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, uids, sets, keys, size = [], [], [], [], 0
             for i, t, q in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 t = t.as_py()
@@ -175,7 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similar: float) ->
                 known[key] = shingler(text)
             return known[key]
 
-        for b in batches:
+        for b in trimmed(batches):
             us, vs = b.column(0).to_pylist(), b.column(2).to_pylist()
             ok = [similarity(of(u, tu.as_py()), of(v, tv.as_py())) >= similar for u, tu, v, tv in zip(us, b.column(1), vs, b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, o in zip(us, ok, strict=True) if o], pa.binary()), pa.array([x for x, o in zip(vs, ok, strict=True) if o], pa.binary())], ["u", "v"])
@@ -188,7 +188,7 @@ def sketches(texts: DataFrame, words: int, k: int = LONG) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
                 sig = signatures([shingler(t.as_py()) for t in part.column(1)], k)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe
-from corpusloom.llm.common import stash
+from corpusloom.llm.common import stash, trimmed
 
 BUCKETS = 16
 BUDGET = 16_384
@@ -43,7 +43,7 @@ def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(path or bpe.default_path())
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 n = np.maximum(1, np.array(c.counts(part.column(1).to_pylist()), np.int64))

@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.common import trimmed
+
 THRESHOLD = 0.7
 TOXIC_ROWS = 1500
 ORDINARY_ROWS = 3000
@@ -45,7 +47,7 @@ WINDOW = 1
 #: Margins that are counted, lengths of runs of windows, weight of toxic rows, ridge of the logistic fit.
 MARGINS, RUNS, WEIGHT, RIDGE = (1, 2, 3, 4, 5, 6, 8), (8, 32, 128), 2.0, 0.3
 #: Windows whose margin a worker keeps.
-HELD = 300_000
+HELD = 100_000
 #: Sizes of the trained dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 8 << 10
 #: Lengths of the n-grams that find toxic passages; how much more frequent in toxic documents; least log-likelihood.
@@ -256,7 +258,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = meter(model)
-        for b in batches:
+        for b in trimmed(batches):
             s = m.score(t.as_py() for t in b.column(0))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*b.schema.names[1:], *new])
 
