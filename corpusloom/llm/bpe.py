@@ -33,7 +33,7 @@ TABLE_WORDS = 300_000
 LONG = 200
 #: Words counted at a time, and lengths of words kept: workers of a pipeline have other tables too.
 MANY = 50_000
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 300_000
 
 
 def default_path() -> str:
@@ -79,6 +79,7 @@ class Codec:
         self.table: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[str, tuple[int, ...]] = {}
+        self.held = KNOWN_WORDS
         self.known: dict[str, int] = {}
         self.known_before: dict[str, int] = {}
 
@@ -179,9 +180,9 @@ class Codec:
         for w in new:
             if len(w) >= LONG:
                 del known[w]
-        if len(known) > KNOWN_WORDS:
+        if len(known) > self.held:
             self.known, self.known_before = {}, known
-        if len(self.fragments) > KNOWN_WORDS:
+        if len(self.fragments) > self.held:
             self.fragments.clear()
         return out
 

@@ -38,11 +38,12 @@ def pretokens(text: str = "text") -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.regexp_count(text, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")), F.lit(0))).cast("long")
 
 
-def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``id, text, hash`` to ``id, n_tokens, hash``."""
+def with_tokens(docs: DataFrame, path: str | None = None, known_words: int = bpe.KNOWN_WORDS) -> DataFrame:
+    """``id, text, hash`` to ``id, n_tokens, hash``; a worker keeps the lengths of ``known_words`` words, some 250 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(path or bpe.default_path())
+        c.held = known_words
         for b in trimmed(batches):
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -111,11 +112,11 @@ def _numbered(counted: DataFrame) -> DataFrame:
     return few.unionByName(many)
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None, id_col: str = "doc_id", known_words: int = bpe.KNOWN_WORDS) -> DataFrame:
     """``id, n_tokens, bucket, padded_length, batch_id, place`` for every document; its length is that of its BPE ids or the column ``length``."""
     row_id, row_hash = F.col(f"`{id_col}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c, d in docs.dtypes if "map" not in d)).alias("hash")
     if length is None:
-        sized = with_tokens(docs.select(row_id, F.col("text").cast("string").alias("text"), row_hash))
+        sized = with_tokens(docs.select(row_id, F.col("text").cast("string").alias("text"), row_hash), known_words=known_words)
     else:
         sized = docs.select(row_id, F.greatest(F.lit(1), F.coalesce(length, F.lit(0))).cast("long").alias("n_tokens"), row_hash)
     sized = stash(sized.groupBy("id", "n_tokens", "hash").agg(F.count("*").alias("n")))
