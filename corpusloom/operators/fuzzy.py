@@ -92,11 +92,15 @@ class Dictionary:
             w, t = int(word[k]), int(term[k])
             if bound[k] < reached[w] - _EPS or (out[w] >= 0 and bound[k] <= reached[w] + _EPS and t > out[w]):
                 continue
-            m = self.matchers.get(t)
-            if m is None:  # a matcher prepares its second text once
-                m = self.matchers[t] = difflib.SequenceMatcher(None, "", self.terms[t])
-            m.set_seq1(words[w])
-            r, calls = m.ratio(), calls + 1
+            x, y = words[w], self.terms[t]
+            if x and y and (y in x or x in y):  # the shorter is matched whole
+                r = 2.0 * min(len(x), len(y)) / (len(x) + len(y))
+            else:
+                m = self.matchers.get(t)
+                if m is None:  # a matcher prepares its second text once
+                    m = self.matchers[t] = difflib.SequenceMatcher(None, "", y)
+                m.set_seq1(x)
+                r, calls = m.ratio(), calls + 1
             if r >= self.least and (r > reached[w] or (r == reached[w] and t < out[w])):
                 out[w], reached[w] = t, r
         return out, calls
