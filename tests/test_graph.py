@@ -141,6 +141,17 @@ def test_betweenness_with_folded_leaves(spark):
     assert gr.betweenness(df.limit(0)).count() == 0
 
 
+def test_betweenness_holds_a_graph_of_more_than_100_000_edges(spark):
+    """A complete bipartite graph: all paths of a side are shared by the nodes of the other."""
+    n, m = 420, 260
+    edges = spark.range(n * m).selectExpr(f"concat('a', id % {n}) as src", f"concat('b', cast(floor(id / {n}) as long)) as dst", "2L as peso")
+    counted = {}
+    got = {r.node: r.centralidad for r in gr.betweenness(edges, counted=counted).collect()}
+    pairs = (n + m - 1) * (n + m - 2) / 2
+    want = {"a": m * (m - 1) / 2 / n / pairs, "b": n * (n - 1) / 2 / m / pairs}
+    assert counted == {"nodes": n + m, "sources": n + m} and len(got) == n + m and all(abs(x - want[v[0]]) < 2e-6 for v, x in got.items())
+
+
 def brute_over_components(pairs):
     near = {}
     for a, b in pairs:
