@@ -149,7 +149,7 @@ def speaker_mode(t: Column, legal: list[str] = LEGAL, word_boundary: bool = Fals
     hit = F.lit(False)
     for w in legal:
         hit = hit | (low.rlike(tx.whole_words([w])) if word_boundary else low.contains(w))
-    marks = F.regexp_count(t, F.lit(r"(?m)^[A-ZÁÉÍÓÚÑ][\p{L} ]{1,40}:"))
+    marks = F.regexp_count(t, F.lit(r"(?md)^[A-ZÁÉÍÓÚÑ][\p{L} ]{1,40}:"))
     lines = F.size(F.split(t, "\n"))
     return F.when(hit, "legal").when(marks > 5, "ateneo").when((marks <= 1) & (lines > 20), "tutorial").otherwise("auto")
 
@@ -166,12 +166,12 @@ WITNESS = r"(?iU)\btestigo\b"
 def speakers(docs: DataFrame) -> DataFrame:
     """``content_id, modo, text`` to ``content_id, nombre, veces, principal`` above the mode's threshold, at most its cap.
 
-    Speakers are the names of lines ``Name: words``, professions with a name, and in legal mode ``testigo``; a legal text
+    Speakers are the names of lines ``Name: words`` (lines end with \\n), professions with a name, and in legal mode ``testigo``; a legal text
     without any has ``persona1`` to ``persona3``, as many as lines.
     """
     modes = docs.sparkSession.createDataFrame(MODES, "modo string, rate double, cap int")
     n = F.size(F.split("text", "\n"))
-    said = F.regexp_extract_all("text", F.lit(r"(?m)^([\p{L}][\p{L} ]{1,40}):"), 1)
+    said = F.regexp_extract_all("text", F.lit(r"(?md)^([\p{L}][\p{L} ]{1,40}):"), 1)
     titled = F.regexp_extract_all("text", F.lit(PROFESSION), 0)
     legal = F.col("modo") == "legal"
     witness = F.when(legal, F.transform(F.regexp_extract_all("text", F.lit(WITNESS), 0), lambda _: F.lit("testigo"))).otherwise(F.array().cast("array<string>"))

@@ -145,7 +145,7 @@ def h7_fuzzy_votes(spark, sf_dir):
     return dm.fuzzy_votes(docs(spark, sf_dir), spark.createDataFrame([(t, d, i) for i, (t, d) in enumerate(terms)], "term string, nicho string, place int"))
 
 
-_SAID = "said AS (SELECT conv_id AS content_id, string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+_SAID = "said AS (SELECT conv_id AS content_id, string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn, upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || replace(text, chr(10), ' ')) AS text FROM conversations GROUP BY conv_id)"
 _MODE = r"CASE WHEN regexp_matches(lower(text), 'juez|fiscal|abogado|testigo|tribunal|judge|attorney|court|lawyer') THEN 'legal' WHEN len(regexp_extract_all(text, '(?m)^[A-ZÁÉÍÓÚÑ][\p{L} ]{1,40}:')) > 5 THEN 'ateneo' WHEN len(regexp_extract_all(text, '(?m)^[A-ZÁÉÍÓÚÑ][\p{L} ]{1,40}:')) <= 1 AND len(string_split(text, chr(10))) > 20 THEN 'tutorial' ELSE 'auto' END"
 
 
@@ -160,8 +160,13 @@ def h8_speaker_mode(spark, sf_dir):
     return _said(spark, sf_dir).select("content_id", dm.speaker_mode(F.col("text")).alias("modo"))
 
 
+#: The operator's classes in RE2, which knows white space and word ends in ASCII only.
+_PROFESSION = dm.PROFESSION.replace("(?iU)", "(?i)").replace(r"\s", r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+_NO_WORD = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}]"
+
+
 @query(
-    rf"WITH {_SAID}, m AS (SELECT *, {_MODE} AS modo, len(string_split(text, chr(10))) AS n FROM said), names AS (SELECT content_id, modo, n, unnest(regexp_extract_all(text, '(?m)^([\p{{L}}][\p{{L}} ]{{1,40}}):', 1)) AS nombre FROM m), mod(modo, rate, cap) AS (VALUES ('tutorial', 0.05::DOUBLE, 1), ('ateneo', 0.02, 10), ('legal', 0.01, 20), ('auto', 0.03, 10)), "
+    rf"WITH {_SAID}, m AS (SELECT *, {_MODE} AS modo, len(string_split(text, chr(10))) AS n FROM said), xs AS (SELECT content_id, modo, n, list_concat(regexp_extract_all(text, '(?m)^([\p{{L}}][\p{{L}} ]{{1,40}}):', 1), regexp_extract_all(text, '{_PROFESSION}'), CASE WHEN modo = 'legal' THEN list_transform(list_filter(regexp_split_to_array(text, '{_NO_WORD}+'), lambda w: regexp_full_match(w, '(?i)testigo')), lambda w: 'testigo') ELSE [] END) AS xs FROM m), names AS (SELECT content_id, modo, n, unnest(CASE WHEN modo = 'legal' AND len(xs) = 0 THEN ['persona1', 'persona2', 'persona3'][1:least(3, n)] ELSE xs END) AS nombre FROM xs), mod(modo, rate, cap) AS (VALUES ('tutorial', 0.05::DOUBLE, 1), ('ateneo', 0.02, 10), ('legal', 0.01, 20), ('auto', 0.03, 10)), "
     "c AS (SELECT content_id, modo, n, nombre, count(*) AS veces FROM names GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY veces DESC, nombre) AS r FROM c JOIN mod USING (modo) WHERE veces >= CASE WHEN modo = 'tutorial' THEN 2 * floor(n * rate) ELSE floor(n * rate) END) SELECT content_id, nombre, veces, r = 1 AS principal FROM k WHERE r <= cap"
 )
 def h9_speakers(spark, sf_dir):

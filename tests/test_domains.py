@@ -1,8 +1,12 @@
 import random
 from difflib import SequenceMatcher
 
+import duckdb
+import pytest
+
 from corpusloom.operators import domains as dm
 from corpusloom.operators.fuzzy import Dictionary
+from corpusloom.plans import registry
 
 TERMS = [("mercado", "FINANZAS"), ("machine learning", "TECNOLOGIA"), ("salud", "SALUD"), ("derecho penal", "LEGAL")]
 
@@ -55,3 +59,19 @@ def test_speakers_by_profession_and_anonymous(spark):
     ]
     got = {(r.content_id, r.nombre): r.veces for r in dm.speakers(spark.createDataFrame(rows, "content_id long, modo string, text string")).collect()}
     assert got == {(1, "Ana"): 1, (1, "Dr. Juan Pérez"): 1, (1, "jueza María López"): 1, (1, "testigo"): 2, (2, "persona1"): 1, (2, "persona2"): 1, (3, "Dra. Eva Ruiz"): 1}
+
+
+@pytest.mark.parametrize("name", ["h8_speaker_mode", "h9_speakers"])
+def test_speakers_as_in_sql(spark, tmp_path, name):
+    """Professions, witnesses, anonymous speakers, other line ends and equal turns."""
+    rows = [
+        (1, 0, "user", "habla el Dr. Juan P\u00e9rez y\u00a0la JUEZA\u2003mar\u00eda l\u00f3pez"), (1, 1, "assistant", "un Testigo, testigo_no y \u00e9testigo; testigo testigo"),
+        (2, 0, "user", "el fiscal a"), (3, 0, "user", "sin nada\r\nAna: hola\u2028Eva: hola\rLuz: si"), (4, 0, "", "tribunal\nuno"), (4, 1, "", "dos"), (4, 2, "1", None),
+        (5, 0, "user", "b: x"), (5, 0, "user", "a cuadra norte"), (5, 0, "system", "c"), (6, 0, "user", None), *((7, i, "user", "x dr uno") for i in range(25)),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duck.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) > 5
