@@ -7,15 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.store import discard, stash
 from corpusloom.operators.terms import ranked
+from corpusloom.operators.vectors import numbered
 
 
 def sparse_vectors(weights: DataFrame, size: int = 1 << 18) -> DataFrame:
@@ -62,16 +65,90 @@ def _nearest(vectors: DataFrame, weights: DataFrame, centroids: DataFrame, k: in
     return met.select("content_id", (F.array_position("far", F.array_min("far")) - 1).alias("cluster"), F.array_min("far").alias("distance"))
 
 
-def term_kmeans(vectors: DataFrame, weights: DataFrame, k: int = 8, seed: int = 42, rounds: int = 100) -> DataFrame:
+#: Up to so many terms each task may hold the centroids, as many numbers for each term as there are clusters.
+HELD_TERMS = 4_000_000
+
+
+def term_kmeans(vectors: DataFrame, weights: DataFrame, k: int = 8, seed: int = 42, rounds: int = 100, held: int = HELD_TERMS) -> DataFrame:
     """``content_id, cluster, distance`` (squared) of every row of ``vectors (content_id, norm)`` whose coordinates are ``weights (content_id, term, weight)``.
 
-    k-means over the whole vocabulary: the centroids are a table ``cluster, term, c``, and documents meet it on their
-    terms. The start are ``k`` documents that have terms, in the order of a hash of seed and id; fewer make fewer
+    k-means over the whole vocabulary. The start are ``k`` documents that have terms, in the order of a hash of seed and id; fewer make fewer
     clusters. A cluster that loses its documents keeps its centroid. It ends when no document changes its cluster, after
     ``rounds`` means at most; distances are those to the last means. A document without terms belongs to the shortest centroid.
+
+    Up to ``held`` terms the centroids go to every task (``row_kmeans``); beyond, they are a table ``cluster, term, c``, and documents meet it on their terms.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("content_id").cast("string")))
-    start = vectors.where("norm > 0").orderBy(order, "content_id").limit(k).collect()  # k rows
+    vocab, n = numbered(weights.select("term").distinct())
+    if n > held:
+        return _kmeans_in_tables(vectors, weights, k, seed, rounds)
+    cells = weights.join(vocab, "term").groupBy("content_id").agg(F.collect_list(F.struct("at", "weight")).alias("_c"))  # a document's terms
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = vectors.join(cells, "content_id", "left").select("content_id", "norm", F.coalesce("_c.at", none("int")).alias("at"), F.coalesce("_c.weight", none("double")).alias("w"))
+    return row_kmeans(rows, n, k, seed, rounds)[0]
+
+
+def _start(vectors: DataFrame, k: int, seed: int) -> list:
+    return vectors.where("norm > 0").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("content_id").cast("string"))), "content_id").limit(k).collect()  # k rows
+
+
+def row_kmeans(rows: DataFrame, n: int, k: int = 8, seed: int = 42, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """As ``term_kmeans``, of rows ``content_id, norm, at, w`` with terms numbered below ``n``; also ``cluster, at, s``, the summed weights of each cluster's documents.
+
+    A round is one pass over the rows: a task holds the centroids, adds up the weights of its documents and hands on one row a cluster and term."""
+    rows, spark = stash(rows), rows.sparkSession
+    start = _start(rows, k, seed)
+    k = max(1, len(start))
+    c = np.zeros((n, k))
+    for i, r in enumerate(start):
+        c[r["at"], i] = r["w"]
+    kind = rows.schema["content_id"].dataType.simpleString()
+
+    def passed(c: np.ndarray) -> DataFrame:
+        """``content_id, cluster, distance`` of the rows, and ``cluster, at, s`` with a null ``content_id`` and sums."""
+        held = spark.sparkContext.broadcast(c)  # HELD_TERMS bounds it
+        squares = (c * c).sum(axis=0)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, sums = held.value, None
+            for b in batches:
+                at, w = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
+                doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy())
+                far = np.stack([b.column(1).to_numpy() + squares[i] - 2 * np.bincount(doc, w * c[at, i], b.num_rows) for i in range(k)], axis=1)
+                far = np.floor(far * 1e9 + 0.5) / 1e9  # equal distances, to nine decimals, go to the lower number
+                own = far.argmin(axis=1)
+                sums = np.zeros(c.shape) if sums is None else sums
+                np.add.at(sums, (at, own[doc]), w)
+                none = pa.nulls(b.num_rows, pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), pa.array(far[np.arange(len(own)), own]), none.cast(pa.int32()), none, pa.array(np.ones(len(own), bool))], names)
+            for i in range(k if sums is not None else 0):
+                at = np.flatnonzero(sums[:, i])
+                none = pa.nulls(len(at), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind_of), pa.array(np.full(len(at), i)), none, pa.array(at, pa.int32()), pa.array(sums[at, i]), pa.array(np.zeros(len(at), bool))], names)
+
+        names, kind_of = ["content_id", "cluster", "distance", "at", "s", "doc"], to_arrow_type(rows.schema["content_id"].dataType)
+        return stash(rows.mapInArrow(step, f"content_id {kind}, cluster long, distance double, at int, s double, doc boolean"))
+
+    found, clusters = passed(c), None
+    for _ in range(rounds if start else 0):
+        sums = found.where("not doc").groupBy("at").agg(*(F.sum(F.when(F.col("cluster") == i, F.col("s"))).alias(f"s{i}") for i in range(k))).toArrow()  # HELD_TERMS bounds it
+        size = {r["cluster"]: r["n"] for r in found.where("doc").groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # k rows
+        at, moved = sums["at"].to_numpy(), c.copy()
+        for i in size:
+            moved[:, i] = 0.0
+            moved[at, i] = sums[f"s{i}"].fill_null(0.0).to_numpy() / size[i]
+        c = moved
+        new = passed(c)
+        before = found.where("doc").select("content_id", F.col("cluster").alias("_old"))
+        still = new.where("doc").join(before, "content_id").where("cluster <> _old").isEmpty()
+        discard(found)
+        found = new
+        if still:
+            break
+    return found.where("doc").select("content_id", "cluster", "distance"), found.where("not doc").groupBy("cluster", "at").agg(F.sum("s").alias("s"))
+
+
+def _kmeans_in_tables(vectors: DataFrame, weights: DataFrame, k: int, seed: int, rounds: int) -> DataFrame:
+    start = _start(vectors, k, seed)
     spark, kind = vectors.sparkSession, vectors.schema["content_id"].dataType.simpleString()
     if not start:
         return vectors.select("content_id", F.lit(0).cast("long").alias("cluster"), F.lit(0.0).alias("distance"))
@@ -168,6 +245,13 @@ def cluster_terms(weights: DataFrame, clusters: DataFrame, n: int = 10) -> DataF
     return ranked(sums.select("cluster", "term", F.round(F.col("w") / F.col("size"), 6).alias("weight")), ["cluster"], [F.desc("weight"), F.asc("term")], n)
 
 
+def centre_terms(sums: DataFrame, clusters: DataFrame, vocab: DataFrame, n: int = 10) -> DataFrame:
+    """``cluster_terms`` of the sums ``cluster, at, s`` of ``row_kmeans``, with the terms ``at, term``."""
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    means = sums.join(size, "cluster").select("cluster", "at", F.round(F.col("s") / F.col("size"), 6).alias("weight"))
+    return ranked(means.join(vocab.select("at", "term"), "at").select("cluster", "term", "weight"), ["cluster"], [F.desc("weight"), F.asc("term")], n)
+
+
 def cluster_by_domain(clusters: DataFrame, domains: DataFrame) -> DataFrame:
     return clusters.join(domains, "content_id").groupBy("cluster", "nicho").agg(F.count("*").alias("n"))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as tx
 from corpusloom.operators import tables as tb
 from corpusloom.operators import terms as tm
+from corpusloom.operators import vectors as vc
 from corpusloom.plans.base import D_COUNTS, D_STOP, STOPWORDS, TECHNICAL, counts, docs, table, values, words_frame
 from corpusloom.plans.registry import query
 
@@ -234,7 +236,8 @@ def j1_inverse_document_frequency(spark, sf_dir):
     "SELECT content_id, term, round(w / (CASE WHEN sqrt(sum(w * w) OVER (PARTITION BY content_id)) = 0 THEN 1 ELSE sqrt(sum(w * w) OVER (PARTITION BY content_id)) END), 6) + 0 AS weight FROM w"
 )
 def l1_tf_idf(spark, sf_dir):
-    return tm.tf_idf(counts(spark, sf_dir)).withColumn("weight", F.round("weight", 6) + 0)
+    dealt = vc.blocks(docs(spark, sf_dir), tx.terms(F.col("text")))
+    return vc.term_weights(*vc.known_blocks(dealt, vc.vocabulary(dealt)[0])).withColumn("weight", F.round("weight", 6) + 0)
 
 
 @query("SELECT DISTINCT lower(trim(x)) AS term, 'sinonimo' AS source FROM (SELECT unnest(string_split(replace(p_name, ' ', ' , ') || ',' || p_brand || ',ab', ',')) AS x FROM part) WHERE length(trim(x)) >= 3")
