@@ -175,6 +175,20 @@ def dense(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column).cast(T.ArrayType(T.DoubleType()))))
 
 
+def _summed_distances(a: np.ndarray, y: np.ndarray, rows: int = 500) -> np.ndarray:
+    """The sum of the distances of each of ``a`` to all of ``y``, by a product of matrices; near pairs, whose digits it would lose, one by one."""
+    total, own, other = np.zeros(len(a)), (a * a).sum(axis=1), (y * y).sum(axis=1)
+    for lo in range(0, len(a), rows):
+        x = a[lo : lo + rows]
+        both = own[lo : lo + rows, None] + other
+        d = both - 2 * (x @ y.T)
+        close = ~(d > 1e-4 * both)
+        for i in np.flatnonzero(close.any(axis=1)):
+            d[i, close[i]] = ((y[close[i]] - x[i]) ** 2).sum(axis=1)
+        total[lo : lo + rows] = np.sqrt(d).sum(axis=1)
+    return total
+
+
 def _mean_distances(asked: DataFrame, members: DataFrame, block: int) -> DataFrame:
     """``id, label, label2, d``: the mean distance of each asked ``(id, label, v, label2)`` to the members ``(id, label, v)`` of ``label2`` but itself.
 
@@ -192,7 +206,7 @@ def _mean_distances(asked: DataFrame, members: DataFrame, block: int) -> DataFra
         if not len(a) or not len(b):
             return pd.DataFrame({"id": a["id"][:0], "label": a["label"][:0], "label2": b["label"][:0], "total": [], "n": []})
         y = np.stack(b["v"].to_numpy())
-        total = [np.sqrt(((y - v) ** 2).sum(axis=1)).sum() for v in a["v"]]
+        total = _summed_distances(np.stack(a["v"].to_numpy()), y)
         itself = a["id"].map(b["id"].value_counts()).fillna(0).astype(int)
         return pd.DataFrame({"id": a["id"], "label": a["label"], "label2": g["_l"].iloc[0], "total": total, "n": len(b) - itself})
 
@@ -200,7 +214,7 @@ def _mean_distances(asked: DataFrame, members: DataFrame, block: int) -> DataFra
     return met.groupBy("id", "label", "label2").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").select("id", "label", "label2", (F.col("total") / F.col("n")).alias("d"))
 
 
-def silhouette(df: DataFrame, single: float = 0.0, block: int = 1000, counted: dict | None = None) -> DataFrame:
+def silhouette(df: DataFrame, single: float = 0.0, block: int = 4000, counted: dict | None = None) -> DataFrame:
     """Mean silhouette (Euclidean) of ``id, label, v array<double>``, exact; a cluster of one scores ``single``.
 
     The mean distance of a vector to a cluster is at least its distance to the cluster's centre. So each vector is first compared with
