@@ -266,7 +266,7 @@ D_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 @query(f"WITH w AS (SELECT doc_id AS content_id, unnest({D_WORDS}) AS w, generate_subscripts({D_WORDS}, 1) - 1 AS place FROM documents), g AS (SELECT content_id, 1 AS kind, place, w AS gram FROM w UNION ALL SELECT content_id, 2, place, w || ' ' || lead(w) OVER (PARTITION BY content_id ORDER BY place) FROM w) SELECT content_id, kind::BIGINT AS kind, gram, count(*) AS n, min(place)::BIGINT AS first FROM g WHERE gram IS NOT NULL GROUP BY ALL")
 def c12_word_windows(spark, sf_dir):
-    return sg.word_windows(docs(spark, sf_dir)).groupBy("content_id", "kind", "gram").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    return sg.counted_windows(docs(spark, sf_dir))
 
 
 @query("SELECT doc_id, length(text) >= 30 AND NOT contains(text, 'http') AND NOT contains(text, '{') AND NOT contains(text, 'License') AS ok FROM documents")
