@@ -39,6 +39,19 @@ def longest(terms: list[str], least: float) -> float:
     return max(map(len, terms), default=0) * (2 - least) / max(least, _EPS) + 1
 
 
+def _matched(x: str, y: str) -> int:
+    """Matched characters of two short texts, as difflib counts them: the longest common piece, the first in ``x`` and then in ``y``, and the same on both sides of it."""
+    for k in range(min(len(x), len(y)), 0, -1):
+        at, place = len(x), -1
+        for j in range(len(y) - k + 1):
+            i = x.find(y[j : j + k], 0, at + k - 1)  # only before the place found
+            if i >= 0:
+                at, place = i, j
+        if place >= 0:
+            return k + (_matched(x[:at], y[:place]) if at and place else 0) + _matched(x[at + k :], y[place + k :])
+    return 0
+
+
 class Dictionary:
     """Terms in their order; equal terms count once, at their first place."""
 
@@ -52,7 +65,25 @@ class Dictionary:
             for i, at in enumerate(self._places(_codes([t]))[0][: len(t)]):
                 self.counts[k, at] += 1
                 self.masks[k, at] |= np.uint64(1 << i) if i < 64 else np.uint64(0)
-        self.matchers: dict[int, difflib.SequenceMatcher] = {}
+
+        self.packs = self._packed()
+
+    def _packed(self) -> list[tuple[np.ndarray, int, int, list[tuple[int, int]]]]:
+        """Terms of up to 62 letters side by side in 64-bit words, each with a bit above it that stops a carry: masks, those bits, the others, terms with their first bit."""
+        packs, free = [], 0
+        for k, t in enumerate(self.terms):
+            if len(t) > 62:
+                continue
+            if len(t) + 1 > free:
+                packs.append([np.zeros(self.masks.shape[1], np.uint64), 0, 0, []])
+                free = 64
+            at, pack = 64 - free, packs[-1]
+            pack[0] |= self.masks[k] << np.uint64(at)
+            pack[1] |= 1 << (at + len(t))
+            pack[2] |= ((1 << len(t)) - 1) << at
+            pack[3].append((k, at))
+            free -= len(t) + 1
+        return [tuple(p) for p in packs]
 
     def _places(self, codes: np.ndarray) -> np.ndarray:
         """Numbers of letters; those in no term have the last."""
@@ -69,8 +100,22 @@ class Dictionary:
         n, size = len(near), len(self.letters) + 1
         counts = np.bincount((np.arange(n)[:, None] * size + places).ravel(), minlength=n * size).reshape(n, size).astype(np.int16)
         counts[:, -1] = 0
+        common = {}
+        for masks, stops, bits, held in self.packs:  # the common subsequences with all terms of a word at once
+            v = np.full(n, bits, np.uint64)
+            for column in places.T:
+                u = v & masks[column]
+                v = ((v + u) | (v - u)) & np.uint64(~stops & (1 << 64) - 1)
+            for k, at in held:
+                size_k = len(self.terms[k])
+                common[k] = size_k - np.bitwise_count(v & np.uint64(((1 << size_k) - 1) << at)).astype(np.int64)
         found = []
         for k, t in enumerate(self.terms):
+            if k in common:
+                total, shared = lengths[near] + len(t), common[k]
+                own = np.nonzero(shared >= self.least * total / 2 - _EPS)[0]
+                found.append((near[own], np.full(len(own), k), np.where(total[own] > 0, 2 * shared[own] / np.maximum(total[own], 1), 1.0)))
+                continue
             total = lengths[near] + len(t)
             need = self.least * total / 2 - _EPS
             own = np.nonzero(np.minimum(lengths[near], len(t)) >= need)[0]
@@ -95,12 +140,10 @@ class Dictionary:
             x, y = words[w], self.terms[t]
             if x and y and (y in x or x in y):  # the shorter is matched whole
                 r = 2.0 * min(len(x), len(y)) / (len(x) + len(y))
-            else:
-                m = self.matchers.get(t)
-                if m is None:  # a matcher prepares its second text once
-                    m = self.matchers[t] = difflib.SequenceMatcher(None, "", y)
-                m.set_seq1(x)
-                r, calls = m.ratio(), calls + 1
+            elif x and y and len(y) < 200:
+                r, calls = 2.0 * _matched(x, y) / (len(x) + len(y)), calls + 1
+            else:  # difflib leaves out what is frequent in longer texts
+                r, calls = difflib.SequenceMatcher(None, x, y).ratio(), calls + 1
             if r >= self.least and (r > reached[w] or (r == reached[w] and t < out[w])):
                 out[w], reached[w] = t, r
         return out, calls

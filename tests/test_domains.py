@@ -1,3 +1,4 @@
+import difflib
 import random
 from difflib import SequenceMatcher
 
@@ -75,3 +76,20 @@ def test_speakers_as_in_sql(spark, tmp_path, name):
     want = duck.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) > 5
+
+
+def test_terms_side_by_side_bound_and_match_as_difflib():
+    """Terms of one word share a pass, also when they fill it to the last bit; matched characters are counted as difflib counts them."""
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choices("abcdé", k=n))
+    terms = [make(n) for n in (1, 3, 5, 8, 30, 62, 63, 64, 70, 31, 31, 0, 2)]
+    words = [make(rng.randrange(40)) for _ in range(300)] + terms
+    known = Dictionary(terms, 0.6)
+    assert {k for *_, held in known.packs for k, _ in held} == {k for k, t in enumerate(terms) if len(t) < 63}
+    ratio = lambda w, t: difflib.SequenceMatcher(None, w, t).ratio()
+    at, term, bound = known.bounds(words)
+    bounds = {(w, t): b for w, t, b in zip(at.tolist(), term.tolist(), bound.tolist())}
+    for i, w in enumerate(words):
+        rs = [ratio(w, t) for t in terms]
+        assert all(r < 0.6 or bounds[i, k] >= r - 1e-9 for k, r in enumerate(rs))
+        assert known.best([w])[0][0] == (rs.index(max(rs)) if max(rs) >= 0.6 else -1)
