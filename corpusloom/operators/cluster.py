@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.store import discard, stash
 from corpusloom.operators.terms import ranked
@@ -65,7 +65,7 @@ def _nearest(vectors: DataFrame, weights: DataFrame, centroids: DataFrame, k: in
     return met.select("content_id", (F.array_position("far", F.array_min("far")) - 1).alias("cluster"), F.array_min("far").alias("distance"))
 
 
-#: Up to so many terms each task may hold the centroids, as many numbers for each term as there are clusters.
+#: Up to so many terms each task may hold the centroids of two rounds and the sums, three times as many numbers for each term as there are clusters.
 HELD_TERMS = 4_000_000
 
 
@@ -91,60 +91,115 @@ def _start(vectors: DataFrame, k: int, seed: int) -> list:
     return vectors.where("norm > 0").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("content_id").cast("string"))), "content_id").limit(k).collect()  # k rows
 
 
-def row_kmeans(rows: DataFrame, n: int, k: int = 8, seed: int = 42, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def _packed(rows: DataFrame) -> DataFrame:
+    """``content_id, norm, at, w`` with each document's arrays as bytes, which pass from the table to Python as they are."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [b.column(0), b.column(1)]
+            for c, kind in ((2, np.int32), (3, np.float64)):
+                flat = np.ascontiguousarray(b.column(c).flatten().to_numpy(zero_copy_only=False), kind)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(c)).to_numpy(zero_copy_only=False))]) * flat.itemsize
+                out.append(pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)]))
+            yield pa.RecordBatch.from_arrays(out, ["content_id", "norm", "at", "w"])
+
+    return stash(rows.select("content_id", "norm", "at", "w").mapInArrow(make, f"content_id {rows.schema['content_id'].dataType.simpleString()}, norm double, at binary, w binary"))
+
+
+#: So many terms' sums are one row on their way to the driver.
+TERMS_A_ROW = 16_384
+
+
+def row_kmeans(rows: DataFrame, n: int, k: int = 8, seed: int = 42, rounds: int = 100, counted: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """As ``term_kmeans``, of rows ``content_id, norm, at, w`` with terms numbered below ``n``; also ``cluster, at, s``, the summed weights of each cluster's documents.
 
-    A round is one pass over the rows: a task holds the centroids, adds up the weights of its documents and hands on one row a cluster and term."""
-    rows, spark = stash(rows), rows.sparkSession
+    A round is one pass over the rows: a task holds the centroids of this round and of the one before, finds each document's cluster among both and adds up the weights of those that moved.
+    Only these sums are handed on. ``counted`` is told how many documents moved in each round."""
     start = _start(rows, k, seed)
+    rows, spark = _packed(rows), rows.sparkSession
     k = max(1, len(start))
     c = np.zeros((n, k))
     for i, r in enumerate(start):
         c[r["at"], i] = r["w"]
-    kind = rows.schema["content_id"].dataType.simpleString()
+    few = rows.coalesce(2 * spark.sparkContext.defaultParallelism)  # each task sums once
+    span = TERMS_A_ROW * k
+
+    def nearest(b: pa.RecordBatch, c: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest of the centroids and its distance; equal distances, to nine decimals, go to the lower number."""
+        far = np.empty((b.num_rows, k))
+        for j, (at, w) in enumerate(zip(b.column(2), b.column(3))):
+            far[j] = np.einsum("i,ij->j", np.frombuffer(w.as_buffer()), c.take(np.frombuffer(at.as_buffer(), np.int32).astype(np.int64), axis=0))
+        far = np.floor((b.column(1).to_numpy()[:, None] + squares - 2 * far) * 1e9 + 0.5) / 1e9
+        own = far.argmin(axis=1)
+        return own, far[np.arange(len(own)), own]
 
-    def passed(c: np.ndarray) -> DataFrame:
-        """``content_id, cluster, distance`` of the rows, and ``cluster, at, s`` with a null ``content_id`` and sums."""
-        held = spark.sparkContext.broadcast(c)  # HELD_TERMS bounds it
-        squares = (c * c).sum(axis=0)
+    def sums(new: Broadcast, old: Broadcast | None) -> DataFrame:
+        """``part, at, s``: weights of each cluster's documents, less those of the clusters by ``old``, of the terms of a part; part -1 has the clusters' sizes, less the old ones, and how many moved."""
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c, sums = held.value, None
+            c, before = new.value, old.value if old else None
+            total, size = None, np.zeros(k + 1)
             for b in batches:
-                at, w = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
-                doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy())
-                far = np.stack([b.column(1).to_numpy() + squares[i] - 2 * np.bincount(doc, w * c[at, i], b.num_rows) for i in range(k)], axis=1)
-                far = np.floor(far * 1e9 + 0.5) / 1e9  # equal distances, to nine decimals, go to the lower number
-                own = far.argmin(axis=1)
-                sums = np.zeros(c.shape) if sums is None else sums
-                np.add.at(sums, (at, own[doc]), w)
-                none = pa.nulls(b.num_rows, pa.float64())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), pa.array(far[np.arange(len(own)), own]), none.cast(pa.int32()), none, pa.array(np.ones(len(own), bool))], names)
-            for i in range(k if sums is not None else 0):
-                at = np.flatnonzero(sums[:, i])
-                none = pa.nulls(len(at), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind_of), pa.array(np.full(len(at), i)), none, pa.array(at, pa.int32()), pa.array(sums[at, i]), pa.array(np.zeros(len(at), bool))], names)
-
-        names, kind_of = ["content_id", "cluster", "distance", "at", "s", "doc"], to_arrow_type(rows.schema["content_id"].dataType)
-        return stash(rows.mapInArrow(step, f"content_id {kind}, cluster long, distance double, at int, s double, doc boolean"))
-
-    found, clusters = passed(c), None
+                total = np.zeros(n * k) if total is None else total
+                own = nearest(b, *c)[0]
+                was = own if before is None else nearest(b, *before)[0]
+                for j in range(b.num_rows) if before is None else np.flatnonzero(own != was).tolist():
+                    at, w = np.frombuffer(b.column(2)[j].as_buffer(), np.int32).astype(np.int64) * k, np.frombuffer(b.column(3)[j].as_buffer())
+                    np.add.at(total, at + own[j], w)
+                    size[own[j]] += 1
+                    size[k] += 1
+                    if before is not None:
+                        np.subtract.at(total, at + was[j], w)
+                        size[was[j]] -= 1
+            if total is None or not size[k]:
+                return
+            at = np.flatnonzero(total)
+            cuts = np.searchsorted(at, np.arange(0, n * k + span, span))
+            pieces = [(i, (at[lo:hi] - i * span), total[at[lo:hi]]) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
+            for i, x, s in [(-1, np.arange(k + 1), size), *pieces]:
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype(np.int32).tobytes()]), pa.array([s.tobytes()])], names)
+
+        def add(g: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(max(span, k + 1))
+            for x, s in zip(g["at"], g["s"]):
+                total[np.frombuffer(x, np.int32)] += np.frombuffer(s)
+            at = np.flatnonzero(total)
+            return pd.DataFrame({"part": g["part"][:1], "at": [at.astype(np.int32).tobytes()], "s": [total[at].tobytes()]})
+
+        names, schema = ["part", "at", "s"], "part int, at binary, s binary"
+        return few.mapInArrow(step, schema).groupBy("part").applyInPandas(add, schema)
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, distance = nearest(b, *held.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), pa.array(distance)], ["content_id", "cluster", "distance"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, x, s in zip(*(b.column(i).to_pylist() for i in range(3))):
+                at = np.frombuffer(x, np.int32) + part * span
+                yield pa.RecordBatch.from_arrays([pa.array((at % k).astype(np.int64)), pa.array((at // k).astype(np.int32)), pa.array(np.frombuffer(s))], ["cluster", "at", "s"])
+
+    hold = lambda c: spark.sparkContext.broadcast((c, (c * c).sum(axis=0)))  # noqa: E731  HELD_TERMS bounds it
+    held, before, whole, size, moves = hold(c), None, np.zeros(n * k), np.zeros(k + 1), []
     for _ in range(rounds if start else 0):
-        sums = found.where("not doc").groupBy("at").agg(*(F.sum(F.when(F.col("cluster") == i, F.col("s"))).alias(f"s{i}") for i in range(k))).toArrow()  # HELD_TERMS bounds it
-        size = {r["cluster"]: r["n"] for r in found.where("doc").groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # k rows
-        at, moved = sums["at"].to_numpy(), c.copy()
-        for i in size:
-            moved[:, i] = 0.0
-            moved[at, i] = sums[f"s{i}"].fill_null(0.0).to_numpy() / size[i]
-        c = moved
-        new = passed(c)
-        before = found.where("doc").select("content_id", F.col("cluster").alias("_old"))
-        still = new.where("doc").join(before, "content_id").where("cluster <> _old").isEmpty()
-        discard(found)
-        found = new
-        if still:
-            break
-    return found.where("doc").select("content_id", "cluster", "distance"), found.where("not doc").groupBy("cluster", "at").agg(F.sum("s").alias("s"))
+        size[k] = 0
+        for r in sums(held, before).collect():  # HELD_TERMS bounds it
+            into = size if r["part"] < 0 else whole[r["part"] * span :]
+            into[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["s"])
+        if before is not None:
+            before.destroy()
+            moves.append(int(size[k]))
+            if not moves[-1]:
+                break
+        has = size[:k] > 0
+        c = np.where(has, whole.reshape(n, k) / np.where(has, size[:k], 1.0), c)
+        before, held = held, hold(c)
+    if counted is not None:
+        counted.update(moves=moves)
+    kind = rows.schema["content_id"].dataType.simpleString()
+    found = stash(rows.mapInArrow(assigned, f"content_id {kind}, cluster long, distance double"))
+    return found, sums(held, None).where("part >= 0").mapInArrow(unpacked, "cluster long, at int, s double")
 
 
 def _kmeans_in_tables(vectors: DataFrame, weights: DataFrame, k: int, seed: int, rounds: int) -> DataFrame:
