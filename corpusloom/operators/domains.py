@@ -59,6 +59,14 @@ def domain(docs: DataFrame, domains: dict[str, list[str]], priority: dict[str, i
     return docs.select("content_id").join(best, "content_id", "left").withColumn("nicho", F.coalesce("nicho", F.lit("GENERAL")))
 
 
+def domain_of(text: Column, domains: dict[str, list[str]], priority: dict[str, int]) -> Column:
+    """As ``domain``, of one text in its row."""
+    found = tx.bind(tx.normalize(F.lower(text)), lambda low: _found(low, sorted({t for ts in domains.values() for t in ts})))
+    capped = lambda s: F.least(F.lit(5), s["n"]).cast("long")
+    scores = lambda f: F.array(*(F.struct(_total(f, ts, capped).alias("score"), F.lit(priority.get(d, 0)).alias("rank"), F.lit(d).alias("nicho")) for d, ts in domains.items()))
+    return F.coalesce(F.array_max(F.filter(tx.bind(found, scores), lambda s: s["score"] > 0))["nicho"], F.lit("GENERAL"))
+
+
 def confidences(docs: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
     """``content_id, nicho, place, confianza``: distinct terms found over ten, at most one; accents count."""
     found = docs.select("content_id", _found(F.lower("text"), sorted({t for ts in domains.values() for t in ts})).alias("found"))
